@@ -33,13 +33,23 @@ def scan_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.octet_length("text").cast("long")).alias("n_bytes"))
 
 
+def _load() -> None:
+    """Modules that register queries."""
+    from .plans import analytics, scanning  # noqa: F401
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_sources(spark, sf_dir)
+    """Severity counts of the credentials found in the documents."""
+    from .plans.scanning import det_secrets_documents
+
+    return det_secrets_documents(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
