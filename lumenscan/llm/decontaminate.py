@@ -10,7 +10,7 @@ Words are lower-cased and freed of ASCII punctuation, then hashed to FEATURES co
    with every item is taken (the window's norm is that of its whole TF-IDF vector, so words foreign to the benchmark
    count against it). Items come in blocks of at most BLOCK_ITEMS, so that what is sent to the executors is bounded.
 4. A window and item over MIN_COSINE are compared word by word: the longest common subsequence of the item and the
-   text around the window must cover MIN_LCS of the item, and MIN_ANSWER of its answer words (its rarest third) must
+   text around the window must cover MIN_LCS of the item, and MIN_ANSWER of its answer words (its last third) must
    stand there too.
 
 Defined cases: null and empty texts and items match nothing; items of fewer than MIN_WORDS words are not searched for;
@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ MIN_LCS = 0.6
 MIN_ANSWER = 0.6
 MIN_WORDS = 8
 BLOCK_ITEMS = 20_000
+_BLOCKS = 16
 RESULT = "doc_id long, item_id long, lcs_words long, item_words long, answer_found long, answer_words long"
 
 
@@ -90,10 +92,16 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int = RANK, rounds:
                     w = _words(data, offsets)
                     a = _dense([w.hash[i:j] for i, j in zip(w.first[:-1], w.first[1:])], idf)
                     total += a.T @ (a @ basis)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+            blocks = [x.tobytes() for x in np.split(total, _BLOCKS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "part"])
 
-        parts = items.select("text").coalesce(16).mapInArrow(run, "part binary").collect()  # 16 matrices at most
-        return sum((np.frombuffer(bytes(r["part"]), np.float32).reshape(basis.shape) for r in parts), np.zeros(basis.shape, np.float32))
+        def add(frame: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in frame["part"])
+            return pd.DataFrame({"block": frame["block"][:1], "part": [total.astype(np.float32).tobytes()]})
+
+        parts = items.select("text").coalesce(16).mapInArrow(run, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary")
+        rows = sorted((r["block"], bytes(r["part"])) for r in parts.collect())  # one matrix
+        return np.frombuffer(b"".join(x for _, x in rows), np.float32).reshape(basis.shape)
 
     for _ in range(rounds):
         basis = np.linalg.qr(product(basis))[0]
@@ -136,8 +144,7 @@ class Index:
             for k, x in enumerate(h.tolist()):
                 masks[x] = masks.get(x, 0) | 1 << k
             self.masks.append(masks)
-            rare = sorted(masks, key=lambda x: (-float(idf[x >> (64 - FEATURE_BITS)]), x))
-            self.answers.append(set(rare[: max(2, len(rare) // 3)]))
+            self.answers.append(set(h[-max(2, len(h) // 3) :].tolist()))
 
     def search(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(row, item, lcs, words, answers found, answers) for every row's matches."""
