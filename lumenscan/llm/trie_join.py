@@ -7,9 +7,10 @@ order gives the same links, the counts only keep common passages out of the pref
 1. Equal sets are one class from the start, named by 64 bits of a digest of the set.
 2. Two sets that reach the threshold share a token among the first n - ceil(t n) + 1 of either (the top of the
    prefix tree). These tokens are dealt by token; a streaming pass over sorted runs drops those held by one class.
-3. Within a token's run, each class is first compared with the run's smallest only (a star, so a group of k near
-   copies costs k, not k^2). Verified links are contracted to components. Then every pair of classes that share a
-   prefix token but are still in different components is compared, so that no link between components is lost.
+3. Each class is first compared with the class that heads most of its runs (a star, so a group of k near copies costs
+   k, not k^2). Verified links are contracted to components, and in a few rounds the classes that are still apart are
+   compared with some neighbours in their shuffled runs. Then every pair of classes that share a prefix token but are still in different components is compared,
+   so that no link between components is lost.
 4. Comparing: for one set, the sets of its candidates form an array-backed trie (sorted sequences with their common
    prefixes). It is walked once; the partial overlap at a shared node is computed once, and a subtree is left as soon
    as the remaining lengths cannot reach the needed overlap.
@@ -29,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _bloom
@@ -42,6 +43,11 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 SKETCH_BITS = 20
 _SKETCH_SLICES = 32
+#: Pairs that share one copy of a set.
+SALT_PAIRS = 512
+#: Rounds over what is still apart, before all that remains is compared, and pairs a class in each.
+NEIGHBOUR_ROUNDS = 1
+PARTNERS = 6
 
 _SIGNATURES = "doc_id long, n_shingles long, cid long, slice int, part int, counts binary"
 
@@ -213,18 +219,39 @@ def walk_trie(probe: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return found
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash."""
+    return np.ascontiguousarray((tokens >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(blob: pa.Scalar) -> np.ndarray:
+    out = np.zeros((len(blob.as_buffer()) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob.as_buffer(), np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).reshape(-1)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, set_a, set_b), those of one a together: the pairs that link."""
+    """Rows (a, salt, b, tokens) sorted by a and salt, a's own set first: the pairs that link. Keeps one set only."""
+    at: tuple[int, int] | None = None
+    probe = np.zeros(0, np.uint64)
     for batch in batches:
-        a = batch.column(0).to_numpy()
+        a, salt, b = (batch.column(k).to_numpy() for k in range(3))
         good = np.zeros(len(a), bool)
-        cuts = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
-        set_a, set_b = batch.column(2), batch.column(3)
+        cuts = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (salt[1:] != salt[:-1])) + 1).tolist(), len(a)]
         for i, j in zip(cuts[:-1], cuts[1:]):
-            if i < j:
-                probe = np.sort(np.frombuffer(set_a[i].as_buffer(), np.uint64))
-                good[i:j] = walk_trie(probe, [np.frombuffer(set_b[k].as_buffer(), np.uint64) for k in range(i, j)])
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
+            if i == j:
+                continue
+            if at != (a[i], salt[i]):
+                at, probe = (a[i], salt[i]), np.sort(_unpacked(batch.column(3)[i]))
+                i += 1
+            rows = [k for k in range(i, j) if b[k] != a[k]]
+            good[rows] = walk_trie(probe, [_unpacked(batch.column(3)[k]) for k in rows])
+        keep = pa.array(good)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], names=["a", "b"])
+
+
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b").union(pairs.select("b", "a"))
 
 
 class JaccardJoin:
@@ -246,9 +273,15 @@ class JaccardJoin:
         self.blob = blob
         self._links: DataFrame | None = None
 
-    def _sets(self, ids: DataFrame) -> DataFrame:
-        """(cid, tokens) for classes, each read from its first document; common tokens come first in the sequence."""
-        wanted = materialize(ids.join(self.classes, "cid").select("cid", "first_id"), "wanted")
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes that reach the threshold.
+
+        A class's set is read from its first document and sent twice: to its pairs, then with them to a. Many b of one
+        a are salted, a's own set going to each salt."""
+        per_a = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_PAIRS).cast("int").alias("salts"))
+        dealt = pairs.join(per_a, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+        own = per_a.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        wanted = materialize(dealt.union(own).join(self.classes.select(F.col("cid").alias("b"), "first_id"), "b"), "wanted")
         packed = self.spark.sparkContext.broadcast(_bloom.build(wanted, "first_id"))
         blob = self.blob
 
@@ -256,34 +289,57 @@ class JaccardJoin:
             keep, levels = _bloom.Filter(packed.value), np.frombuffer(zstandard.decompress(blob.value), np.uint8)
             for batch in batches:
                 batch = batch.filter(pa.array(keep.may_have(batch.column(0).to_numpy())))
-                sets = [_ordered(x, levels)[::-1].tobytes() for x in shingle_sets(batch.column(1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "tokens"])
-
-        sets = self.docs.filter("doc_id is not null").mapInArrow(pack, "doc_id long, tokens binary")
-        return materialize(sets.join(wanted, sets.doc_id == wanted.first_id).select("cid", "tokens"), "sets")
-
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        sets = self._sets(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
-        of_b = pairs.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("set_b")), "b")
-        both = of_b.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
-        return materialize(both.mapInArrow(_verify, "a long, b long"), "links")
+                sets = list(shingle_sets(batch.column(1)))
+                # common tokens first in the sequence
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([class_id(x) if len(x) else None for x in sets], pa.int64()), pa.array([_packed(_ordered(x, levels)[::-1]) for x in sets], pa.binary())], names=["doc_id", "cid", "tokens"])
+
+        sets = self.docs.filter("doc_id is not null").mapInArrow(pack, "doc_id long, cid long, tokens binary")
+        rows = sets.join(wanted, (sets.doc_id == wanted.first_id) & (sets.cid == wanted.b)).select("a", "salt", "b", "tokens")
+        ranked = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("a") != F.col("b"))
+        return materialize(ranked.mapInArrow(_verify, "a long, b long"), "links")
+
+    def _star(self, runs: DataFrame) -> DataFrame:
+        """For every class the one class that heads most of its runs: at most a pair a class."""
+        fits = F.expr(f"cid <> rep and {NUM} * greatest(n, rep_n) <= {DEN} * least(n, rep_n)")
+        votes = runs.filter(fits).groupBy(F.col("rep").alias("a"), F.col("cid").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
+        return materialize(votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b"), "pairs")
+
+    def _neighbours(self, open_runs: DataFrame, k: int) -> DataFrame:
+        """For every class at most PARTNERS classes of other components, those that stand next to it in most of its runs
+        when each run is shuffled by a hash."""
+        shuffled = Window.partitionBy("tok").orderBy(F.xxhash64("cid", F.lit(k), F.col("tok") % 4))
+        beside = open_runs.select("cid", "root", "n", *(F.lag(c).over(shuffled).alias(f"last_{c}") for c in ("cid", "root", "n")))
+        fits = F.expr(f"root <> last_root and {NUM} * greatest(n, last_n) <= {DEN} * least(n, last_n)")
+        votes = beside.filter(fits).groupBy(F.greatest("cid", "last_cid").alias("b"), F.least("cid", "last_cid").alias("a")).agg(F.count(F.lit(1)).alias("votes"))
+        best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("votes"), "a"))
+        return votes.withColumn("rank", best).filter(F.col("rank") <= PARTNERS).select("a", "b")
+
+    def _open_runs(self, links: DataFrame) -> DataFrame:
+        """The runs that classes of different components share, with their roots."""
+        runs = self.runs.join(components(links).withColumnRenamed("node", "cid"), "cid", "left").select("tok", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"))
+        mixed = runs.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("tok")
+        return materialize(runs.join(mixed, "tok", "left_semi"), "open-runs")
 
     def links(self) -> DataFrame:
         """Verified pairs (a, b) of class ids that join all classes of a component; not every pair within one."""
         if self._links is None:
-            fits = F.expr(f"{NUM} * greatest(n, rep_n) <= {DEN} * least(n, rep_n)")
-            star = materialize(self.runs.filter((F.col("cid") != F.col("rep")) & fits).select(F.col("rep").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
-            links = self._verified(star)
-            roots = components(links)
-            runs = self.runs.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("tok", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"))
-            mixed = runs.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("tok")
-            open_runs = materialize(runs.join(mixed, "tok", "left_semi"), "open_runs")
+            tried = self._star(self.runs)
+            links = self._verified(tried)
+            for k in range(NEIGHBOUR_ROUNDS):
+                again = materialize(self._neighbours(self._open_runs(links), k).join(_both(tried), ["a", "b"], "left_anti"), "pairs")
+                if again.isEmpty():
+                    break
+                tried, more = tried.union(again), self._verified(again)
+                if more.isEmpty():
+                    break
+                links = links.union(more)
+            open_runs = self._open_runs(links)
             x, y = open_runs.alias("x"), open_runs.alias("y")
             reach = f"(least(x.n - x.pos, y.n - y.pos)) * {NUM + DEN} >= {NUM} * (x.n + y.n)"
             cross = x.join(y, F.expr(f"x.tok = y.tok and x.cid < y.cid and x.root <> y.root and {NUM} * greatest(x.n, y.n) <= {DEN} * least(x.n, y.n) and {reach}"))
             cross = cross.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-            cross = materialize(cross.join(star, ["a", "b"], "left_anti"), "pairs")
-            self._links = links.union(self._verified(cross)) if not cross.isEmpty() else links
+            cross = materialize(cross.join(_both(tried), ["a", "b"], "left_anti"), "pairs")
+            self._links = links if cross.isEmpty() else links.union(self._verified(cross))
         return self._links
 
     def documents(self) -> DataFrame:
