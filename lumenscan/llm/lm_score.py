@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _bloom
 from ._store import materialize
 from ._text import Words, grams, slices
 
@@ -76,30 +77,25 @@ class Model:
             yield tuple(out)
 
 
-def _count(word_bits: int, pair_bits: int):
+def _count(kind: str, word_bits: int, pair_bits: int):
+    """Counts words and bigrams of a task's texts and sends the slots that it has met, in ranges of slots."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = {n: 1 << (pair_bits if n.startswith("pair") else word_bits) for n in _TABLES}
-        total = {n: np.zeros(size[n], np.int64) for n in _TABLES}
+        total = {"word": np.zeros(1 << word_bits, np.int64), "pair": np.zeros(1 << pair_bits, np.int64)}
         for batch in batches:
-            wanted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for row, data, offsets in slices(batch.column(0)):
+            for _, data, offsets in slices(batch.column(0)):
                 w = Words(data, offsets, lower=True)
                 doc = w.doc()
-                slot = (w.hash >> np.uint64(64 - word_bits)).astype(np.int64)
-                own = wanted[row : row + len(w.count)][doc] if len(doc) else np.zeros(0, bool)
-                total["word_background"] += np.bincount(slot, minlength=size["word_background"])
-                total["word_target"] += np.bincount(slot[own], minlength=size["word_target"])
+                total["word"] += np.bincount((w.hash >> np.uint64(64 - word_bits)).astype(np.int64), minlength=1 << word_bits)
                 pair = (grams(w.hash, 2) >> np.uint64(64 - pair_bits)).astype(np.int64)
-                inside = doc[1:] == doc[:-1] if len(doc) else np.zeros(0, bool)
-                for name, some in (("pair_background", inside), ("pair_target", inside & own[1:])):
-                    at, n = np.unique(pair[some], return_counts=True)
-                    total[name][at] += n
+                at, n = np.unique(pair[doc[1:] == doc[:-1]] if len(doc) else pair, return_counts=True)
+                total["pair"][at] += n
         names, ranges, blobs = [], [], []
-        for name in _TABLES:
-            for k, part in enumerate(np.split(total[name], SLICES)):
+        for unit, counts in total.items():
+            for k, part in enumerate(np.split(counts, SLICES)):
                 at = np.flatnonzero(part)
                 if len(at):
-                    names.append(name)
+                    names.append(f"{unit}_{kind}")
                     ranges.append(k)
                     blobs.append(_dump(at, part[at]))
         part = [TaskContext.get().partitionId()] * len(names)
@@ -108,12 +104,25 @@ def _count(word_bits: int, pair_bits: int):
     return run
 
 
+def target_texts(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """The texts of the target. A Bloom filter of fixed size lets its rows and few others through before the exact join;
+    the join is by shuffle whatever the sizes, so that the plan does not change where the ids outgrow a broadcast. Beyond
+    some 10^7 ids the filter lets more rows through, at worst every text is shuffled once."""
+    chosen = target_ids.select(F.col("doc_id").cast("long").alias("_id")).filter("_id is not null").distinct()
+    packed = docs.sparkSession.sparkContext.broadcast(_bloom.build(chosen, "_id"))
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = _bloom.Filter(packed.value)
+        for batch in batches:
+            yield batch.filter(pa.array(keep.may_have(batch.column(0).to_numpy())))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    some = rows.mapInArrow(may, "doc_id long, text string")
+    return some.join(chosen.hint("merge"), some.doc_id == chosen._id, "left_semi").select("text")
+
+
 def fit(docs: DataFrame, target_ids: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> Model:
     """Counts over all documents; target_ids has the doc_id of each document of the target."""
-    spark = docs.sparkSession
-    chosen = target_ids.select(F.col("doc_id").cast("long").alias("_id")).distinct().withColumn("_in", F.lit(True))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = rows.join(chosen, rows.doc_id == chosen._id, "left").select("text", F.coalesce("_in", F.lit(False)).alias("wanted"))
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         name = frame["name"].iloc[0]
@@ -124,7 +133,9 @@ def fit(docs: DataFrame, target_ids: DataFrame, word_bits: int = WORD_BITS, pair
         at = np.flatnonzero(total)
         return pd.DataFrame({"name": [name], "slice": frame["slice"].iloc[:1].tolist(), "part": [0], "counts": [_dump(at, total[at])]})
 
-    parts = materialize(marked.mapInArrow(_count(word_bits, pair_bits), _PART), "lm-parts")
+    background = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count("background", word_bits, pair_bits), _PART)
+    target = target_texts(docs, target_ids).mapInArrow(_count("target", word_bits, pair_bits), _PART)
+    parts = materialize(background.union(target), "lm-parts")
     some = parts.groupBy("name", "slice", F.expr("part div 256")).applyInPandas(lambda key, f: add(f), _PART)
     whole = materialize(some.groupBy("name", "slice").applyInPandas(add, _PART), "lm-model")
     tables = {n: np.zeros((SLICES, (1 << (pair_bits if n.startswith("pair") else word_bits)) // SLICES), np.float32) for n in _TABLES}
