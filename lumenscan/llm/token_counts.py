@@ -19,10 +19,13 @@ default.
 
 from __future__ import annotations
 
+import array
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,13 @@ CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 256
 #: Pieces that a worker remembers at most; further ones are encoded again for each batch.
 REMEMBERED = 600_000
+#: Pieces in a call of the library.
+CALL_PIECES = 2048
+#: ASCII letters and then marks (without the apostrophe of contractions): the byte-level pattern makes at most two pre-tokens of them.
+_MARKS = r"[!-&(-/:-@\[-`{-~]*"
+_PLAIN = re.compile(f"( ?)([A-Za-z]+)({_MARKS})").fullmatch
+#: A space that follows white space or begins the text: there not every space is a boundary.
+_INSIDE = re.compile(r"(?:\s|\A) ").search
 
 
 class PieceEncoder:
@@ -47,10 +57,9 @@ class PieceEncoder:
         with open(tokenizer_path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_piece = self._proven(spec)
-        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        # no added token may lie within a plain piece
+        self.plain = self.by_piece and not any(re.fullmatch(f" ?[A-Za-z]*{_MARKS}", t["content"]) for t in spec.get("added_tokens") or [])
         self.words: dict[str, object] = {}
-        if self.by_piece:
-            self.split, self.merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
         self.after_space: dict[str, object] = {}
         self.at_start: dict[str, object] = {}
 
@@ -72,30 +81,42 @@ class PieceEncoder:
         return [value(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode(self, pieces: list[str]) -> list[object]:
-        """The library's pre-tokenizer and model in turn, so that a word met with other punctuation is not merged again."""
+        """Each piece encoded alone. Plain ones go to the library's model by pre-token; for the others one call takes many
+        as a pre-split text and names the piece of every id."""
         if not self.by_piece:
             return self._whole(pieces)
-        split, merge, words, value, out = self.split, self.merge, self.words, self.value, []
-        for piece in pieces:
-            if any(x in piece for x in self.added):
-                out.append(self._whole([piece])[0])
-                continue
-            total = None
-            for word, _ in split(piece):
-                v = words.get(word)
-                if v is None:
-                    v = value([t.id for t in merge(word)])
-                    if len(words) < REMEMBERED and len(word) <= 64:
-                        words[word] = v
-                total = v if total is None else total + v
-            out.append(value([]) if total is None else total)
+        value, out, rest = self.value, [None] * len(pieces), []
+        for k, piece in enumerate(pieces):
+            m = _PLAIN(piece) if self.plain else None
+            if m is None:
+                rest.append(k)
+            else:
+                space, word, tail = m.groups()
+                own = self._word("\u0120" + word if space else word)
+                out[k] = own + self._word(tail) if tail else own
+        for at in range(0, len(rest), CALL_PIECES):
+            places = rest[at : at + CALL_PIECES]
+            e = self.tokenizer.encode([pieces[k] for k in places], is_pretokenized=True, add_special_tokens=False)
+            ids = e.ids
+            ends = np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(places))).tolist()
+            for k, i, j in zip(places, [0, *ends], ends):
+                out[k] = value(ids[i:j])
         return out
 
+    def _word(self, word: str) -> object:
+        """A pre-token in the vocabulary's byte alphabet: printable ASCII stands for itself, U+0120 for a space."""
+        v = self.words.get(word)
+        if v is None:
+            v = self.value([t.id for t in self.tokenizer.model.tokenize(word)])
+            if len(self.words) < REMEMBERED and len(word) <= 64:
+                self.words[word] = v
+        return v
+
     @staticmethod
     def pieces(text: str) -> list[str]:
         """Parts between proven boundaries; every part but the first stands after one space."""
         parts = text.split(" ")
-        if all(p and not p[-1].isspace() for p in parts[:-1]):
+        if not _INSIDE(text):
             return parts
         out = [parts[0]]
         for p in parts[1:]:
@@ -112,30 +133,29 @@ class PieceEncoder:
         known, get = self.after_space, self.after_space.get
         split, missing, starts = [], set(), set()
         for text in texts:
-            parts = text.split(" ")
-            rest = parts[1:]
+            head, *rest = text.split(" ")
             values = [*map(get, rest)]
-            if not parts[0] or parts[0][-1].isspace() or None in values:
-                # a part that is empty or ends in white space is never remembered, so it comes here
-                parts = self.pieces(text)
-                rest, values = parts[1:], None
-                missing.update(rest)
-            starts.add(parts[0])
-            split.append((parts[0], rest, values))
-        missing -= known.keys()
+            gaps = [k for k, v in enumerate(values) if v is None] if None in values else ()
+            # parts that are empty or end in white space are never remembered, so the gaps show whether there are any
+            if not head or head[-1].isspace() or any(not rest[k] or rest[k][-1].isspace() for k in gaps):
+                head, *rest = self.pieces(text)
+                values = [*map(get, rest)]
+                gaps = [k for k, v in enumerate(values) if v is None]
+            missing.update([rest[k] for k in gaps])
+            starts.add(head)
+            split.append((head, rest, values, gaps))
         order = list(missing)
         local = dict(zip(order, self._encode([" " + p for p in order])))
         if len(known) < REMEMBERED:
-            known.update((k, v) for k, v in local.items() if k and not k[-1].isspace() and len(k) <= 64 and " " not in k)
-        look = local.get
+            known.update((k, v) for k, v in local.items() if k and len(k) <= 64 and not k[-1].isspace())
         order = list(starts - self.at_start.keys())
         first = dict(zip(order, self._encode(order)))
         if len(self.at_start) < REMEMBERED // 8:
             self.at_start.update((k, v) for k, v in first.items() if len(k) <= 64)
         out = []
-        for head, rest, values in split:
-            if values is None:
-                values = [v if (v := get(p)) is not None else look(p) for p in rest]
+        for head, rest, values, gaps in split:
+            for k in gaps:
+                values[k] = local[rest[k]]
             out.append([first[head] if head in first else self.at_start[head], *values])
         return out
 
@@ -214,8 +234,6 @@ def encoder(path: str, kind: str):
 
 
 def _pack(ids: list[int]) -> bytes:
-    import array
-
     return array.array("I", ids).tobytes()
 
 
