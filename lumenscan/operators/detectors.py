@@ -158,13 +158,13 @@ ASSIGN = r"^\s*(\w+)\s*=\s*(.*)"
 SWEEPS = 3
 
 
-def tainted_variables(files: DataFrame) -> DataFrame:
+def tainted_variables(files: DataFrame, source: str = SOURCE, comments: bool = False) -> DataFrame:
     """file_id, var: what user input reaches in three sweeps over the assignments.
 
     Words of right sides are equi-joined with variables instead of searching every line for every variable. A state is the
     sweep in which a variable became tainted and the line; an assignment further down fires in the same sweep, one above in the next."""
-    rows = lines(files).filter(is_code(F.col("line")))
-    seeds = rows.filter(F.col("line").rlike(pat(SOURCE))).select("file_id", F.regexp_extract("line", pat(SOURCE), 1).alias("var"), F.lit(0).alias("at"), F.lit(1).alias("sweep")).distinct()
+    rows = lines(files) if comments else lines(files).filter(is_code(F.col("line")))
+    seeds = rows.filter(F.col("line").rlike(pat(source))).select("file_id", F.regexp_extract("line", pat(source), 1).alias("var"), F.lit(0).alias("at"), F.lit(1).alias("sweep")).distinct()
     target, right = F.regexp_extract("line", pat(ASSIGN), 1), F.regexp_extract("line", pat(ASSIGN), 2)
     edges = rows.filter(F.col("line").rlike(pat(ASSIGN))).select("file_id", "line_no", target.alias("target"), F.explode(F.array_distinct(F.regexp_extract_all(right, F.lit(pat(r"(\w+)")), 1))).alias("word"))
     least = lambda df: df.groupBy("file_id", "var").agg(F.min(F.struct("sweep", "at")).alias("s")).select("file_id", "var", "s.sweep", "s.at")

@@ -9,6 +9,7 @@ from .. import catalog
 from ..catalog import query, table
 from ..functions.text import html_escape, is_code, lines, pat, snippet
 from ..operators import detectors as D
+from ..operators import injection as I
 from ..sources.corpus import code_files, code_files_sql
 
 _FILES = code_files_sql()
@@ -152,6 +153,38 @@ def taint_regex_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.tainted_variables(code_files(spark))
 
 
+def _near_taint_sql(sink: I.Sink) -> str:
+    """The same closure by a recursive query, then the frame by a range condition."""
+    return f"""WITH RECURSIVE l AS (SELECT * FROM ({_LINES}) WHERE file_id IN (SELECT file_id FROM ({_FILES}) WHERE language IN {I.LANGUAGES})),
+e AS (SELECT file_id, line_no, regexp_extract(line, {_q(D.ASSIGN)}, 1) AS target, unnest(list_distinct(regexp_extract_all(regexp_extract(line, {_q(D.ASSIGN)}, 2), '(\\w+)', 1))) AS word FROM l WHERE regexp_matches(line, {_q(D.ASSIGN)})),
+s(file_id, var, pos, sweep) AS (SELECT DISTINCT file_id, regexp_extract(line, {_q(I.SOURCE)}, 1), 0, 1 FROM l WHERE regexp_matches(line, {_q(I.SOURCE)})
+  UNION SELECT e.file_id, e.target, e.line_no, s.sweep + CAST(e.line_no <= s.pos AS INTEGER) FROM s JOIN e ON e.file_id = s.file_id AND e.word = s.var WHERE s.sweep + CAST(e.line_no <= s.pos AS INTEGER) <= {D.SWEEPS}),
+w AS (SELECT file_id, line_no, unnest(regexp_extract_all(line, '(\\w+)', 1)) AS var FROM l)
+SELECT l.file_id, l.line_no AS line_number, {_q(sink.name)} AS detector_name, {_q(sink.vulnerability_type)} AS vulnerability_type, {_q(sink.severity)} AS severity, {_q(sink.cwe_id)} AS cwe_id,
+  CAST({sink.confidence} AS DOUBLE) AS confidence, min(w.var) AS tainted_var
+FROM l JOIN w ON w.file_id = l.file_id AND w.line_no BETWEEN l.line_no - {sink.before} AND l.line_no + {sink.after} JOIN (SELECT DISTINCT file_id, var FROM s) t ON t.file_id = w.file_id AND t.var = w.var
+WHERE regexp_matches(l.line, {_q(sink.pattern)}) AND trim(l.line, ' ' || chr(9) || chr(13) || chr(12)) <> '' AND NOT starts_with(trim(l.line), '#') GROUP BY 1, 2"""
+
+
+@query(_near_taint_sql(I.XPATH))
+def det_xpath(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.near_taint(code_files(spark), I.XPATH)
+
+
+@query(_near_taint_sql(I.LDAP))
+def det_ldap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.near_taint(code_files(spark), I.LDAP)
+
+
+@query(f"""WITH l AS ({_LINES}), c AS (SELECT *, sum(d) OVER (PARTITION BY file_id ORDER BY line_no) AS depth FROM (SELECT *, length(replace(line, ')', '')) - length(replace(line, '(', '')) AS d FROM l)),
+k AS (SELECT a.file_id, a.line_no, coalesce((SELECT min(b.line_no) FROM c b WHERE b.file_id = a.file_id AND b.line_no >= a.line_no AND b.depth <= a.depth - a.d), 1000000) AS until FROM c a WHERE contains(a.line, 'set_cookie')),
+o AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k e WHERE e.file_id = k.file_id AND e.line_no < k.line_no AND e.until >= k.line_no))
+SELECT o.file_id, o.line_no AS line_number, 'SecureCookieDetector' AS detector_name, 'Insecure Cookie' AS vulnerability_type, 'HIGH' AS severity, 'CWE-614' AS cwe_id, CAST(0.95 AS DOUBLE) AS confidence
+FROM o JOIN l ON l.file_id = o.file_id AND l.line_no BETWEEN o.line_no AND o.until GROUP BY 1, 2 HAVING regexp_matches(string_agg(l.line, chr(10) ORDER BY l.line_no), {_q(I.INSECURE)})""")
+def det_cookie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.insecure_cookies(code_files(spark))
+
+
 @query(f"SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fuzzy match by containment; the small side is broadcast by the optimizer's own size check."""

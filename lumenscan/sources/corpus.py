@@ -35,6 +35,11 @@ SNIPPETS: list[tuple[str, str]] = [
     ("python", "app.run(debug=True)"),
     ("python", "a = getattr(o, field)\nb = getattr(o, 'x')\nglobals()[name]"),
     ("python", "line one\r\nacc\u00e9nt\f\n"),
+    ("python", 'bar = request.form.get("n")\nq = "/u[@n=" + bar + "]"\nroot.xpath(q)\nroot.xpath("/a")\n\n\n\n\nroot.xpath("/b")'),
+    ("python", 'who = input()\nldap_filter = f"(uid={who})"\n# conn.search(base, who)\nconn.search(base, ldap_filter)'),
+    ("java", 'who = input()\nconn.search(base, who)'),
+    ("python", '# old = input()\nnew = old\ntree.xpath(new)'),
+    ("python", 'r.set_cookie(\n  "a", f(\n  r.set_cookie("x")),\n  secure=False,\n)\nr.set_cookie("b", secure=True)\nr.set_cookie("c",\n  SECURE = false'),
 ]
 
 

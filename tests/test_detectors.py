@@ -3,6 +3,7 @@
 import re
 
 from lumenscan.operators import detectors as D
+from lumenscan.operators import injection as I
 from lumenscan.sources.corpus import SNIPPETS, code_files
 from lumenscan.sources.diffs import changed_lines
 
@@ -47,3 +48,13 @@ def test_dedup_keeps_the_owner(spark):
 def test_diff(spark):
     text = "+++ b/x\n@@ -3,2 +5,3 @@\n a\n-b\n+c\n+d\n"
     assert {(r.path, r.line_no) for r in changed_lines(spark.createDataFrame([(1, text)], "diff_id long, text string")).collect()} == {("x", 6), ("x", 7)}
+
+
+def test_sinks_near_taint(spark):
+    rows = {(r.file_id, r.line_number, r.tainted_var) for r in I.near_taint(code_files(spark), I.XPATH).collect()}
+    assert rows == {(31, 3, "bar"), (31, 4, "bar"), (34, 3, "new")}
+    assert {(r.file_id, r.line_number, r.tainted_var) for r in I.near_taint(code_files(spark), I.LDAP).collect()} == {(32, 2, "ldap_filter"), (32, 4, "ldap_filter")}
+
+
+def test_cookie_calls_span_lines(spark):
+    assert {(r.file_id, r.line_number) for r in I.insecure_cookies(code_files(spark)).collect()} == {(9, 1), (35, 1), (35, 7)}
