@@ -9,8 +9,11 @@ order gives the same links, the counts only keep common passages out of the pref
    prefix tree). These tokens are dealt by token; a streaming pass over sorted runs drops those held by one class.
 3. Each class is first compared with the class that heads most of its runs (a star, so a group of k near copies costs
    k, not k^2). Verified links are contracted to components, and in a few rounds the classes that are still apart are
-   compared with some neighbours in their shuffled runs. Then every pair of classes that share a prefix token but are still in different components is compared,
-   so that no link between components is lost.
+   compared with some neighbours in their shuffled runs. These two steps only save work, so they pass over pairs whose
+   min-hash sketches are far apart. Then every pair of classes that share enough prefix tokens but are still in
+   different components is compared, so that no link between components is lost: tokens that two sets share up to the
+   nearer end of their prefixes are in both prefixes, so the overlap is at most the shared prefix tokens and what
+   stands after the longer prefix.
 4. Comparing: for one set, the sets of its candidates form an array-backed trie (sorted sequences with their common
    prefixes). It is walked once; the partial overlap at a shared node is computed once, and a subtree is left as soon
    as the remaining lengths cannot reach the needed overlap.
@@ -48,8 +51,11 @@ SALT_PAIRS = 512
 #: Rounds over what is still apart, before all that remains is compared, and pairs a class in each.
 NEIGHBOUR_ROUNDS = 1
 PARTNERS = 6
+#: Bins of a class's min-hash sketch, and the share of equal bins below which the saving steps leave a pair to the last one.
+SKETCH_BINS = 64
+SKETCH_LEAST = 0.6
 
-_SIGNATURES = "doc_id long, n_shingles long, cid long, slice int, part int, counts binary"
+_SIGNATURES = "doc_id long, n_shingles long, cid long, sketch binary, slice int, part int, counts binary"
 
 
 def needed_overlap(n: int, m: int) -> int:
@@ -79,9 +85,25 @@ def class_id(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+_BIN_STARTS = np.arange(SKETCH_BINS, dtype=np.uint64) << np.uint64(64 - (SKETCH_BINS - 1).bit_length())
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """The smallest token of each range of hashes as a byte from 1 to 255; 0: none there."""
+    at = np.searchsorted(tokens, np.append(_BIN_STARTS, np.uint64(2**64 - 1)))
+    least = tokens[np.minimum(at[:-1], len(tokens) - 1)]
+    return np.where(at[:-1] < at[1:], mix(least) % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8).tobytes()
+
+
+def look_alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sketches (a row each) agree in SKETCH_LEAST of the bins that either fills; few filled bins tell nothing."""
+    filled = ((x > 0) | (y > 0)).sum(axis=1)
+    return (filled < SKETCH_BINS // 2) | (((x == y) & (x > 0)).sum(axis=1) >= SKETCH_LEAST * filled)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cid", pa.int64()), ("slice", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cid", pa.int64()), ("sketch", pa.binary()), ("slice", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
     some = False
     for batch in batches:
         some = True
@@ -91,14 +113,14 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts += np.bincount((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
         n = len(sets)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([class_id(x) if len(x) else None for x in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+            [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([class_id(x) if len(x) else None for x in sets], pa.int64()), pa.array([sketch(x) if len(x) else None for x in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
             schema=schema,
         )
     if some:
         blobs = [zstandard.compress(x.tobytes(), 1) for x in np.split(counts, _SKETCH_SLICES)]
         k = len(blobs)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([TaskContext.get().partitionId()] * k, pa.int32()), pa.array(blobs, pa.binary())], schema=schema
+            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([TaskContext.get().partitionId()] * k, pa.int32()), pa.array(blobs, pa.binary())], schema=schema
         )
 
 
@@ -263,7 +285,8 @@ class JaccardJoin:
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         signed = materialize(self.docs.mapInArrow(_signatures, _SIGNATURES), "signatures")
         self.rows = signed.filter("slice is null").select("doc_id", "n_shingles", "cid")
-        self.classes = materialize(self.rows.filter("cid is not null and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "classes")
+        named = signed.filter("cid is not null and doc_id is not null")
+        self.classes = materialize(named.groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("sketch").alias("sketch")), "classes")
         levels = _levels(signed)
         # a fixed 2^SKETCH_BITS bytes
         blob = self.spark.sparkContext.broadcast(zstandard.compress(levels.tobytes()))
@@ -298,11 +321,22 @@ class JaccardJoin:
         ranked = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("a") != F.col("b"))
         return materialize(ranked.mapInArrow(_verify, "a long, b long"), "links")
 
+    def _promising(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sketches are alike; the others are left to the last step."""
+
+        def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH_BINS) for k in (2, 3))
+                yield batch.select(["a", "b"]).filter(pa.array(look_alike(x, y)))
+
+        x, y = (self.classes.select(F.col("cid").alias(c), F.col("sketch").alias(f"of_{c}")) for c in "ab")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(alike, "a long, b long")
+
     def _star(self, runs: DataFrame) -> DataFrame:
         """For every class the one class that heads most of its runs: at most a pair a class."""
         fits = F.expr(f"cid <> rep and {NUM} * greatest(n, rep_n) <= {DEN} * least(n, rep_n)")
         votes = runs.filter(fits).groupBy(F.col("rep").alias("a"), F.col("cid").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
-        return materialize(votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b"), "pairs")
+        return materialize(self._promising(votes.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")), "pairs")
 
     def _neighbours(self, open_runs: DataFrame, k: int) -> DataFrame:
         """For every class at most PARTNERS classes of other components, those that stand next to it in most of its runs
@@ -312,7 +346,7 @@ class JaccardJoin:
         fits = F.expr(f"root <> last_root and {NUM} * greatest(n, last_n) <= {DEN} * least(n, last_n)")
         votes = beside.filter(fits).groupBy(F.greatest("cid", "last_cid").alias("b"), F.least("cid", "last_cid").alias("a")).agg(F.count(F.lit(1)).alias("votes"))
         best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("votes"), "a"))
-        return votes.withColumn("rank", best).filter(F.col("rank") <= PARTNERS).select("a", "b")
+        return self._promising(votes.withColumn("rank", best).filter(F.col("rank") <= PARTNERS).select("a", "b"))
 
     def _open_runs(self, links: DataFrame) -> DataFrame:
         """The runs that classes of different components share, with their roots."""
@@ -335,9 +369,10 @@ class JaccardJoin:
                 links = links.union(more)
             open_runs = self._open_runs(links)
             x, y = open_runs.alias("x"), open_runs.alias("y")
-            reach = f"(least(x.n - x.pos, y.n - y.pos)) * {NUM + DEN} >= {NUM} * (x.n + y.n)"
-            cross = x.join(y, F.expr(f"x.tok = y.tok and x.cid < y.cid and x.root <> y.root and {NUM} * greatest(x.n, y.n) <= {DEN} * least(x.n, y.n) and {reach}"))
-            cross = cross.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+            cross = x.join(y, F.expr(f"x.tok = y.tok and x.cid < y.cid and x.root <> y.root and {NUM} * greatest(x.n, y.n) <= {DEN} * least(x.n, y.n)"))
+            shared = cross.groupBy(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
+            # what stands after a prefix is ceil(t n) - 1; the needed overlap is needed_overlap(n, m)
+            cross = shared.filter(f"shared + ({NUM} * greatest(n, m) + {DEN - 1}) div {DEN} - 1 >= ({NUM} * (n + m) + {NUM + DEN - 1}) div {NUM + DEN}").select("a", "b")
             cross = materialize(cross.join(_both(tried), ["a", "b"], "left_anti"), "pairs")
             self._links = links if cross.isEmpty() else links.union(self._verified(cross))
         return self._links
