@@ -10,10 +10,9 @@ order gives the same links, the counts only keep common passages out of the pref
 3. Each class is first compared with the class that heads most of its runs (a star, so a group of k near copies costs
    k, not k^2). Verified links are contracted to components, and in a few rounds the classes that are still apart are
    compared with some neighbours in their shuffled runs. These two steps only save work, so they pass over pairs whose
-   min-hash sketches are far apart. Then every pair of classes that share enough prefix tokens but are still in
-   different components is compared, so that no link between components is lost: tokens that two sets share up to the
-   nearer end of their prefixes are in both prefixes, so the overlap is at most the shared prefix tokens and what
-   stands after the longer prefix.
+   min-hash sketches are far apart. Then every pair of classes that share a prefix token but are still in different
+   components is compared, so that no link between components is lost. Pairs that bitmaps of the sets rule out are not
+   sent: each bit that only one set has stands for a token or more that the other lacks, so the bound is exact.
 4. Comparing: for one set, the sets of its candidates form an array-backed trie (sorted sequences with their common
    prefixes). It is walked once; the partial overlap at a shared node is computed once, and a subtree is left as soon
    as the remaining lengths cannot reach the needed overlap.
@@ -54,6 +53,8 @@ PARTNERS = 6
 #: Bins of a class's min-hash sketch, and the share of equal bins below which the saving steps leave a pair to the last one.
 SKETCH_BINS = 64
 SKETCH_LEAST = 0.6
+#: Bits of a class's bitmap; any number gives the same links, more rule out more pairs of long sets.
+BITMAP = 1024
 
 _SIGNATURES = "doc_id long, n_shingles long, cid long, sketch binary, slice int, part int, counts binary"
 
@@ -95,6 +96,18 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.where(at[:-1] < at[1:], mix(least) % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8).tobytes()
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    bits = np.zeros(BITMAP, bool)
+    bits[(tokens & np.uint64(BITMAP - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """False only for pairs that cannot reach the threshold, from bitmaps (a row each) and sizes."""
+    most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+    return most * (NUM + DEN) >= NUM * (n + m)
+
+
 def look_alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether sketches (a row each) agree in SKETCH_LEAST of the bins that either fills; few filled bins tell nothing."""
     filled = ((x > 0) | (y > 0)).sum(axis=1)
@@ -113,7 +126,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts += np.bincount((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
         n = len(sets)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([class_id(x) if len(x) else None for x in sets], pa.int64()), pa.array([sketch(x) if len(x) else None for x in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+            [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([class_id(x) if len(x) else None for x in sets], pa.int64()), pa.array([sketch(x) + bitmap(x) if len(x) else None for x in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
             schema=schema,
         )
     if some:
@@ -286,7 +299,7 @@ class JaccardJoin:
         signed = materialize(self.docs.mapInArrow(_signatures, _SIGNATURES), "signatures")
         self.rows = signed.filter("slice is null").select("doc_id", "n_shingles", "cid")
         named = signed.filter("cid is not null and doc_id is not null")
-        self.classes = materialize(named.groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("sketch").alias("sketch")), "classes")
+        self.classes = materialize(named.groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n")), "classes")
         levels = _levels(signed)
         # a fixed 2^SKETCH_BITS bytes
         blob = self.spark.sparkContext.broadcast(zstandard.compress(levels.tobytes()))
@@ -321,16 +334,20 @@ class JaccardJoin:
         ranked = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("a") != F.col("b"))
         return materialize(ranked.mapInArrow(_verify, "a long, b long"), "links")
 
-    def _promising(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose sketches are alike; the others are left to the last step."""
+    def _promising(self, pairs: DataFrame, exact: bool = False) -> DataFrame:
+        """The pairs whose sketches are alike (the others are left to the last step), or those that may link at all."""
 
         def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH_BINS) for k in (2, 3))
-                yield batch.select(["a", "b"]).filter(pa.array(look_alike(x, y)))
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH_BINS + BITMAP // 8) for k in (2, 3))
+                n, m = (batch.column(k).to_numpy() for k in (4, 5))
+                keep = may_link(x[:, SKETCH_BINS:], y[:, SKETCH_BINS:], n, m)
+                if not exact:
+                    keep &= look_alike(x[:, :SKETCH_BINS], y[:, :SKETCH_BINS])
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-        x, y = (self.classes.select(F.col("cid").alias(c), F.col("sketch").alias(f"of_{c}")) for c in "ab")
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b").mapInArrow(alike, "a long, b long")
+        x, y = (self.classes.select(F.col("cid").alias(c), F.col("sketch").alias(f"of_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "of_a", "of_b", "n_a", "n_b").mapInArrow(alike, "a long, b long")
 
     def _star(self, runs: DataFrame) -> DataFrame:
         """For every class the one class that heads most of its runs: at most a pair a class."""
@@ -369,11 +386,10 @@ class JaccardJoin:
                 links = links.union(more)
             open_runs = self._open_runs(links)
             x, y = open_runs.alias("x"), open_runs.alias("y")
-            cross = x.join(y, F.expr(f"x.tok = y.tok and x.cid < y.cid and x.root <> y.root and {NUM} * greatest(x.n, y.n) <= {DEN} * least(x.n, y.n)"))
-            shared = cross.groupBy(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
-            # what stands after a prefix is ceil(t n) - 1; the needed overlap is needed_overlap(n, m)
-            cross = shared.filter(f"shared + ({NUM} * greatest(n, m) + {DEN - 1}) div {DEN} - 1 >= ({NUM} * (n + m) + {NUM + DEN - 1}) div {NUM + DEN}").select("a", "b")
-            cross = materialize(cross.join(_both(tried), ["a", "b"], "left_anti"), "pairs")
+            reach = f"(least(x.n - x.pos, y.n - y.pos)) * {NUM + DEN} >= {NUM} * (x.n + y.n)"
+            cross = x.join(y, F.expr(f"x.tok = y.tok and x.cid < y.cid and x.root <> y.root and {NUM} * greatest(x.n, y.n) <= {DEN} * least(x.n, y.n) and {reach}"))
+            cross = cross.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+            cross = materialize(self._promising(cross.join(_both(tried), ["a", "b"], "left_anti"), exact=True), "pairs")
             self._links = links if cross.isEmpty() else links.union(self._verified(cross))
         return self._links
 

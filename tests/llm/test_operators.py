@@ -74,6 +74,23 @@ def test_trie_walk_is_exact():
     assert trie_join.walk_trie(probe, sets).tolist() == want and any(want)
 
 
+def test_bitmaps_rule_out_no_link():
+    r = random.Random(7)
+    ruled_out = 0
+    for _ in range(400):
+        size, part = r.choice([1, 5, 40, 300, 3000]), r.uniform(0.6, 1)
+        a = np.unique(np.array([r.randrange(2**64) for _ in range(size)], np.uint64))
+        b = np.unique(np.concatenate([a[: int(part * len(a))], np.array([r.randrange(2**64) for _ in range(int((1 - part) * size * r.random()))], np.uint64)]))
+        links = len(b) > 0 and 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+        x, y = (np.frombuffer(trie_join.bitmap(s), np.uint8)[None] for s in (a, b))
+        may = bool(trie_join.may_link(x, y, np.array([len(a)]), np.array([len(b)]))[0])
+        assert may or not links
+        ruled_out += not may
+    assert ruled_out > 20
+    same = np.frombuffer(trie_join.sketch(a), np.uint8)[None]
+    assert trie_join.look_alike(same, same).all()
+
+
 def test_quality(spark, awkward):
     rows = quality_rules.apply_policy(quality_rules.ledger(docs_of(spark, awkward))).collect()
     by_id = {i: t or "" for i, t, _ in awkward}
