@@ -40,6 +40,14 @@ SNIPPETS: list[tuple[str, str]] = [
     ("java", 'who = input()\nconn.search(base, who)'),
     ("python", '# old = input()\nnew = old\ntree.xpath(new)'),
     ("python", 'r.set_cookie(\n  "a", f(\n  r.set_cookie("x")),\n  secure=False,\n)\nr.set_cookie("b", secure=True)\nr.set_cookie("c",\n  SECURE = false'),
+    ("python", 'app = Flask(__name__)\n@app.route("/login", methods=["POST"])\ndef login():\n    return "ok"\n@app.route("/home")\ndef home():\n    return os.environ["HOME"]'),
+    ("python", 'import csrf\n@bp.route("/upload", methods=["PUT"])\n@limiter.limit("5/min")\ndef put():\n    request.files["f"].save("/tmp/" + filename)\n\n\n\n\n\n\n\n    name = secure_filename(n)\n    f.save(filename)'),
+    ("python", 'resp.headers["X-Frame-Options"] = "DENY"\n@app.route("/api")\ndef api():\n    if app.debug:\n        return sys.version'),
+    ("python", 'name = request.args.get("n")\nsession["n"] = name\ng.user = "x"\ng.user = name'),
+    ("python", 'prompt = f"System. User: {user_msg}" + user_msg\n# prompt = "x" + user\na = f"hello {user_name}"'),
+    ("javascript", "// chat\nconst p = `llm says ${user_text}` + user"),
+    ("python", "# agent tool\nos.remove(p)" + "\n" * 49 + "os.unlink(a)\nos.rmdir(b)\nfor_tool = 1\nsubprocess.Popen(x, shell=True)"),
+    ("java", "agent.kill()"),
 ]
 
 

@@ -4,6 +4,7 @@ import re
 
 from lumenscan.operators import detectors as D
 from lumenscan.operators import injection as I
+from lumenscan.operators import web as W
 from lumenscan.sources.corpus import SNIPPETS, code_files
 from lumenscan.sources.diffs import changed_lines
 
@@ -58,3 +59,19 @@ def test_sinks_near_taint(spark):
 
 def test_cookie_calls_span_lines(spark):
     assert {(r.file_id, r.line_number) for r in I.insecure_cookies(code_files(spark)).collect()} == {(9, 1), (35, 1), (35, 7)}
+
+
+def test_web_handlers(spark):
+    files = code_files(spark)
+    at = lambda df: {(r.file_id, r.line_number) for r in df.collect()}
+    assert at(W.missing_headers(files)) == {(36, 1), (37, 1)} and at(W.missing_csrf(files)) == {(36, 2)}
+    assert at(W.line_rule(files, W.UPLOAD)) == {(37, 5)} and at(W.line_rule(files, W.DISCLOSURE)) == {(36, 7)}
+    assert at(W.line_rule(files, W.RATE_LIMIT)) == {(36, 2), (38, 2)}
+    assert at(I.near_taint(files, W.TRUST)) == {(12, 2), (39, 2), (39, 4)}
+
+
+def test_prompts_and_agents(spark):
+    files = code_files(spark)
+    assert {(r.file_id, r.line_number) for r in W.prompt_lines(files).collect()} == {(40, 1), (41, 2)}
+    rows = {(r.file_id, r.line_number, r.operation) for r in W.agent_operations(files).collect()}
+    assert rows == {(42, 2, "os.remove"), (42, 51, "os.unlink"), (42, 54, "subprocess.popen"), (42, 54, "shell=true")}
