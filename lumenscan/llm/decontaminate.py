@@ -4,17 +4,20 @@ Words are lower-cased and freed of ASCII punctuation, then hashed to FEATURES co
 
 1. Document frequencies of the features over all documents (one pass; every task sends one vector of fixed size).
 2. The TF-IDF passages of the benchmark are factorised by a randomised SVD: the tasks multiply their rows with the
-   current basis and send partial products, the driver orthogonalises a FEATURES x (RANK + 8) matrix. This fits the
-   index on the benchmark, which is small and documented as its own bound; all documents are searched.
-3. Each window of 2 * STRIDE words, STRIDE apart, of every whole text is folded into the latent space, and its cosine
-   with every item is taken (the window's norm is that of its whole TF-IDF vector, so words foreign to the benchmark
-   count against it). Items come in blocks of at most BLOCK_ITEMS, so that what is sent to the executors is bounded.
-4. A window and item over MIN_COSINE are compared word by word: the longest common subsequence of the item and the
-   text around the window must cover MIN_LCS of the item, and MIN_ANSWER of its answer words (its last third) must
-   stand there too.
-
-Defined cases: null and empty texts and items match nothing; items of fewer than MIN_WORDS words are not searched for;
-null doc_ids are reported as null; repeated documents or items give one row for each pair of ids; empty tables give no
+   current basis and send partial products, the driver orthogonalises a FEATURES x (rank + 8) matrix. Items come in
+   blocks of about BLOCK_ITEMS, one pass over the documents each, and a block's rank is its number of items, so that
+   every item keeps its whole energy in the latent space however large the benchmark is (an item that keeps less than
+   ENERGY, by rounding, is searched by its own vector). Only the benchmark is fitted; all documents are searched.
+3. Each window of 2 * STRIDE words, STRIDE apart, of every whole text is folded into the latent space and multiplied
+   with every item (both are linear and stand in one table). A pair is a candidate if its cosine reaches MIN_COSINE, or
+   if the window holds MIN_SHARE of an even part of the item's energy, an even part being the energy over the number of
+   disjoint windows that n words can touch. One of these windows holds such a part of any exact copy whatever else
+   stands in it, so no exact copy is lost here, whether short, long or between foreign words.
+4. A candidate is compared word by word: the longest common subsequence of the item and the text around the window must
+   cover MIN_LCS of the item, and MIN_ANSWER of its answer words (its last third) must stand there too. Items of fewer
+   than MIN_WORDS words must stand there word for word, without gaps.
+
+Defined cases: null and empty texts and items match nothing; null doc_ids are reported as null; repeated documents or items give one row for each pair of ids; empty tables give no
 rows; other columns are not touched.
 """
 
@@ -31,13 +34,15 @@ from pyspark.sql import functions as F
 from ._text import PUNCTUATION, Words, slices
 
 FEATURE_BITS = 14
-RANK = 64
 STRIDE = 16
 MIN_COSINE = 0.3
+MIN_SHARE = 0.3
+ENERGY = 0.99
 MIN_LCS = 0.6
 MIN_ANSWER = 0.6
 MIN_WORDS = 8
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS = 512
+_FOLD = 512  # blocks of words folded at once
 _BLOCKS = 16
 RESULT = "doc_id long, item_id long, lcs_words long, item_words long, answer_found long, answer_words long"
 
@@ -79,7 +84,7 @@ def _dense(hash_lists: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
     return rows / np.where(norm, norm, 1)
 
 
-def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = 3) -> np.ndarray:
+def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int, rounds: int = 3) -> np.ndarray:
     """The leading right singular vectors (features x rank) of the items' TF-IDF rows, which stay on the executors."""
     rng = np.random.default_rng(7)
     basis = np.linalg.qr(rng.standard_normal((1 << FEATURE_BITS, rank + 8)).astype(np.float32))[0]
@@ -130,14 +135,27 @@ class Index:
         for _, data, offsets in slices(column):
             w = _words(data, offsets)
             hashes += [w.hash[i:j] for i, j in zip(w.first[:-1], w.first[1:])]
-        keep = [k for k, h in enumerate(hashes) if len(h) >= MIN_WORDS]
+        keep = [k for k, h in enumerate(hashes) if len(h)]
         self.ids = [items[k][0] for k in keep]
         self.hashes = [hashes[k] for k in keep]
-        self.basis, self.idf = basis, idf
-        weights = [np.add.reduce(basis[_features(h)] * idf[_features(h), None]) for h in self.hashes]
-        self.vectors = np.array(weights, np.float32).reshape(len(keep), basis.shape[1])
-        self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-9)
-        self.live = (np.abs(basis).max(axis=1) > 1e-6) & (idf > 0)
+        self.idf = idf
+        vectors = np.zeros((len(keep), 1 << FEATURE_BITS), np.float32)
+        for own, h in zip(vectors, self.hashes):
+            np.add.at(own, _features(h), idf[_features(h)])
+        latent = vectors @ basis
+        energy = np.einsum("ij,ij->i", vectors, vectors)
+        lost = np.einsum("ij,ij->i", latent, latent) < ENERGY * energy
+        folded = np.where(lost[:, None], vectors, latent @ basis.T)
+        energy = np.einsum("ij,ij->i", folded, folded)
+        live = np.flatnonzero(vectors.any(axis=0))
+        self.row = np.full(1 << FEATURE_BITS, -1, np.int64)
+        self.row[live] = np.arange(len(live))
+        #: A row per feature of the items: what one such word adds to its window's product with each item.
+        self.table = np.ascontiguousarray(folded.T[live] * idf[live, None])
+        self.norm = np.sqrt(energy)
+        words = np.array([len(h) for h in self.hashes])
+        parts = -(-(-(-(words + STRIDE - 1) // STRIDE)) // 2)
+        self.least = (MIN_SHARE * energy / np.maximum(parts, 1) * 0.999 - 1e-6).astype(np.float32)
         self.masks, self.answers = [], []
         for h in self.hashes:
             masks: dict[int, int] = {}
@@ -160,28 +178,29 @@ class Index:
             feature = _features(w.hash)
             weight = self.idf[feature]
             square = np.bincount(block, weight * weight, n_blocks)
-            at = np.flatnonzero(self.live[feature])
-            latent = np.zeros((n_blocks, self.basis.shape[1]), np.float32)
-            if len(at):
-                own = block[at]
-                cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
-                latent[own[cuts]] = np.add.reduceat(self.basis[feature[at]] * weight[at, None], cuts)
+            row = self.row[feature]
+            at = np.flatnonzero(row >= 0)
+            own, row = block[at], row[at]
             of_block = np.repeat(np.arange(len(blocks)), blocks)
             pair = np.zeros(n_blocks, bool)
             pair[:-1] = of_block[:-1] == of_block[1:]
-            window, norm = latent.copy(), square.copy()
-            window[:-1][pair[:-1]] += latent[1:][pair[:-1]]
+            norm = square.copy()
             norm[:-1][pair[:-1]] += square[1:][pair[:-1]]
-            # a window cannot reach the cosine if even its whole latent length falls short
-            strong = np.flatnonzero(np.einsum("ij,ij->i", window, window) >= MIN_COSINE**2 * np.maximum(norm, 1e-9))
-            if not len(strong):
-                continue
+            reach = (MIN_COSINE * np.sqrt(np.maximum(norm, 1e-9))).astype(np.float32)
             best: dict[tuple[int, int], tuple[int, int]] = {}
-            for k in range(0, len(strong), 4096):
-                some = strong[k : k + 4096]
-                cosine = window[some] @ self.vectors.T
-                rows, items = np.nonzero(cosine >= MIN_COSINE * np.sqrt(norm[some])[:, None])
-                for b, item in zip(some[rows].tolist(), items.tolist()):
+            for k in range(0, n_blocks, _FOLD):
+                end = min(k + _FOLD, n_blocks)
+                i, j = np.searchsorted(own, [k, end + 1])
+                product = np.zeros((end + 1 - k, len(self.ids)), np.float32)
+                if j > i:
+                    cuts = np.concatenate([[0], np.flatnonzero(np.diff(own[i:j])) + 1])
+                    product[own[i:j][cuts] - k] = np.add.reduceat(self.table[row[i:j]], cuts)
+                window = product[:-1]
+                both = np.flatnonzero(pair[k:end])
+                window = window.copy()
+                window[both] += product[both + 1]
+                rows, items = np.nonzero(window >= np.minimum(self.least, reach[k:end, None] * self.norm.astype(np.float32)))
+                for b, item in zip((rows + k).tolist(), items.tolist()):
                     d = int(of_block[b])
                     n = len(self.hashes[item])
                     start = int(w.first[d]) + (b - int(block_first[d])) * STRIDE
@@ -190,7 +209,11 @@ class Index:
                     found = len(self.answers[item].intersection(region))
                     if found < MIN_ANSWER * len(self.answers[item]):
                         continue
-                    common = lcs_length(self.masks[item], n, region)
+                    if n < MIN_WORDS:
+                        whole = self.hashes[item].tolist()
+                        common = n if any(region[x : x + n] == whole for x in range(len(region) - n + 1)) else 0
+                    else:
+                        common = lcs_length(self.masks[item], n, region)
                     if common >= MIN_LCS * n:
                         best[d, item] = max(best.get((d, item), (0, 0)), (common, found))
             for (d, item), (common, found) in sorted(best.items()):
@@ -207,12 +230,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not n_items:
         return spark.createDataFrame([], RESULT)
-    basis = randomised_svd(items, idf)
     blocks = -(-n_items // BLOCK_ITEMS)
     out = None
     for k in range(blocks):
-        own = [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()] if blocks > 1 else [(r["item_id"], r["text"]) for r in items.orderBy("item_id", "text").collect()]
-        index = spark.sparkContext.broadcast(Index(own, idf, basis))
+        some = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        own = [(r["item_id"], r["text"]) for r in some.orderBy("item_id", "text").collect()]  # about BLOCK_ITEMS
+        if not own:
+            continue
+        index = spark.sparkContext.broadcast(Index(own, idf, randomised_svd(some, idf, len(own))))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -157,6 +157,17 @@ def test_decontamination(spark, awkward):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_every_exact_copy(spark):
+    """300 items of 3 to 450 words, far more than a fixed rank would carry, each copied whole between foreign words."""
+    r = random.Random(8)
+    items = [(k, " ".join(f"v{r.randrange(3000)}" for _ in range(r.choice([3, 5, 9, 20, 40, 58, 450])))) for k in range(300)]
+    rows = [(k, " ".join([*(f"f{r.randrange(10**6)}" for _ in range(100 + r.randrange(40))), text, *(f"f{r.randrange(10**6)}" for _ in range(90))]), "s") for k, text in items]
+    rows += [(1000 + k, " ".join(x for n, w in enumerate(text.split()) for x in ([w, f"g{r.randrange(10**6)}"] if n % 4 == 0 else [w])), "s") for k, text in items if len(text.split()) in range(20, 60)]
+    found = {(x.doc_id, x.item_id): x.lcs_words for x in decontaminate.matches(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(found.get((k, k)) == len(text.split()) for k, text in items)
+    assert all((i, i - 1000) in found for i, _, _ in rows if i >= 1000)
+
+
 def test_packing(spark, awkward):
     docs = docs_of(spark, awkward)
     placed = packing.pack(docs, capacity=700, shard_docs=20).toPandas()
