@@ -161,18 +161,17 @@ SWEEPS = 3
 def tainted_variables(files: DataFrame, source: str = SOURCE, comments: bool = False) -> DataFrame:
     """file_id, var: what user input reaches in three sweeps over the assignments.
 
-    Words of right sides are equi-joined with variables instead of searching every line for every variable. A state is the
-    sweep in which a variable became tainted and the line; an assignment further down fires in the same sweep, one above in the next."""
+    A file's assignments are collected by line and folded from the top, SWEEPS times, so a chain of any length further down
+    is followed within one sweep and an assignment above fires in the next. One shuffle by file, no rounds of joins."""
     rows = lines(files) if comments else lines(files).filter(is_code(F.col("line")))
-    seeds = rows.filter(F.col("line").rlike(pat(source))).select("file_id", F.regexp_extract("line", pat(source), 1).alias("var"), F.lit(0).alias("at"), F.lit(1).alias("sweep")).distinct()
-    target, right = F.regexp_extract("line", pat(ASSIGN), 1), F.regexp_extract("line", pat(ASSIGN), 2)
-    edges = rows.filter(F.col("line").rlike(pat(ASSIGN))).select("file_id", "line_no", target.alias("target"), F.explode(F.array_distinct(F.regexp_extract_all(right, F.lit(pat(r"(\w+)")), 1))).alias("word"))
-    least = lambda df: df.groupBy("file_id", "var").agg(F.min(F.struct("sweep", "at")).alias("s")).select("file_id", "var", "s.sweep", "s.at")
-    state = least(seeds)
-    for _ in range(2 * SWEEPS):
-        reached = edges.join(state, (edges.file_id == state.file_id) & (edges.word == state.var)).select(edges.file_id, F.col("target").alias("var"), F.col("line_no").alias("at"), (F.col("sweep") + (F.col("line_no") <= F.col("at")).cast("int")).alias("sweep"))
-        state = least(state.select("file_id", "var", "at", "sweep").unionByName(reached.filter(F.col("sweep") <= SWEEPS)))
-    return state.select("file_id", "var").distinct()
+    seed = F.when(F.col("line").rlike(pat(source)), F.regexp_extract("line", pat(source), 1))
+    edge = F.struct("line_no", F.regexp_extract("line", pat(ASSIGN), 1).alias("target"), F.array_distinct(F.regexp_extract_all(F.regexp_extract("line", pat(ASSIGN), 2), F.lit(pat(r"(\w+)")), 1)).alias("words"))
+    by_file = rows.groupBy("file_id").agg(F.collect_set(seed).alias("vars"), F.array_sort(F.collect_list(F.when(F.col("line").rlike(pat(ASSIGN)), edge))).alias("edges"))
+    state = by_file.filter(F.size("vars") > 0)
+    for _ in range(SWEEPS):
+        fire = lambda held, e: F.when(F.arrays_overlap(held, e["words"]), F.array_union(held, F.array(e["target"]))).otherwise(held)
+        state = state.select("file_id", "edges", F.aggregate("edges", F.col("vars"), fire).alias("vars"))
+    return state.select("file_id", F.explode("vars").alias("var"))
 
 
 _OWNERS = {"weak hash": "WeakHashDetector", "unsafe deserialization": "DeserializationDetector", "mass assignment": "TypeConfusionDetector", "attribute injection": "TypeConfusionDetector", "unsafe reflection": "UnsafeReflectionDetector", "hardcoded secret": "HardcodedSecretsDetector", "debug mode enabled": "OperationalSecurityDetector", "insecure temp file": "TOCTOUDetector", "weak random": "WeakRandomDetector"}

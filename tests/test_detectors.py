@@ -40,6 +40,14 @@ def test_taint_equals_sweeps(spark):
     assert {(r.file_id, r.var) for r in D.tainted_variables(code_files(spark)).collect()} == want
 
 
+def test_taint_follows_long_chains(spark):
+    down = ["v0 = input()", *(f"v{k} = v{k - 1}" for k in range(1, 41))]
+    up = [*(f"u{k} = u{k - 1}" for k in range(9, 0, -1)), "u0 = input()"]
+    code = spark.createDataFrame([(1, "a.py", "python", "\n".join(down)), (2, "b.py", "python", "\n".join(up))], "file_id long, path string, language string, code string")
+    got = {(r.file_id, r.var) for r in D.tainted_variables(code).collect()}
+    assert got == {(1, f"v{k}") for k in range(41)} | {(2, f"u{k}") for k in range(D.SWEEPS + 1)}
+
+
 def test_dedup_keeps_the_owner(spark):
     rows = [(1, 1, "OtherDetector", "Weak Hash", 0.99, 0), (1, 1, "WeakHashDetector", "Weak Hash", 0.5, 1), (1, 2, "A", "X", 0.5, 0), (1, 2, "B", "x", 0.5, 1)]
     df = spark.createDataFrame(rows, "file_id long, line_number int, detector_name string, vulnerability_type string, confidence double, det_ord int")
