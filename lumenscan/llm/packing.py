@@ -1,7 +1,8 @@
 """Best-fit packing under conflicts.
 
 Documents are packed into bins of `capacity` bytes (a document takes its UTF-8 bytes and one end mark). A bin never
-holds two documents of one source or of one duplicate cluster. Bins stand in a list ordered by residual space, and each
+holds two documents of one source, of equal texts (case and white space aside), or of one cluster that the caller names
+(op5_best_fit_packing: the components of near duplicates). Bins stand in a list ordered by residual space, and each
 carries a bitmap of its sources and one of its clusters; for a document (largest first) the search starts at the
 smallest residual that holds it and goes to the successor until a compatible bin is found, else a bin is opened.
 
@@ -22,19 +23,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import trie_join
+from ._store import materialize
+
 CAPACITY = 8192
 SHARD_DOCS = 1024
 RESULT = "doc_id long, piece int, bin_id long, bin_start long, length long, text_start long"
 
 
-def best_fit(items: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, int]]:
-    """(size, source bit, cluster bit) in order of placement -> (bin, start). A bit of -1 never conflicts."""
+def best_fit(items: list[tuple[int, ...]], capacity: int) -> list[tuple[int, int]]:
+    """(size, source bit, cluster bits...) in order of placement -> (bin, start). A bit of -1 never conflicts."""
     order: list[tuple[int, int]] = []  # (residual, bin), sorted
     sources: list[int] = []
     clusters: list[int] = []
     placed = []
-    for size, source, cluster in items:
-        s, c = (1 << source if source >= 0 else 0), (1 << cluster if cluster >= 0 else 0)
+    for size, source, *marks in items:
+        s, c = (1 << source if source >= 0 else 0), sum(1 << m for m in marks if m >= 0)
         k = bisect_left(order, (size, -1))
         while k < len(order) and (sources[order[k][1]] & s or clusters[order[k][1]] & c):
             k += 1
@@ -54,12 +58,13 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int) -> list[tuple[int
 def _pack_shard(capacity: int):
     def pack(key, frame: pd.DataFrame) -> pd.DataFrame:
         # bits only for what can conflict within the shard
-        def bits(values: pd.Series) -> list[int]:
+        def bits(values: pd.Series, start: int = 0) -> list[int]:
             counts = values.value_counts()
-            code = {v: k for k, v in enumerate(sorted(counts[counts > 1].index))}
+            code = {v: k for k, v in enumerate(sorted(counts[counts > 1].index), start)}
             return [code.get(v, -1) if not pd.isna(v) else -1 for v in values]
 
         sources, clusters = bits(frame["source"]), bits(frame["cluster"])
+        named = bits(frame["named"], 1 + max(clusters, default=-1))
         sizes, whole, rows = frame["size"].tolist(), [], []
         ids = frame["doc_id"].tolist()
         rest = []
@@ -70,7 +75,7 @@ def _pack_shard(capacity: int):
             if left or not full:
                 rest.append((i, full, left))
         rest.sort(key=lambda x: (-x[2], pd.isna(ids[x[0]]), 0 if pd.isna(ids[x[0]]) else ids[x[0]], clusters[x[0]], x[0]))
-        placed = best_fit([(left, sources[i], clusters[i]) for i, _, left in rest], capacity)
+        placed = best_fit([(left, sources[i], clusters[i], named[i]) for i, _, left in rest], capacity)
         used = 1 + max((b for b, _ in placed), default=-1)
         base = int(key[0]) << 32
         rows = [(ids[i], full, base + b, start, left, full * capacity) for (i, full, left), (b, start) in zip(rest, placed)]
@@ -81,10 +86,22 @@ def _pack_shard(capacity: int):
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS, cluster: Column | None = None, n_docs: int | None = None) -> DataFrame:
-    """Per placed piece: doc_id, piece, bin_id, bin_start, length and text_start (bytes). `cluster` defaults to equal texts, case and white space aside."""
+    """Per placed piece: doc_id, piece, bin_id, bin_start, length and text_start (bytes). Equal texts, case and white space
+    aside, always conflict; so do rows of equal `cluster`, a long, where it is not null."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    same = F.xxhash64(F.lower(F.regexp_replace(F.trim(text), r"\s+", " "))) if cluster is None else cluster
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), same.alias("cluster"), (F.octet_length(text) + 1).cast("long").alias("size"))
+    same = F.xxhash64(F.lower(F.regexp_replace(F.trim(text), r"\s+", " ")))
+    named = (F.lit(None) if cluster is None else cluster).cast("long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), same.alias("cluster"), named.alias("named"), (F.octet_length(text) + 1).cast("long").alias("size"))
     shards = max(1, -(-(docs.count() if n_docs is None else n_docs) // shard_docs))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("cluster"))), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(_pack_shard(capacity), RESULT)
+
+
+def pack_apart(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOCS) -> DataFrame:
+    """`pack` with the components of near duplicates as clusters. Rows stand under a hash of doc_id
+    and text, so that null and repeated doc_ids are parted like others."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    keyed = docs.select(key.alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "source")
+    found = trie_join.near_duplicates(keyed.select("_key", "text"), id_col="_key")
+    roots = found.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("_component"))
+    return pack(keyed.join(materialize(roots, "components"), "_key", "left"), capacity, shard_docs, F.col("_component"), docs.count())

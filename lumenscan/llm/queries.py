@@ -43,7 +43,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack_apart(_table(spark, sf_dir, "documents"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

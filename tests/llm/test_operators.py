@@ -185,6 +185,27 @@ def test_packing(spark, awkward):
     assert packing.best_fit([(6, 0, -1), (5, 1, -1), (4, 1, -1), (3, 0, -1)], 10) == [(0, 0), (1, 0), (0, 6), (1, 5)]
 
 
+def test_packing_parts_near_copies(spark, awkward, tmp_path):
+    from lumenscan.llm import queries
+
+    rows = [(i, t, f"own{k}") for k, (i, t, _) in enumerate(awkward) if t is None or len(t) < 2000]
+    rows.append((None, awkward[5][1] + " more", "null copy"))
+    docs = docs_of(spark, rows)
+    component = {r.doc_id: r.component_id for r in trie_join.near_duplicates(docs_of(spark, [(-1 if i is None and t.endswith("more") else i, t, s) for i, t, s in rows])).collect() if r.n_shingles}
+    assert max(collections.Counter(component.values()).values()) > 20
+    placed = packing.pack_apart(docs, capacity=4000, shard_docs=1000).toPandas()
+    for _, some in placed.groupby("bin_id"):
+        named = [component[i] for i in some.doc_id.dropna().astype(int) if i in component]
+        assert len(named) == len(set(named))
+    assert placed.length.sum() == sum(len((t or "").encode()) + 1 for _, t, _ in rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    bins = collections.defaultdict(list)
+    for r in queries.op5_best_fit_packing(spark, str(tmp_path)).collect():
+        if r.doc_id in component:
+            bins[r.bin_id].append(component[r.doc_id])
+    assert all(len(x) == len(set(x)) for x in bins.values())
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     import public_tokenizers
