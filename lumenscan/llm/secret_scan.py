@@ -1,14 +1,15 @@
 """Secret scans: base patterns, and formats learnt as probabilistic automata.
 
-1. One narrow pass takes from every whole text the spans of the base patterns and all other credential-like strings
-   (16 or more characters with a letter and a digit) as candidates.
+1. One narrow pass takes from every whole text the spans of the base patterns and, as candidates, all runs of MIN_CHARS or
+   more characters of the labelled values' alphabet.
 2. Labelled credentials are the values of the base spans. Per kind, at most FIT_VALUES distinct values (those with the
-   smallest hashes) fill a prefix tree over character classes; states whose continuations cannot be told apart
+   smallest hashes) fill, whole, a prefix tree over character classes; states whose continuations cannot be told apart
    (Hoeffding bound, ALPHA) are merged, which leaves a small automaton with transition probabilities. Ordinary long
-   words, bounded alike, give the background automaton.
+   words (all of them outside base spans, bounded alike by hash) give the background automaton.
 3. Every candidate of every document gets its likelihood under each format and the background. One whose best format
-   leads by MIN_BITS, and by MIN_BITS_PER_CHAR for each character, and whose length lies in the format's range, is a span of
-   kind `format`, unless it touches a base span. Base spans stay as they are.
+   leads by MIN_BITS, and by MIN_BITS_PER_CHAR for each character, and whose length lies in the format's range, is a secret.
+   If the whole run is one, what lies outside base spans is of kind `format`; else each part outside them is scored, and
+   then the pieces between its dots. Base spans stay as they are.
 
 Defined cases: null and empty texts have no spans; null doc_ids are kept; repeated rows give repeated results; equal values are
 one label; with no labelled values nothing is added; an empty table gives no rows; other columns are not touched.
@@ -17,9 +18,11 @@ Offsets count code points, the end is exclusive.
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,7 +35,8 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 _WORDS = ("passw", "secret", "token", "api")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+MIN_CHARS = 12
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{12,40}")
 
 FIT_VALUES = 1000
@@ -59,12 +63,36 @@ def base_spans(text: str) -> list[tuple[int, str, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
-def candidates(text: str, spans: list[tuple[int, str, int, str]]) -> list[tuple[int, int, str]]:
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text)]
+
+
+def outside(start: int, end: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a run that no base span covers."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        v = m[0]
-        if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and not any(a < m.end() and m.start() < b for a, _, b, _ in spans):
-            out.append((m.start(), m.end(), v))
+    for a, b in sorted(covered):
+        if b <= start or a >= end:
+            continue
+        if a > start:
+            out.append((start, a))
+        start = max(start, b)
+    return [*out, (start, end)] if start < end else out
+
+
+def added(start: int, value: str, covered: list[tuple[int, int]], secret: Callable[[str], bool]) -> list[tuple[int, int]]:
+    """The spans of a candidate that the formats add to the base spans."""
+    parts = outside(start, start + len(value), covered)
+    if parts and secret(value):
+        return parts
+    out = []
+    for a, b in parts:
+        part = value[a - start : b - start]
+        if len(part) < MIN_CHARS:
+            continue
+        if part != value and secret(part):
+            out.append((a, b))
+        elif "." in part:
+            out += [(a + m.start(), a + m.end()) for m in re.finditer(r"[^.]+", part) if len(m[0]) >= MIN_CHARS and secret(m[0])]
     return out
 
 
@@ -80,14 +108,14 @@ def classes(value: str) -> str:
 class Automaton:
     """A deterministic automaton with probabilities, merged from the prefix tree of its examples."""
 
-    def __init__(self, values: list[str], alpha: float = ALPHA, depth: int = 64):
+    def __init__(self, values: list[str], alpha: float = ALPHA):
         self.lengths = (min(map(len, values)), max(map(len, values))) if values else (0, -1)
         self.next: list[dict[str, int]] = [{}]
         self.seen: list[dict[str, int]] = [{}]
         self.total: list[int] = [0]
         for value in values:
             state = 0
-            for c in classes(value[:depth]):
+            for c in classes(value):
                 self.total[state] += 1
                 self.seen[state][c] = self.seen[state].get(c, 0) + 1
                 if c not in self.next[state]:
@@ -168,18 +196,22 @@ class Formats:
         return False
 
 
+def _order(value: str) -> tuple[str, str]:
+    return hashlib.md5(value.encode()).hexdigest(), value
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans, others, ordinary = [], [], []
-        for k, text in enumerate(batch.column(1).to_pylist()):
+        spans, others, ordinary = [], [], set()
+        for text in batch.column(1).to_pylist():
             text = text or ""
             found = base_spans(text)
             spans.append([{"kind": kind, "start": a, "end": b, "value": v} for a, kind, b, v in found])
-            others.append([{"start": a, "end": b, "value": v} for a, b, v in candidates(text, found)])
-            # one ordinary word a document is plenty for a bounded background
-            m = ORDINARY.search(text)
-            ordinary.append([m[0]] if m and not any(a <= m.start() < b for a, _, b, _ in found) else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPAN_TYPE), pa.array(others, _CANDIDATE_TYPE), pa.array(ordinary, pa.list_(pa.string()))], names=["doc_id", "spans", "candidates", "ordinary"])
+            others.append([{"start": a, "end": b, "value": v} for a, b, v in candidates(text)])
+            ordinary.update(m[0] for m in ORDINARY.finditer(text) if not any(a <= m.start() < b for a, _, b, _ in found))
+        # the least of all batches are among the least of each
+        least = [heapq.nsmallest(FIT_VALUES, ordinary, key=_order), *[[]] * (len(batch) - 1)][: len(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPAN_TYPE), pa.array(others, _CANDIDATE_TYPE), pa.array(least, pa.list_(pa.string()))], names=["doc_id", "spans", "candidates", "ordinary"])
 
 
 def find(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -194,24 +226,34 @@ def _least(values: DataFrame) -> list[str]:
 def fit(found: DataFrame) -> Formats:
     """Formats from the labelled values among the found spans."""
     labelled = found.select(F.explode("spans").alias("s")).select("s.kind", "s.value")
-    return Formats({k: _least(labelled.filter(F.col("kind") == k).select("value")) for k in KINDS[:3]}, _least(found.select(F.explode("ordinary").alias("value"))))
+    return Formats({k: _least(labelled.filter(F.col("kind") == k).select("value")) for k in KINDS[:3]}, [r[0] for r in found.select(F.explode("ordinary").alias("value")).distinct().orderBy(F.md5("value"), "value").limit(FIT_VALUES).collect()])
+
+
+def _remembered(formats: Formats) -> Callable[[str], bool]:
+    known: dict[str, bool] = {}
+
+    def secret(value: str) -> bool:
+        if value not in known:
+            if len(known) > 100_000:
+                known.clear()
+            known[value] = formats.secret(value)
+        return known[value]
+
+    return secret
 
 
 def all_spans(found: DataFrame, formats: Formats) -> DataFrame:
     """doc_id, spans (base ones and added ones, by start and kind)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bool] = {}
+        secret = _remembered(formats)
         for batch in batches:
             out = []
-            if len(known) > 100_000:
-                known.clear()
             for spans, others in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                covered = [(s["start"], s["end"]) for s in spans]
                 for c in others:
-                    if c["value"] not in known:
-                        known[c["value"]] = formats.secret(c["value"])
-                    if known[c["value"]]:
-                        spans.append({"kind": "format", **c})
+                    near = [s for s in covered if s[0] < c["end"] and c["start"] < s[1]]
+                    spans += [{"kind": "format", "start": a, "end": b, "value": c["value"][a - c["start"] : b - c["start"]]} for a, b in added(c["start"], c["value"], near, secret)]
                 out.append(sorted(spans, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _SPAN_TYPE)], names=["doc_id", "spans"])
 
@@ -251,13 +293,15 @@ def redact(docs: DataFrame) -> DataFrame:
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        secret = _remembered(formats)
         at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
         for batch in batches:
             texts, chars = [], []
             for text in batch.column(at).to_pylist():
                 if text is not None:
                     found = base_spans(text)
-                    spans = [(a, b) for a, _, b, _ in found] + [(a, b) for a, b, v in candidates(text, found) if formats.secret(v)]
+                    spans = [(a, b) for a, _, b, _ in found]
+                    spans += [s for a, b, v in candidates(text) for s in added(a, v, [x for x in spans if x[0] < b and a < x[1]], secret)]
                     text = mask(text, spans) if spans else text
                 texts.append(text)
                 chars.append(None if text is None else len(text))

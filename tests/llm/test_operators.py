@@ -138,6 +138,23 @@ def test_formats_on_held_out_values():
     assert sum(formats.secret(word()) for _ in range(300)) == 0
 
 
+def test_secrets_without_label(spark):
+    """Short, dotted, all-letter and long unlabelled values, and what a base span leaves of a key."""
+    r = random.Random(9)
+    some = lambda n, of="ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(r.choice(of) for _ in range(n))
+    word = lambda: "".join(r.choice(["tion", "ment", "ing", "able", "hand", "werk"]) for _ in range(7))
+    value = lambda k: [some(13), some(15, "BCDFGHJKQVWXZ"), some(12) + "." + some(12), some(200), some(20) + some(16, "0123456789abcdef") + some(20)][k % 5]
+    labelled = [(k, " ".join([f"token = '{value(k)}'", *(word() for _ in range(20))]), "s") for k in range(1000)]
+    hidden = {5000 + k: value(k) for k in range(10)}
+    docs = docs_of(spark, [*labelled, *((i, f"{word()} {v} {word()}", "s") for i, v in hidden.items())])
+    masked = {x.doc_id: x.text.split() for x in secret_scan.redact(docs).collect() if x.doc_id >= 5000}
+    for kind in range(5):
+        own = [masked[i] for i in hidden if i % 5 == kind]
+        assert all(set(w.replace("[SECRET]", "") for w in t[1:-1]) == {""} for t in own), (kind, own)
+    assert all(re.fullmatch("[a-z]+", t[0]) and re.fullmatch("[a-z]+", t[-1]) for t in masked.values())
+    assert secret_scan.outside(10, 60, [(20, 36)]) == [(10, 20), (36, 60)]
+
+
 def test_decontamination(spark, awkward):
     r = random.Random(4)
     items = [(k, " ".join(f"q{k}x{r.randrange(50)}" for _ in range(r.randrange(14, 50)))) for k in range(20)] + [(90, None), (91, "")]
