@@ -7,14 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_for_tests: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one is set only where none is configured (tests)."""
+    """The cluster's checkpoint folder. Where none is configured (tests on one machine), a temporary one; on a cluster
+    that would be a folder of the driver alone, so there an unset folder is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lumenscan-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set")
+    if not _for_tests:
+        _for_tests.append("file://" + tempfile.mkdtemp(prefix="lumenscan-"))
+    return _for_tests[0]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -29,6 +35,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows that an Arrow batch carries, as rows hold whole texts or sets."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def discard(table: DataFrame) -> None:
+    """Deletes a table of `materialize` that nothing will read again, in whatever store it lies."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if folder.startswith(shared_dir(spark).replace("file://", "file:")) or folder.startswith(shared_dir(spark)):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that the table doesn't have, whatever its own are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._store import fresh_path
+from ._store import fresh_path, materialize
 from .token_counts import encoder
 
 MAGIC = b"LPLANES1"
@@ -181,10 +181,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Writes the files to the shared folder and reads them back: doc_id, start, n_tokens, ids_crc32."""
-    from ._store import materialize, small_batches
-
     spark = docs.sparkSession
-    small_batches(spark, 500)
     path = fresh_path(spark, "token-files")
     write_token_files(docs, path, tokenizer_path, end_id, text_col=text_col, id_col=id_col)
     rows = materialize(read_token_files(spark, path), "token-rows")

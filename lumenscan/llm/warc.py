@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import fresh_path, materialize, small_batches
+from ._store import fresh_path, materialize
 
 MIN_DEDUP = 100
 VERSION = b"WARC/1.1\r\n"
@@ -193,7 +193,6 @@ def read_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "gap_start", "gap_end", "reason"])
 
-    small_batches(spark, 1)  # a file a batch
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, gap_start long, gap_end long, reason string"
     rows = materialize(files.mapInArrow(run, schema), "archive-rows")
     records = rows.filter("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenscan.llm import chat_format, decontaminate, lm_score, packing, quality_rules, secret_scan, token_counts, token_files, trie_join, warc
@@ -74,21 +75,51 @@ def test_trie_walk_is_exact():
     assert trie_join.walk_trie(probe, sets).tolist() == want and any(want)
 
 
-def test_bitmaps_rule_out_no_link():
+def test_bounds_rule_out_no_link():
+    """The bounds of the last step hold for every linked pair, whatever the global order."""
     r = random.Random(7)
-    ruled_out = 0
-    for _ in range(400):
-        size, part = r.choice([1, 5, 40, 300, 3000]), r.uniform(0.6, 1)
-        a = np.unique(np.array([r.randrange(2**64) for _ in range(size)], np.uint64))
-        b = np.unique(np.concatenate([a[: int(part * len(a))], np.array([r.randrange(2**64) for _ in range(int((1 - part) * size * r.random()))], np.uint64)]))
-        links = len(b) > 0 and 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
-        x, y = (np.frombuffer(trie_join.bitmap(s), np.uint8)[None] for s in (a, b))
-        may = bool(trie_join.may_link(x, y, np.array([len(a)]), np.array([len(b)]))[0])
-        assert may or not links
-        ruled_out += not may
-    assert ruled_out > 20
-    same = np.frombuffer(trie_join.sketch(a), np.uint8)[None]
-    assert trie_join.look_alike(same, same).all()
+    linked = 0
+    for _ in range(3000):
+        n = r.randrange(1, 80)
+        a = r.sample(range(300), n)
+        b = sorted(set(r.sample(a, n - r.randrange(0, min(n, 1 + n // 3)))) | set(r.sample(range(300), r.randrange(0, 4))))
+        a = sorted(a)
+        if 100 * len(set(a) & set(b)) < 75 * len(set(a) | set(b)):
+            continue
+        linked += 1
+        n, m = len(a), len(b)
+        pa_, pb = (x[: int(trie_join.prefix_length(np.int64(len(x))))] for x in (a, b))
+        common = sorted(set(pa_) & set(pb))
+        need = trie_join.needed_overlap(n, m)
+        assert common and len(common) + -(-75 * max(n, m) // 100) - 1 >= need
+        assert min(n - a.index(common[0]), m - b.index(common[0])) >= need
+    assert linked > 500
+
+
+def test_runs_stream_over_batches(monkeypatch):
+    r = random.Random(5)
+    rows = [((r.randrange(6) if k % 2 else r.randrange(1 << 20)) << 44, r.randrange(12), 9 << 32 | k) for k in range(400)]
+    rows.sort(key=lambda x: x[0] >> 60)
+    want = collections.defaultdict(set)
+    for tok, cid, _ in rows:
+        want[tok].add(cid)
+    for size in (1, 3, 50, 1000):
+        monkeypatch.setattr(trie_join, "BLOCK_TOKENS", size)
+        blocks = [np.array(rows[k : k + 7], np.uint64).tobytes() for k in range(0, len(rows), 7)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([0] * len(b), pa.int64()), pa.array(b, pa.binary())], names=["range", "rows"]) for b in (blocks[:20], blocks[20:])]
+        got = collections.defaultdict(set)
+        for batch in trie_join._runs(4, iter(batches)):
+            for row in batch.to_pylist():
+                tok = row["tok"] % 2**64
+                got[tok].add(row["cid"])
+                assert row["n"] == 9 and row["rep"] in want[tok] and row["rep_n"] == 9
+        assert got == {t: c for t, c in want.items() if len(c) > 1}
+
+
+def test_sketches_agree_for_equal_sets():
+    x = np.sort(np.random.default_rng(1).integers(0, 2**63, 300).astype(np.uint64))
+    rows = trie_join.sketches([x, np.zeros(0, np.uint64), x])
+    assert (rows[0] == rows[2]).all() and not rows[1].any() and trie_join.look_alike(rows[:1], rows[2:]).all()
 
 
 def test_quality(spark, awkward):
@@ -223,6 +254,33 @@ def test_packing_parts_near_copies(spark, awkward, tmp_path):
     assert all(len(x) == len(set(x)) for x in bins.values())
 
 
+def test_packing_equals_brute_force():
+    r = random.Random(11)
+    for _ in range(200):
+        capacity = r.randrange(5, 40)
+        items = sorted(((r.randrange(1, capacity + 1), r.randrange(-1, 4), r.randrange(-1, 4)) for _ in range(r.randrange(1, 40))), reverse=True)
+        bins, want = [], []
+        for size, source, cluster in items:
+            fit = [(left, b) for b, (left, s, c) in enumerate(bins) if left >= size and (source < 0 or source not in s) and (cluster < 0 or cluster not in c)]
+            if fit:
+                left, b = min(fit)
+            else:
+                b = len(bins)
+                left = capacity
+                bins.append([capacity, set(), set()])
+            want.append((b, capacity - left))
+            bins[b][0] -= size
+            bins[b][1].add(source)
+            bins[b][2].add(cluster)
+        assert packing.best_fit(items, capacity) == want
+
+
+def test_packing_keeps_large_ids_beside_a_null(spark):
+    ids = [2**60 + 1, 2**60 + 3, None, -(2**62) - 1]
+    got = packing.pack(docs_of(spark, [(i, f"text {i}", None) for i in ids])).collect()
+    assert {r.doc_id for r in got} == set(ids) and len(got) == 4
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     import public_tokenizers
