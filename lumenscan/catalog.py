@@ -35,14 +35,14 @@ def scan_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _load() -> None:
     """Modules that register queries."""
-    from .plans import analytics, scanning, web  # noqa: F401
+    from .plans import analytics, flows, reports, scanning, web  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Severity counts of the credentials found in the documents."""
-    from .plans.scanning import det_secrets_documents
+    """Findings of every scan by severity."""
+    from .plans.analytics import severity_counts
 
-    return det_secrets_documents(spark, sf_dir)
+    return severity_counts(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -19,6 +19,7 @@ class Rule:
     sql: str | None = None  # the pattern without lookarounds, for engines that lack them
     context: tuple[str, int, int] | None = None  # must match in the frame (pattern, lines before, lines after)
     skip: tuple[str, int, int] | None = None  # must not match there
+    despite: str | None = None  # matching in the frame of `skip`, it overrules that
     file: str | None = None  # must match in the file
 
 
@@ -29,11 +30,12 @@ class Detector:
     rules: tuple[Rule, ...]
     file: str | None = None
     safe: str | None = None  # a line with it is never reported
+    slashes: bool = False  # lines that begin with // are comments too
 
 
 # The patterns, types, severities and CWE numbers that results must agree on.
 _ITEMS = r"for\s+\w+(?:\s*,\s*\w+)?\s+in\s+\w+\.items\(\)"
-DESERIALIZATION = Detector("DeserializationDetector", 0.92, tuple(Rule(rf"\b{p}\s*\(", "Unsafe Deserialization", "CRITICAL", "CWE-502") for p in (r"pickle\.loads?", r"cPickle\.loads?", r"marshal\.loads?", r"shelve\.open", r"yaml\.load", r"yaml\.unsafe_load", r"jsonpickle\.decode", r"dill\.loads?")), safe=r"yaml\.safe_load|yaml\.CSafeLoader|SafeLoader|defusedxml|ast\.literal_eval")
+DESERIALIZATION = Detector("DeserializationDetector", 0.92, tuple(Rule(rf"\b{p}\s*\(", "Unsafe Deserialization", "CRITICAL", "CWE-502") for p in (r"pickle\.loads?", r"cPickle\.loads?", r"marshal\.loads?", r"shelve\.open", r"yaml\.load", r"yaml\.unsafe_load", r"jsonpickle\.decode", r"dill\.loads?")), safe=r"(?i)yaml\.safe_load|yaml\.CSafeLoader|SafeLoader|defusedxml|ast\.literal_eval")
 CRYPTO = Detector("CryptoMisuseDetector", 0.92, (
     Rule(r"(?:iv|nonce|IV|NONCE)\s*=\s*(?:b?['\"][^'\"]{8,}['\"])", "Static IV/Nonce", "HIGH", "CWE-329", context=(r"AES|DES|Cipher|MODE_|encrypt", 3, 4)),
     Rule(r"MODE_ECB|modes\.ECB|(?<!\w)ECB\s*\(", "ECB Mode Usage", "HIGH", "CWE-327", sql=r"MODE_ECB|modes\.ECB|(?:^|[^\w])ECB\s*\("),
@@ -68,10 +70,10 @@ REFLECTION = Detector("UnsafeReflectionDetector", 0.90, (
 ))
 WEAK_HASH = Detector("WeakHashDetector", 0.93, (
     Rule(r"hashlib\.new\s*\(\s*['\"](?:md5|sha1|sha|md4|md2|ripemd160)['\"]|hashlib\.(?:md5|sha1|sha|md4|md2|ripemd160)\s*\(", "Weak Hash", "HIGH", "CWE-328", skip=(r"(?i)checksum|dedup|file_id|etag|non-crypto|non-security|cache_key|content_hash|blob_id", 5, 2)),
-))
+), slashes=True)
 WEAK_RANDOM = Detector("WeakRandomDetector", 0.92, (
-    Rule(r"\brandom\.(?:random|randint|randrange|uniform|choice|choices|sample|shuffle|gauss|normalvariate|lognormvariate|expovariate|vonmisesvariate|gammavariate|betavariate|paretovariate|weibullvariate|triangular|getrandbits|randbytes)\s*\(", "Weak Random", "HIGH", "CWE-330", skip=(r"(?i)demo|game|random_order|pick_random", 7, 3)),
-), safe=r"secrets\.|SystemRandom\(\)|os\.urandom|random\.SystemRandom")
+    Rule(r"\brandom\.(?:random|randint|randrange|uniform|choice|choices|sample|shuffle|gauss|normalvariate|lognormvariate|expovariate|vonmisesvariate|gammavariate|betavariate|paretovariate|weibullvariate|triangular|getrandbits|randbytes)\s*\(", "Weak Random", "HIGH", "CWE-330", skip=(r"(?i)shuffle|sample|demo|game|random_order|pick_random", 7, 3), despite=r"(?i)token|password|secret|key|session|auth|nonce|otp|csrf"),
+), safe=r"(?i)secrets\.|SystemRandom\(\)|os\.urandom|random\.SystemRandom", slashes=True)
 SQL_FSTRING = Detector("SQLInjectionDetector", 0.92, (Rule(r"\.(?:execute|executemany)\s*\(\s*f['\"]", "SQL Injection", "CRITICAL", "CWE-89"),), safe=r"\.(?:execute|executemany)\s*\([^,]+,\s*[\(\[]")
 # Own specification: a credential's name with a quoted literal, else a literal with a known prefix.
 SECRETS = Detector("HardcodedSecretsDetector", 0.95, (
@@ -95,10 +97,13 @@ def detect(files: DataFrame, detector: Detector) -> DataFrame:
             rows = rows.withColumn(f"_context{k}", any_in(F.col("line").rlike(pat(r.context[0])), *r.context[1:]))
             test &= F.col(f"_context{k}")
         if r.skip:
-            rows = rows.withColumn(f"_skip{k}", any_in(F.col("line").rlike(pat(r.skip[0])), *r.skip[1:]))
+            skip = any_in(F.col("line").rlike(pat(r.skip[0])), *r.skip[1:])
+            if r.despite:
+                skip &= ~any_in(F.col("line").rlike(pat(r.despite)), *r.skip[1:])
+            rows = rows.withColumn(f"_skip{k}", skip)
             test &= ~F.col(f"_skip{k}")
         tests.append(test)
-    clean = is_code(F.col("line"))
+    clean = is_code(F.col("line"), detector.slashes)
     if detector.safe:
         clean &= ~F.col("line").rlike(pat(detector.safe))
     first = F.coalesce(*(F.when(t, F.struct(F.lit(r.vulnerability_type).alias("vulnerability_type"), F.lit(r.severity).alias("severity"), F.lit(r.cwe_id).alias("cwe_id"))) for t, r in zip(tests, detector.rules)))
@@ -115,12 +120,15 @@ def detect_sql(files: str, detector: Detector) -> str:
         test = like("line", r.sql or r.pattern)
         for name, spec, sign in (("context", r.context, ""), ("skip", r.skip, "NOT ")):
             if spec:
-                extra.append(f"bool_or({like('line', spec[0])}) {w(*spec[1:])} AS {name}{k}")
+                despite = f" AND NOT bool_or({like('line', r.despite)}) {w(*spec[1:])}" if name == "skip" and r.despite else ""
+                extra.append(f"(bool_or({like('line', spec[0])}) {w(*spec[1:])}{despite}) AS {name}{k}")
                 test += f" AND {sign}{name}{k}"
         cases.append(f"WHEN {test} THEN {k}")
     pick = lambda f: "CASE rule " + " ".join(f"WHEN {k} THEN {q(getattr(r, f))}" for k, r in enumerate(detector.rules)) + " END"
     where = f"WHERE {like('code', detector.file)}" if detector.file else ""
     safe = f"AND NOT {like('line', detector.safe)}" if detector.safe else ""
+    if detector.slashes:
+        safe += " AND NOT starts_with(trim(line, ' ' || chr(9) || chr(13) || chr(12)), '//')"
     return f"""SELECT file_id, CAST(line_no AS INTEGER) AS line_number, {q(detector.name)} AS detector_name, {pick("vulnerability_type")} AS vulnerability_type,
     {pick("severity")} AS severity, {pick("cwe_id")} AS cwe_id, CAST({detector.confidence} AS DOUBLE) AS confidence FROM (
     SELECT *, CASE {" ".join(cases)} END AS rule FROM (SELECT *{"".join(", " + e for e in extra)} FROM (
@@ -174,6 +182,7 @@ def tainted_variables(files: DataFrame, source: str = SOURCE, comments: bool = F
     return state.select("file_id", F.explode("vars").alias("var"))
 
 
+# The detector that owns each type.
 _OWNERS = {"weak hash": "WeakHashDetector", "unsafe deserialization": "DeserializationDetector", "mass assignment": "TypeConfusionDetector", "attribute injection": "TypeConfusionDetector", "unsafe reflection": "UnsafeReflectionDetector", "hardcoded secret": "HardcodedSecretsDetector", "debug mode enabled": "OperationalSecurityDetector", "insecure temp file": "TOCTOUDetector", "weak random": "WeakRandomDetector"}
 
 

@@ -2,21 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
+BLOCK = 2048
+
+
+def _blocks(vectors: DataFrame, n: int, names: tuple[str, str, str]) -> DataFrame:
+    """About n blocks of vectors, dealt by a hash of their ids: block number, ids and unit vectors, one after the other."""
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    rows = vectors.groupBy(block.alias(names[0])).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("v"))
+    return rows.select(names[0], F.col("v.vec_id").alias(names[1]), F.flatten("v.embedding").cast("array<double>").alias(names[2]))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """q_id, vec_id, similarity: the k most similar vectors of each query, itself not included; ties by id.
+
+    The queries are a stated set, compared with all vectors in blocks: every pair of blocks is one matrix product and keeps
+    its best k of each query, which are merged at the end."""
+    names = ("block", "ids", "vs"), ("q_block", "q_ids", "qs")
+    n, m = (max(1, -(-t.count() // block)) for t in (vectors, queries))
+    theirs = _blocks(queries, m, names[1]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    pairs = theirs.join(_blocks(vectors, n, names[0]), "block").select("ids", "vs", "q_ids", "qs")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, vs, q_ids, qs = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in range(4))
+                v, q = vs.reshape(len(ids), -1), qs.reshape(len(q_ids), -1)
+                unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+                likeness = np.round(unit(q) @ unit(v).T, 6)
+                likeness[q_ids[:, None] == ids[None, :]] = -np.inf
+                out = [], [], []
+                for i in range(len(q_ids)):
+                    least = np.partition(likeness[i], -min(k, len(ids)))[-min(k, len(ids))]
+                    at = np.flatnonzero((likeness[i] >= least) & np.isfinite(likeness[i]))
+                    at = at[np.lexsort((ids[at], -likeness[i][at]))][:k]
+                    out[0].append(np.full(len(at), q_ids[i]))
+                    out[1].append(ids[at])
+                    out[2].append(likeness[i][at])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["q_id", "vec_id", "similarity"])
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """q_id, vec_id, similarity: the k most similar vectors of each query, itself not included. The queries are a stated set."""
-    q = queries.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
-    pairs = vectors.join(q, F.col("vec_id") != F.col("q_id")).select("q_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("similarity"), "vec_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+    return pairs.mapInArrow(best, "q_id long, vec_id long, similarity double").withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")

@@ -144,9 +144,9 @@ def sankey_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(F.coalesce("source", F.lit("analyzed_file")).alias("source"), F.col("lang").alias("target")).agg(F.count(F.lit(1)).alias("weight"))
 
 
-@query(f"SELECT scan_id, vulnerability_type, count(*) AS n, arg_min(severity, ordinal) AS first_severity FROM {_F} GROUP BY 1, 2")
+@query(f"SELECT scan_id, vulnerability_type, count(*) AS n, arg_min(severity, (ordinal, severity)) AS first_severity FROM {_F} GROUP BY 1, 2")
 def file_vuln_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(spark, sf_dir).groupBy("scan_id", "vulnerability_type").agg(F.count(F.lit(1)).alias("n"), F.min_by("severity", "ordinal").alias("first_severity"))
+    return findings(spark, sf_dir).groupBy("scan_id", "vulnerability_type").agg(F.count(F.lit(1)).alias("n"), F.min_by("severity", F.struct("ordinal", "severity")).alias("first_severity"))
 
 
 _MATRIX = "count(*) FILTER (found AND bad) AS tp, count(*) FILTER (found AND NOT bad) AS fp, count(*) FILTER (NOT found AND NOT bad) AS tn, count(*) FILTER (NOT found AND bad) AS fn"
@@ -170,9 +170,9 @@ def history_upsert_cap50(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("e.event_id", "e.ts").orderBy(F.desc("ts"), "event_id").limit(50)
 
 
-@query(f"SELECT scan_id, severity, '### ' || CAST(row_number() OVER (PARTITION BY scan_id, severity ORDER BY ordinal) AS VARCHAR) || '. ' || vulnerability_type AS heading FROM {_F}")
+@query(f"SELECT scan_id, severity, '### ' || CAST(row_number() OVER (PARTITION BY scan_id, severity ORDER BY ordinal, vulnerability_type) AS VARCHAR) || '. ' || vulnerability_type AS heading FROM {_F}")
 def markdown_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("scan_id", "severity").orderBy("ordinal"))
+    k = F.row_number().over(Window.partitionBy("scan_id", "severity").orderBy("ordinal", "vulnerability_type"))
     return findings(spark, sf_dir).select("scan_id", "severity", F.concat(F.lit("### "), k.cast("string"), F.lit(". "), F.col("vulnerability_type")).alias("heading"))
 
 

@@ -29,10 +29,10 @@ def scan_files_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"), F.octet_length("text").cast("long").alias("file_size_bytes"), F.size(F.split("text", "\n", -1)).cast("long").alias("line_count"))
 
 
-@query("SELECT doc_id, CASE WHEN text IS NULL THEN 'unreadable' WHEN strlen(text) = 0 THEN 'empty' WHEN strlen(text) > 4096 THEN 'too large' ELSE NULL END AS validation_error FROM documents")
+@query("SELECT doc_id, CASE WHEN text IS NULL THEN 'unreadable' WHEN strlen(text) = 0 THEN 'empty' WHEN strlen(text) > 10485760 THEN 'too large' ELSE NULL END AS validation_error FROM documents")
 def scan_validate_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.octet_length("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNull(), "unreadable").when(n == 0, "empty").when(n > 4096, "too large").alias("validation_error"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNull(), "unreadable").when(n == 0, "empty").when(n > 10 * 1024 * 1024, "too large").alias("validation_error"))
 
 
 _EXT = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "swift": "swift", "kt": "kotlin"}
@@ -47,10 +47,10 @@ def scan_language_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EXCLUDED = ("__pycache__", ".git", "node_modules", "venv", ".env")
 
 
-@query(f"SELECT page_id, url FROM pages WHERE NOT ({' OR '.join(f'contains(url, {x!r})' for x in (*_EXCLUDED, '/fr/'))})")
+@query(f"SELECT page_id, url FROM pages WHERE NOT ({' OR '.join(f'contains(url, {x!r})' for x in _EXCLUDED)})")
 def scan_exclude_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = F.lit(True)
-    for x in (*_EXCLUDED, "/fr/"):
+    for x in _EXCLUDED:
         keep &= ~F.contains("url", F.lit(x))
     return table(spark, sf_dir, "pages").filter(keep).select("page_id", "url")
 
@@ -187,9 +187,18 @@ def det_cookie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fuzzy match by containment; the small side is broadcast by the optimizer's own size check."""
-    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("part"))
-    return d.join(b, F.contains("text", F.col("part"))).select("doc_id", "item_id")
+    """Documents that hold an item's text. Five inner words in a row of an item stand in the same row in any such document:
+    an equi-join on their hash finds the pairs, which are then compared as texts. Items of fewer than seven words, if there
+    are any, are compared with every document."""
+    d, b = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("part"))
+    row_of = lambda w, at: F.xxhash64(F.array_join(F.slice(w, at, 5), " "))
+    words = F.split("part", " ", -1)
+    long_items = b.filter(F.size(words) >= 7).select("item_id", row_of(words, 2).alias("key"))
+    rows = d.select("doc_id", F.split("text", " ", -1).alias("w")).filter(F.size("w") >= 5)
+    keys = rows.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda k: row_of("w", k)))).alias("key"))
+    pairs = keys.join(long_items, "key").select("doc_id", "item_id").distinct()
+    found = pairs.join(d, "doc_id").join(b, "item_id").filter(F.contains("text", F.col("part"))).select("doc_id", "item_id")
+    return found.union(d.join(b.filter(F.size(words) < 7), F.contains("text", F.col("part"))).select("doc_id", "item_id"))
 
 
 _EDGES = [(1, "a", "b"), (1, "b", "c"), (2, "a", "b"), (2, "a", "c"), (2, "b", "d"), (2, "c", "d"), (3, "a", "b"), (3, "b", "a"), (3, "b", "c"), *((4, f"n{k}", f"n{k + 1}") for k in range(15)), *((5, f"n{k}", f"n{k + 1}") for k in range(16))]

@@ -18,7 +18,7 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_matches_sql(spark, db, name):
     frame = catalog.queries()[name](spark, SF)
     columns = sorted(frame.columns)
