@@ -3,16 +3,20 @@
 1. One narrow pass takes from every whole text the spans of the base patterns and, as candidates, all runs of MIN_CHARS or
    more characters of the labelled values' alphabet.
 2. Labelled credentials are the values of the base spans. Per kind, at most FIT_VALUES distinct values (those with the
-   smallest hashes) fill, whole, a prefix tree over character classes; states whose continuations cannot be told apart
-   (Hoeffding bound, ALPHA) are merged, which leaves a small automaton with transition probabilities. Ordinary long
-   words (all of them outside base spans, bounded alike by hash) give the background automaton.
-3. Every candidate of every document gets its likelihood under each format and the background. One whose best format
-   leads by MIN_BITS, and by MIN_BITS_PER_CHAR for each character, and whose length lies in the format's range, is a secret.
-   If the whole run is one, what lies outside base spans is of kind `format`; else each part outside them is scored, and
-   then the pieces between its dots. Base spans stay as they are.
-
-Defined cases: null and empty texts have no spans; null doc_ids are kept; repeated rows give repeated results; equal values are
-one label; with no labelled values nothing is added; an empty table gives no rows; other columns are not touched.
+   smallest hashes) fill, whole, a prefix tree over character classes; states whose continuations and ends cannot be told
+   apart (Hoeffding bound, ALPHA) are merged, which leaves a small automaton with probabilities of transitions and of
+   ending. Ordinary long words (all of them outside base spans, bounded alike by hash) give the background automaton.
+3. Every candidate of every document gets its likelihood, its end included, under each format and the background. One whose
+   best format leads by MIN_BITS, and by MIN_BITS_PER_CHAR for each character, is a secret. If the whole run is one, what
+   lies outside base spans is of kind `format`; else each part outside them is scored, and then the pieces between its
+   dots. Base spans stay as they are.
+4. The values of base spans are scored too, by automata that have not seen them: values fall into two halves by hash, and
+   each half is scored by what the other one taught. `n_confirmed` counts them: the share of credentials that the formats
+   find without the words around them is thus measured in every run.
+
+Defined cases: null and empty texts have no spans; texts of any length are read whole; null doc_ids are kept; repeated rows
+give repeated results; equal values are one label; of formats with one lead either may be the best, as only the lead counts;
+with no labelled values nothing is added; an empty table gives no rows; other columns are not touched.
 Offsets count code points, the end is exclusive.
 """
 
@@ -41,13 +45,16 @@ ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{12,40}")
 
 FIT_VALUES = 1000
 ALPHA = 0.05
-MIN_BITS = 24.0
+#: Odds of about 2^18 over ordinary words; a value of 16 digits, the shortest labelled one, leads by 20 bits.
+MIN_BITS = 18.0
 MIN_BITS_PER_CHAR = 1.2
 MASK = "[SECRET]"
 
 _SPAN = "struct<kind:string, start:int, end:int, value:string>"
+_SCORED = "struct<kind:string, start:int, end:int, value:string, confirmed:boolean>"
 FOUND = f"doc_id long, spans array<{_SPAN}>, candidates array<struct<start:int, end:int, value:string>>, ordinary array<string>"
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
+_SCORED_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("confirmed", pa.bool_())]))
 _CANDIDATE_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
 
 
@@ -99,6 +106,9 @@ def added(start: int, value: str, covered: list[tuple[int, int]], secret: Callab
 #: Character classes; a class's probability is shared evenly among its characters.
 _CLASS = {**{c: "h" for c in "abcdef"}, **{c: "l" for c in "ghijklmnopqrstuvwxyz"}, **{c: "U" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "9" for c in "0123456789"}}
 _SHARE = {"h": 6, "l": 20, "U": 26, "9": 10}
+#: What can follow a state: the four classes, the six marks of the values' alphabet, the end.
+_NEXT = 11
+_END = "$"
 
 
 def classes(value: str) -> str:
@@ -109,33 +119,39 @@ class Automaton:
     """A deterministic automaton with probabilities, merged from the prefix tree of its examples."""
 
     def __init__(self, values: list[str], alpha: float = ALPHA):
-        self.lengths = (min(map(len, values)), max(map(len, values))) if values else (0, -1)
         self.next: list[dict[str, int]] = [{}]
         self.seen: list[dict[str, int]] = [{}]
         self.total: list[int] = [0]
         for value in values:
             state = 0
-            for c in classes(value):
+            for c in [*classes(value), _END]:
                 self.total[state] += 1
                 self.seen[state][c] = self.seen[state].get(c, 0) + 1
+                if c == _END:
+                    break
                 if c not in self.next[state]:
                     self.next[state][c] = len(self.next)
                     self.next.append({})
                     self.seen.append({})
                     self.total.append(0)
                 state = self.next[state][c]
-            self.total[state] += 1
         self._merge(alpha)
 
-    def _alike(self, a: int, b: int, alpha: float, deep: int) -> bool:
-        n, m = self.total[a], self.total[b]
-        if not n or not m or deep == 0:
-            return True
-        bound = math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-        for c in self.seen[a].keys() | self.seen[b].keys():
-            if abs(self.seen[a].get(c, 0) / n - self.seen[b].get(c, 0) / m) > bound:
+    def _alike(self, a: int, b: int, alpha: float) -> bool:
+        """Whether no continuation of one state is significantly more frequent than that of the other, at any depth."""
+        todo = [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            n, m = self.total[a], self.total[b]
+            if not n or not m:
+                continue
+            bound = math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+            if bound >= 1:
+                continue  # nor can states below, which have fewer examples, be told apart
+            if any(abs(self.seen[a].get(c, 0) / n - self.seen[b].get(c, 0) / m) > bound for c in self.seen[a].keys() | self.seen[b].keys()):
                 return False
-        return all(self._alike(self.next[a][c], self.next[b][c], alpha, deep - 1) for c in self.next[a].keys() & self.next[b].keys())
+            todo += [(self.next[a][c], self.next[b][c]) for c in self.next[a].keys() & self.next[b].keys() if self.next[a][c] != self.next[b][c]]
+        return True
 
     def _fold(self, a: int, b: int) -> None:
         """Adds the tree below b to a."""
@@ -161,7 +177,7 @@ class Automaton:
             if state is None or state in red:
                 continue
             for r in red:
-                if self._alike(r, state, alpha, 6):
+                if self._alike(r, state, alpha):
                     self.next[source][c] = r
                     self._fold(r, state)
                     blue += [(r, x) for x in sorted(self.next[r]) if self.next[r][x] not in red and (r, x) not in blue]
@@ -172,28 +188,38 @@ class Automaton:
         self.red = red
 
     def bits(self, value: str) -> float:
-        """log2 of the likelihood; characters that a state has not seen share what smoothing leaves."""
+        """log2 of the likelihood of the value and its end; what a state has not seen shares what smoothing leaves."""
         state, out = 0, 0.0
-        for ch, c in zip(value, classes(value)):
-            n = self.total[state]
-            p = (self.seen[state].get(c, 0) + 0.05) / (n + 0.05 * 9)
+        for c in [*classes(value), _END]:
+            p = (self.seen[state].get(c, 0) + 0.05) / (self.total[state] + 0.05 * _NEXT)
             out += math.log2(p / _SHARE.get(c, 1))
             state = self.next[state].get(c, 0)
         return out
 
 
+def _half(value: str) -> int:
+    return hashlib.md5(value.encode()).digest()[15] & 1
+
+
 class Formats:
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
-        self.formats = {k: Automaton(v) for k, v in labelled.items() if v}
+        learn = lambda half: [Automaton(some) for v in labelled.values() if (some := [x for x in v if half is None or _half(x) != half])]
+        self.formats = learn(None)
+        self.held_out = learn(0), learn(1)
         self.background = Automaton(ordinary)
 
+    def _leads(self, formats: list[Automaton], value: str) -> bool:
+        if not formats:
+            return False
+        lead = max(a.bits(value) for a in formats) - self.background.bits(value)
+        return lead >= MIN_BITS and lead >= MIN_BITS_PER_CHAR * len(value)
+
     def secret(self, value: str) -> bool:
-        for a in self.formats.values():
-            if a.lengths[0] <= len(value) <= a.lengths[1]:
-                lead = a.bits(value) - self.background.bits(value)
-                if lead >= MIN_BITS and lead >= MIN_BITS_PER_CHAR * len(value):
-                    return True
-        return False
+        return self._leads(self.formats, value)
+
+    def confirmed(self, value: str) -> bool:
+        """Whether formats learnt from other values than this one's half find it."""
+        return self._leads(self.held_out[_half(value)], value)
 
 
 def _order(value: str) -> tuple[str, str]:
@@ -229,35 +255,36 @@ def fit(found: DataFrame) -> Formats:
     return Formats({k: _least(labelled.filter(F.col("kind") == k).select("value")) for k in KINDS[:3]}, [r[0] for r in found.select(F.explode("ordinary").alias("value")).distinct().orderBy(F.md5("value"), "value").limit(FIT_VALUES).collect()])
 
 
-def _remembered(formats: Formats) -> Callable[[str], bool]:
+def _remembered(test: Callable[[str], bool]) -> Callable[[str], bool]:
     known: dict[str, bool] = {}
 
-    def secret(value: str) -> bool:
+    def answer(value: str) -> bool:
         if value not in known:
             if len(known) > 100_000:
                 known.clear()
-            known[value] = formats.secret(value)
+            known[value] = test(value)
         return known[value]
 
-    return secret
+    return answer
 
 
 def all_spans(found: DataFrame, formats: Formats) -> DataFrame:
     """doc_id, spans (base ones and added ones, by start and kind)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        secret = _remembered(formats)
+        secret, confirmed = _remembered(formats.secret), _remembered(formats.confirmed)
         for batch in batches:
             out = []
             for spans, others in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 covered = [(s["start"], s["end"]) for s in spans]
+                spans = [{**s, "confirmed": confirmed(s["value"])} for s in spans]
                 for c in others:
                     near = [s for s in covered if s[0] < c["end"] and c["start"] < s[1]]
-                    spans += [{"kind": "format", "start": a, "end": b, "value": c["value"][a - c["start"] : b - c["start"]]} for a, b in added(c["start"], c["value"], near, secret)]
+                    spans += [{"kind": "format", "start": a, "end": b, "value": c["value"][a - c["start"] : b - c["start"]], "confirmed": True} for a, b in added(c["start"], c["value"], near, secret)]
                 out.append(sorted(spans, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _SPAN_TYPE)], names=["doc_id", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _SCORED_TYPE)], names=["doc_id", "spans"])
 
-    return found.select("doc_id", "spans", "candidates").mapInArrow(run, f"doc_id long, spans array<{_SPAN}>")
+    return found.select("doc_id", "spans", "candidates").mapInArrow(run, f"doc_id long, spans array<{_SCORED}>")
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -267,11 +294,11 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
 
 
 def digest(spans: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added, n_confirmed (base spans that held-out formats find)."""
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base: Column = F.filter("spans", lambda s: s["kind"] != "format")
-    return spans.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS[:3]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("format").alias("n_added"))
+    return spans.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS[:3]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("format").alias("n_added"), F.size(F.filter("spans", lambda s: (s["kind"] != "format") & s["confirmed"])).cast("long").alias("n_confirmed"))
 
 
 def mask(text: str, spans: list[tuple[int, int]]) -> str:
@@ -293,7 +320,7 @@ def redact(docs: DataFrame) -> DataFrame:
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        secret = _remembered(formats)
+        secret = _remembered(formats.secret)
         at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
         for batch in batches:
             texts, chars = [], []
