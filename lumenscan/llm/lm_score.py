@@ -3,15 +3,20 @@
 A target model (documents chosen by labels) and a background model (all documents) are interpolated bigram models over
 one vocabulary: words hashed to 2^WORD_BITS slots, bigrams to 2^PAIR_BITS slots. Every task counts its words and
 bigrams and sends the slots it has met; these partial counts, which grow with the corpus, are summed by range of slots. The
-finished tables have a fixed size (2 * 2^PAIR_BITS + 2 * 2^WORD_BITS numbers), which is why they may be broadcast; both
+finished tables have a fixed size (2 * 2^PAIR_BITS + 4 * 2^WORD_BITS numbers), which is why they may be broadcast; both
 sizes are parameters of `fit`.
 
-A document's score is the mean over its tokens of target loss minus background loss, in bits: lower means nearer to the
-target.
+A token's probability after a word that the model knows is LAMBDAS of its bigram, word and uniform probability; at a
+document's start and after an unknown word (one that no bigram of the model begins with) the bigram's share goes to the
+word's probability, so both models spread the same mass whatever they have seen. A document's score is the mean over its
+tokens of target loss minus background loss, in bits: lower means nearer to the target.
 
-Defined cases: null and empty texts have no tokens and a null score; null doc_ids are scored; repeated rows are counted
-as often as they occur and get equal scores; without target documents the target model is uniform; an empty table
-gives no rows; other columns are not touched.
+The vocabulary is one of slots: words of one slot are one word to both models. As a corpus grows, slots hold more words
+each and scores blur; both sizes are parameters, and the README states where they fill up.
+
+Defined cases: null and empty texts have no tokens and a null score; texts of any length are read whole; null doc_ids are
+scored; repeated rows are counted as often as they occur and get equal scores; without target documents the target model
+is uniform; an empty table gives no rows; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ PAIR_BITS = 21
 SLICES = 32
 #: Weights of bigram, word and uniform probabilities.
 LAMBDAS = (0.6, 0.35, 0.05)
-_TABLES = ("pair_target", "pair_background", "word_target", "word_background")
+_TABLES = tuple(f"{unit}_{kind}" for unit in ("pair", "word", "first") for kind in ("target", "background"))
 _PART = "name string, slice int, part int, counts binary"
 
 
@@ -53,7 +58,7 @@ class Model:
     def __init__(self, tables: dict[str, np.ndarray], word_bits: int, pair_bits: int):
         self.word_bits, self.pair_bits = word_bits, pair_bits
         self.tables = tables
-        self.sums = {k: max(1.0, float(tables[f"word_{k}"].sum())) for k in ("target", "background")}
+        self.sums = {k: float(tables[f"word_{k}"].sum()) for k in ("target", "background")}
 
     def losses(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(tokens, target bits, background bits) per row, for a slice of rows at a time."""
@@ -68,9 +73,14 @@ class Model:
             at = np.flatnonzero(inner)
             out = [w.count]
             for kind in ("target", "background"):
-                words, pairs = self.tables[f"word_{kind}"], self.tables[f"pair_{kind}"]
-                p = b * words[slot] / self.sums[kind] + c / (1 << self.word_bits)
-                p[at] += a * np.minimum(1.0, pairs[pair[at - 1]] / np.maximum(words[slot[at - 1]], 1))
+                words, pairs, firsts = (self.tables[f"{unit}_{kind}"] for unit in ("word", "pair", "first"))
+                uniform = 1 / (1 << self.word_bits)
+                unit = words[slot] / self.sums[kind] if self.sums[kind] else np.full(len(slot), uniform)
+                p = (a + b) * unit + c * uniform
+                before = firsts[slot[at - 1]]
+                known = before > 0
+                own = at[known]
+                p[own] += a * (np.minimum(1.0, pairs[pair[own - 1]] / before[known]) - unit[own])
                 bits = np.zeros(len(slot) + 1)
                 np.cumsum(-np.log2(p), out=bits[1:])
                 out.append(bits[w.first[1:]] - bits[w.first[:-1]])
@@ -81,15 +91,17 @@ def _count(kind: str, word_bits: int, pair_bits: int):
     """Counts words and bigrams of a task's texts and sends the slots that it has met, in ranges of slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {"word": np.zeros(1 << word_bits, np.int64), "pair": np.zeros(1 << pair_bits, np.int64)}
+        total = {"word": np.zeros(1 << word_bits, np.int64), "pair": np.zeros(1 << pair_bits, np.int64), "first": np.zeros(1 << word_bits, np.int64)}
         for batch in batches:
             for _, data, offsets in slices(batch.column(0)):
                 w = Words(data, offsets, lower=True)
                 doc = w.doc()
-                total["word"] += np.bincount((w.hash >> np.uint64(64 - word_bits)).astype(np.int64), minlength=1 << word_bits)
+                slot = (w.hash >> np.uint64(64 - word_bits)).astype(np.int64)
                 pair = (grams(w.hash, 2) >> np.uint64(64 - pair_bits)).astype(np.int64)
-                at, n = np.unique(pair[doc[1:] == doc[:-1]] if len(doc) else pair, return_counts=True)
-                total["pair"][at] += n
+                inner = doc[1:] == doc[:-1]
+                for unit, some in (("word", slot), ("pair", pair[inner] if len(doc) else pair), ("first", slot[:-1][inner])):
+                    at, n = np.unique(some, return_counts=True)
+                    total[unit][at] += n
         names, ranges, blobs = [], [], []
         for unit, counts in total.items():
             for k, part in enumerate(np.split(counts, SLICES)):

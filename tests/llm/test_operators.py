@@ -169,6 +169,58 @@ def test_formats_on_held_out_values():
     assert sum(formats.secret(word()) for _ in range(300)) == 0
 
 
+def test_formats_find_held_out_credentials(spark):
+    """Credentials of one half are found by what the other half taught, and ordinary words are not."""
+    r = random.Random(12)
+    make = {"assign": lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)), "access": lambda: "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), "hex": lambda: "".join(r.choice("0123456789") for _ in range(16))}
+    word = lambda: "".join(r.choice(("tion", "ment", "the", "ing", "er", "and")) for _ in range(r.randrange(4, 7)))
+    formats = secret_scan.Formats({k: sorted({f() for _ in range(400)}) for k, f in make.items()}, [word() for _ in range(800)])
+    fresh = [f() for f in make.values() for _ in range(100)]
+    assert sum(formats.confirmed(x) for x in fresh) >= 0.9 * len(fresh)
+    assert sum(formats.secret(word()) for _ in range(2000)) == 0
+    taught = secret_scan.fit(secret_scan.find(docs_of(spark, [(k, f"{word()} token = {make['assign']()} {word()} key {make['access']()}", "s") for k in range(300)])))
+    docs = docs_of(spark, [(k, f"{word()} token = {make['assign']()} {word()}", "s") for k in range(50)] + [(900 + k, f"{word()} bare {make['access']().replace('AKIA', 'ASIA')} end {word()}", "s") for k in range(50)])
+    got = {x.doc_id: x for x in secret_scan.digest(secret_scan.all_spans(secret_scan.find(docs), taught)).collect()}
+    assert sum(got[k].n_confirmed for k in range(50)) >= 90 and sum(got[k].n_added for k in range(50)) == 0
+    assert sum(got[900 + k].n_added == 1 for k in range(50)) >= 45
+
+
+def test_lm_scores_equal_an_exact_model(spark):
+    """Few words fill few slots, so the hashed models equal models of exact counts."""
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join(r.choice(words[: 30 if k % 2 else 60]) for _ in range(r.randrange(0, 40))), "s") for k in range(60)]
+    target = [i for i, _, _ in docs if i % 2 and i % 3]
+    a, b, c = lm_score.LAMBDAS
+    v = 1 << lm_score.WORD_BITS
+
+    def model(texts):
+        uni, bi, first = collections.Counter(), collections.Counter(), collections.Counter()
+        for t in texts:
+            w = t.split()
+            uni.update(w)
+            bi.update(zip(w, w[1:]))
+            first.update(w[:-1])
+        n = sum(uni.values())
+
+        def p(before, word):
+            own = uni[word] / n
+            pair = bi[before, word] / first[before] if first[before] else own
+            return a * pair + b * own + c / v
+
+        return p
+
+    p_t, p_b = model([t for i, t, _ in docs if i in target]), model([t for _, t, _ in docs])
+    got = {x.doc_id: x for x in lm_score.cross_entropy_difference(docs_of(spark, docs), spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()}
+    for i, t, _ in docs:
+        w = t.split()
+        if not w:
+            assert got[i].score is None
+            continue
+        want = sum(np.log2(p_b(x, y)) - np.log2(p_t(x, y)) for x, y in zip([None, *w], w)) / len(w)
+        assert abs(got[i].score - want) < 1e-4, i
+
+
 def test_secrets_without_label(spark):
     """Short, dotted, all-letter and long unlabelled values, and what a base span leaves of a key."""
     r = random.Random(9)
