@@ -1,9 +1,9 @@
 """WARC archives: a writer with deduplicated payloads and a salvage reader.
 
 Writing: of records with one payload of at least MIN_DEDUP bytes the one with the smallest page_id is a response, the
-others revisit it. Files are written by Spark's text writer (its values are whole records, its line separator the CR LF
-that ends a record), so its commit protocol holds in any store and a lost task leaves nothing behind; they are
-compressed with gzip.
+others revisit it. Every record is a gzip member of its own, so that a reader can go on after damage. Files of about
+FILE_BYTES are written by Spark's text writer (a row is a whole file), so its commit protocol holds in any store and a
+lost task leaves nothing behind; the writer's line feed after the last member is passed over by the reader.
 
 Reading: whole files come through `binaryFile`. A record is checked (version line, headers, length, end mark, digest). After a
 failed check the reader searches for the next version line, or in a compressed file for the next gzip member that
@@ -30,7 +30,10 @@ MIN_DEDUP = 100
 VERSION = b"WARC/1.1\r\n"
 _ANY_VERSION = (b"WARC/1.1\r\n", b"WARC/1.0\r\n")
 _URN = "urn:page:"
-RECORDS_PER_FILE = 4000
+#: Compressed bytes of a file, but for one record more.
+FILE_BYTES = 32 << 20
+#: Bytes inflated at once: what stands behind a member's end is copied.
+_STEP = 1 << 14
 
 
 @dataclass
@@ -104,16 +107,19 @@ def read_archive(raw: bytes) -> Salvage:
             return read_plain(raw)
     out, at, parts = Salvage(), 0, []
     while at < len(raw):
+        if raw[at] in b"\r\n":
+            at += 1
+            continue
         z = zlib.decompressobj(31)
         got = bytearray()
         try:
             view = memoryview(raw)[at:]
-            for k in range(0, len(view), 1 << 20):
-                got += z.decompress(view[k : k + (1 << 20)])
+            for k in range(0, len(view), _STEP):
+                got += z.decompress(view[k : k + _STEP])
                 if z.eof:
                     break
             why = "" if z.eof else "member cut short"
-            used = at + min(len(view), k + (1 << 20)) - len(z.unused_data) if z.eof else len(raw)
+            used = at + min(len(view), k + _STEP) - len(z.unused_data) if z.eof else len(raw)
         except zlib.error as e:
             why, used = f"bad member: {e}", -1
         if why:
@@ -150,7 +156,7 @@ def _with_revisits(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "html", "digest", "refers_to")
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     rows = _with_revisits(pages)
     urn = lambda c: F.concat(F.lit(f"<{_URN}"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     revisit = F.col("refers_to").isNotNull()
@@ -164,8 +170,21 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_
         F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), urn(F.col("refers_to")))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
     )
-    out = rows.select(F.concat(head, block, F.lit("\r\n")).alias("value"))
-    out.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                z = zlib.compressobj(6, zlib.DEFLATED, 31)
+                parts.append(z.compress(record.as_buffer()) + z.flush())
+                size += len(parts[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["file"])
+                    parts, size = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["file"])
+
+    files = rows.select(F.concat(head, block, F.lit("\r\n\r\n")).cast("binary").alias("record")).mapInArrow(members, "file binary")
+    files.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
 def _page(urn: str | None) -> int | None:

@@ -412,6 +412,26 @@ def test_salvage():
     assert {r.headers["warc-record-id"] for r in got.records} >= {f"<urn:page:{k}>" for k in (0, 2, 4, 5)} and got.gaps
 
 
+def test_salvage_of_written_archives(spark, tmp_path):
+    """Damage in one member of a written file loses that record alone, and the gap is logged."""
+    rows = [(k, f"http://x/{k}", f"<p>{k} " + os.urandom(200).hex() + "</p>") for k in range(40)] + [(40, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"), file_bytes=4000)
+    files = sorted(tmp_path.glob("w/part-*"))
+    assert len(files) > 2
+    raw = bytearray(files[1].read_bytes())
+    for k in range(200, 260):
+        raw[k] ^= 0x5A
+    files[1].write_bytes(bytes(raw))
+    for crc in tmp_path.glob("w/.part-*.crc"):
+        crc.unlink()
+    records, gaps = warc.read_archives(spark, str(tmp_path / "w"))
+    got = {r.page_id: r.payload_digest for r in records.collect()}
+    want = {k: hashlib.sha256((h or "").encode()).hexdigest() for k, _, h in rows}
+    assert len(got) == 40 and all(want[k] == d for k, d in got.items())
+    assert gaps.count() >= 1 and gaps.first().reason
+
+
 def test_lm_scores(spark):
     r = random.Random(0)
     good, bad = [f"g{k}" for k in range(30)], [f"b{k}" for k in range(30)]
