@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import free_names, materialize, release
 from ._text import PUNCTUATION, Words, slices
 
 FEATURE_BITS = 14
@@ -41,7 +42,7 @@ ENERGY = 0.99
 MIN_LCS = 0.6
 MIN_ANSWER = 0.6
 MIN_WORDS = 8
-BLOCK_ITEMS = 512
+BLOCK_ITEMS = 256
 _FOLD = 512  # blocks of words folded at once
 _BLOCKS = 16
 RESULT = "doc_id long, item_id long, lcs_words long, item_words long, answer_found long, answer_words long"
@@ -105,8 +106,10 @@ def randomised_svd(items: DataFrame, idf: np.ndarray, rank: int, rounds: int = 3
             return pd.DataFrame({"block": frame["block"][:1], "part": [total.astype(np.float32).tobytes()]})
 
         parts = items.select("text").coalesce(16).mapInArrow(run, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary")
-        rows = sorted((r["block"], bytes(r["part"])) for r in parts.collect())  # one matrix
-        return np.frombuffer(b"".join(x for _, x in rows), np.float32).reshape(basis.shape)
+        out = np.empty(basis.shape, np.float32)
+        for r in parts.collect():  # one matrix
+            out[r["block"] * len(out) // _BLOCKS : (r["block"] + 1) * len(out) // _BLOCKS] = np.frombuffer(r["part"], np.float32).reshape(-1, out.shape[1])
+        return out
 
     for _ in range(rounds):
         basis = np.linalg.qr(product(basis))[0]
@@ -145,9 +148,11 @@ class Index:
         latent = vectors @ basis
         energy = np.einsum("ij,ij->i", vectors, vectors)
         lost = np.einsum("ij,ij->i", latent, latent) < ENERGY * energy
-        folded = np.where(lost[:, None], vectors, latent @ basis.T)
-        energy = np.einsum("ij,ij->i", folded, folded)
         live = np.flatnonzero(vectors.any(axis=0))
+        folded = latent @ basis.T
+        folded[lost] = vectors[lost]
+        del vectors, latent
+        energy = np.einsum("ij,ij->i", folded, folded)
         self.row = np.full(1 << FEATURE_BITS, -1, np.int64)
         self.row[live] = np.arange(len(live))
         #: A row per feature of the items: what one such word adds to its window's product with each item.
@@ -223,6 +228,7 @@ class Index:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item that it repeats or paraphrases."""
     spark = docs.sparkSession
+    release(spark)
     counts = document_frequencies(docs)
     idf = np.log((1 + counts[-1]) / (1 + counts[:-1])).astype(np.float32)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null and item_id is not null").distinct()
@@ -238,6 +244,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if not own:
             continue
         index = spark.sparkContext.broadcast(Index(own, idf, randomised_svd(some, idf, len(own))))
+        release(spark)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -253,7 +260,6 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that match no benchmark item, with all their columns, in one more narrow pass."""
-    leaks = matches(docs, benchmark).select(F.col("doc_id").alias("_leak")).filter("_leak is not null").distinct()
-    from ._store import materialize
-
-    return docs.join(materialize(leaks, "leaks"), F.col("doc_id") == F.col("_leak"), "left_anti")
+    (own,) = free_names(docs, "leak")
+    leaks = matches(docs, benchmark).select(F.col("doc_id").alias(own)).filter(f"`{own}` is not null").distinct()
+    return docs.join(materialize(leaks, "leaks"), F.col("doc_id") == F.col(own), "left_anti")
