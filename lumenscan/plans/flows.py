@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query, table
 from ..functions.text import is_code, lines, pat
+from ..operators import scoped
 from ..operators import taint as T
 from ..sources.corpus import code_files, code_files_sql
 from .analytics import findings
@@ -143,33 +144,15 @@ def indent_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(all_files(spark, sf_dir)).groupBy((F.char_length("line") - F.char_length(F.ltrim("line", F.lit(" \t")))).cast("long").alias("indent")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH r AS (SELECT *, regexp_matches(line, '@(?:app|blueprint)\\.route\\b') AS route, regexp_matches(line, '^\\s*def\\s+\\w+\\s*\\(') AS def, starts_with(ltrim(line, ' ' || chr(9)), '@') AS deco, length(line) - length(ltrim(line, ' ' || chr(9))) AS indent, trim(line, ' ' || chr(9) || chr(13) || chr(12)) = '' AS blank FROM {_LINES}),
+_HANDLERS = f"""WITH r AS (SELECT *, regexp_matches(line, '@(?:app|blueprint)\\.route\\b') AS route, regexp_matches(line, '^\\s*def\\s+\\w+\\s*\\(') AS def, starts_with(ltrim(line, ' ' || chr(9)), '@') AS deco, length(line) - length(ltrim(line, ' ' || chr(9))) AS indent, trim(line, ' ' || chr(9) || chr(13) || chr(12)) = '' AS blank FROM {_LINES}),
 s AS (SELECT *, max(CASE WHEN route THEN line_no END) OVER w AS last_route, max(CASE WHEN NOT route AND NOT deco THEN line_no END) OVER w AS last_break FROM r WINDOW w AS (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 h AS (SELECT file_id, line_no, indent FROM s WHERE (def AND NOT route AND last_route > coalesce(last_break, 0)) OR regexp_matches(line, '^\\s*def\\s+do_(GET|POST|PUT|DELETE)\\s*\\('))
-SELECT h.file_id, h.line_no AS start_line, CAST(coalesce((SELECT max(b.line_no) FROM r b WHERE b.file_id = h.file_id AND b.line_no > h.line_no AND NOT b.blank AND b.line_no < coalesce((SELECT min(e.line_no) FROM r e WHERE e.file_id = h.file_id AND e.line_no > h.line_no + 1 AND NOT e.blank AND e.indent <= h.indent), 1000000000)), h.line_no) AS INTEGER) AS end_line FROM h""")
+SELECT h.file_id, h.line_no AS start_line, CAST(coalesce((SELECT max(b.line_no) FROM r b WHERE b.file_id = h.file_id AND b.line_no > h.line_no AND NOT b.blank AND b.line_no < coalesce((SELECT min(e.line_no) FROM r e WHERE e.file_id = h.file_id AND e.line_no > h.line_no + 1 AND NOT e.blank AND e.indent <= h.indent), 1000000000)), h.line_no) AS INTEGER) AS end_line FROM h"""
+
+
+@query(_HANDLERS)
 def route_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Handlers after a route decorator, or do_* methods, and the last line of their bodies.
-
-    A decorator waits through other decorators for its def; anything else cancels it. Lines of a file are one array, so the
-    body's end is found in the handler's own row; only files with a route or such a method make rows at all."""
-    files = all_files(spark, sf_dir).filter(F.col("code").rlike(r"@(?:app|blueprint)\.route\b|def\s+do_(?:GET|POST|PUT|DELETE)\s*\("))
-    indent = lambda c: F.char_length(c) - F.char_length(F.ltrim(c, F.lit(" \t")))
-    blank = lambda c: F.btrim(c, F.lit(" \t\r\f")) == ""
-    rows = files.select("file_id", F.split("code", "\n", -1).alias("all")).select("file_id", "all", F.posexplode("all").alias("pos", "line"))
-    before = F.reverse(F.slice("all", 1, F.col("pos")))
-    state = F.aggregate(before, F.lit("open"), lambda s, x: F.when(s != "open", s).when(x.rlike(r"@(?:app|blueprint)\.route\b"), "route").when(F.startswith(F.ltrim(x, F.lit(" \t")), F.lit("@")), "open").otherwise("none"))
-    is_def = F.col("line").rlike(r"^\s*def\s+\w+\s*\(") & ~F.col("line").rlike(r"@(?:app|blueprint)\.route\b")
-    heads = rows.filter(is_def).filter((state == "route") | F.col("line").rlike(r"^\s*def\s+do_(GET|POST|PUT|DELETE)\s*\("))
-    below = F.slice("all", F.col("pos") + 2, F.size("all"))
-    start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("last"), F.lit(True).alias("open"))
-
-    def walk(a: Column, x: Column) -> Column:
-        k = a["k"] + 1
-        ends = ~blank(x) & (k > 1) & (indent(x) <= indent(F.col("line")))
-        return F.when(a["open"] & ~ends, F.struct(k.alias("k"), F.when(blank(x), a["last"]).otherwise(k).alias("last"), F.lit(True).alias("open"))).otherwise(F.struct(k.alias("k"), a["last"].alias("last"), F.lit(False).alias("open")))
-
-    end = F.aggregate(below, start, walk)["last"]
-    return heads.select("file_id", (F.col("pos") + 1).alias("start_line"), (F.col("pos") + 1 + end).alias("end_line"))
+    return scoped.handlers(all_files(spark, sf_dir))
 
 
 @query(f"SELECT file_id, line_no AS line_number, coalesce(CASE WHEN line_no - seed <= 3 THEN seed END, line_no) AS report_line FROM (SELECT *, max(CASE WHEN regexp_matches(line, 'random\\.seed\\s*\\(') THEN line_no END) OVER (PARTITION BY file_id ORDER BY line_no) AS seed FROM {_LINES}) WHERE regexp_matches(line, '\\brandom\\.(?:choice|randint|random|shuffle)\\s*\\(')")

@@ -48,6 +48,19 @@ SNIPPETS: list[tuple[str, str]] = [
     ("javascript", "// chat\nconst p = `llm says ${user_text}` + user"),
     ("python", "# agent tool\nos.remove(p)" + "\n" * 49 + "os.unlink(a)\nos.rmdir(b)\nfor_tool = 1\nsubprocess.Popen(x, shell=True)"),
     ("java", "agent.kill()"),
+    ("python", 'def act(self, name, n: int = 3):\n    logger.info(f"hello {name}")\n    logger.info(name.replace("\\n", ""))\n    # logger.info(name)\n    out.write(name)'),
+    ("python", 'who = request.args.get("w")\nline = who\nlogs = open("x")\nf.write(line)' + "\n" * 9 + "f.write(line)\nf.write(other)"),
+    ("python", 'def do_GET(self):\n    q = parse_qs(self.path)\n    who = q.get("w")\n\n    self.wfile.write(who)\n    return f"plain {who}"\ndef other(q):\n    return f"<b>{q}</b>"'),
+    ("python", 'def do_POST(self):\n    a = request.form["a"]\n    b = escape(a)\n    return f"<p>{a}"\n\n\n\n\n    return f"<p>{b}{a}"'),
+    ("python", 'to = request.args["next"]\nreturn redirect(to)\n\n\n\n\n\n\n\n\n\nif urlparse(to).netloc: pass\nreturn redirect(to)\n\n\n\n\n\n\n\n\n\n\nredirect("/a")'),
+    ("python", 'def grow(size, k=2):\n    a = "A" * size\n    b = [0] * int(size)\n\n\n\n\n    # c = "A" * size\n    if size < 10:\n        d = "A" * size\n\n\n\n\n\n\n    e = "A" * 3\n    f = bytearray(int(request.data))'),
+    ("python", 't = input("t")\nt.format(x)\nrequest.args.get("f").format(1)\nu = t % (1,)\n"a".format(t)\nv = u % 3'),
+    ("python", 'import xml.etree.ElementTree as tree\nfrom xml.sax import parseString as badParse\nimport defusedxml.ElementTree as goodET\ntree.fromstring(x)\nbadParse(x)\ngoodET.parse(x)\nminidom.parse(x)\np = XMLParser(resolve_entities=True)\n# ET.parse(x)\nx.tree.parse.go(y)'),
+    ("python", "from defusedxml.sax import parseString\nimport xmlrpc\nfrom xml.dom.minidom import parseString as parseString\nparseString(x)\nlxml.parse(x, no_network=False); sax.parse(x)"),
+    ("python", 'if ".." in path:\n    raise ValueError\nf = open(path)\nif p.find("..") != -1:\n    x = os.path.join(base, p)\n' + "\n" * 30 + 'if ".." in q:\n    q = unquote(q)\n    open(q)'),
+    ("python", 'q = shlex.quote(arg)\nsubprocess.run(["a", q])\nos.system("ls " + q)\nsubprocess.run(q, shell=True)\nr = shlex.quote(arg)\nsubprocess.call(f"ls {r}", shell=True)'),
+    ("python", "if verify(sig, data):\n    x = pickle.loads(data)\nelse:\n    y = yaml.load(data)\nif flag:\n    z = pickle.loads(data)"),
+    ("python", "if hmac_ok:\n    (\n  x = pickle.loads(data)"),
 ]
 
 
