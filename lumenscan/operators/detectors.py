@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,6 +90,8 @@ ALL = (SECRETS, WEAK_RANDOM, WEAK_HASH, SQL_FSTRING, DESERIALIZATION, REFLECTION
 def detect(files: DataFrame, detector: Detector) -> DataFrame:
     """Findings of one detector: file_id, line_number, detector_name, vulnerability_type, severity, cwe_id, confidence."""
     some = files.filter(F.col("code").rlike(pat(detector.file))) if detector.file else files
+    # A line that matches makes its file match, so files without any leave before their lines are made.
+    some = some.filter(reduce(lambda a, b: a | b, (F.col("code").rlike("(?m)" + pat(r.pattern)) for r in detector.rules)))
     rows = lines(some)
     tests: list[Column] = []
     for k, r in enumerate(detector.rules):
