@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_code, pat
-from .detectors import ASSIGN, SWEEPS
+from .detectors import ASSIGN, SOURCE, SWEEPS
 from .injection import LANGUAGES, _finding
+from .web import OPERATIONS
 
 # Sources, sinks, what excuses them and the lines around them that count.
 LOG_SOURCE = r"(\w+)\s*=\s*(?:request\.|input\s*\(|params\[|sys\.argv)"
@@ -52,6 +53,14 @@ DOTS_GUARD = (r"(?:if|elif)\s+['\"]\.\.['\"]\s+in\s+(\w+)\s*:", r"(?:if|elif)\s+
 DOTS_DECODED = r"unicodedata\.normalize|unquote|NFKC|NFKD"
 QUOTED = r"\b(\w+)\s*=\s*shlex\.quote\s*\("
 SHELL_CALL = r"\bsubprocess\.(?:run|call|Popen|check_output)\s*\("
+SQL_SOURCE = "(?i)" + SOURCE
+SQL_CALL = r"(?i)\.(?:execute|executemany)\s*\("
+SQL_INLINE = r"(?i)\.(?:execute|executemany)\s*\(\s*f['\"]"
+SQL_VARIABLE = r"(?i)\.(?:execute|executemany)\s*\(\s*(\w+)\s*\)"
+SQL_PARAMETERS = r"(?i)\.(?:execute|executemany)\s*\([^,]+,\s*[\(\[]"
+SQL_BUILT = (r"(?i)(?:query|sql|stmt)\s*=\s*f['\"]", r"(?i)(?:query|sql|stmt)\s*=\s*['\"].*?(?:\+|\%s|\%d|\%)")
+SQL_BEFORE, SQL_AFTER = 11, 1
+TOOL_LIST = r"(?is)tools\s*=\s*\[(.*?)\]"
 DOTS_LINES, QUOTED_LINES = 30, 15
 UNSAFE_LOADS = ("pickle.loads", "pickle.load", "yaml.load", "marshal.loads")
 SIGNATURE_WORDS = ("verify", "signature", "hmac", "digest", "authentic")
@@ -158,6 +167,35 @@ def cross_site_scripting(files: DataFrame) -> DataFrame:
     return inside.select("file_id", "line_number", *_finding("XSSDetector", "Reflected XSS", "HIGH", "CWE-79", 0.88), "user_var")
 
 
+def sql_injection(files: DataFrame) -> DataFrame:
+    """Statements executed from an f-string, or from a variable that user input reaches or near which a query is put together;
+    calls with parameters are safe. sql_var is null for f-strings."""
+    some = _with(files.filter("language = 'python'"), SQL_CALL)
+    name = lambda h: F.nullif(F.regexp_extract(h["line"], pat(SQL_VARIABLE), 1), F.lit(""))
+    inline = lambda h: h["line"].rlike(pat(SQL_INLINE))
+    built = lambda h: h["region"].rlike(pat(SQL_BUILT[0])) | h["region"].rlike(pat(SQL_BUILT[1]))
+    calls = F.filter(_sinks(SQL_CALL, SQL_BEFORE, SQL_AFTER), lambda h: is_code(h["line"]) & ~h["line"].rlike(pat(SQL_PARAMETERS)))
+    hits = F.filter(calls, lambda h: inline(h) | (name(h).isNotNull() & (F.array_contains("vars", name(h)) | built(h))))
+    rows = tainted(some, F.concat(_first(SQL_SOURCE), F.array(F.lit("")))).select("file_id", F.explode(hits).alias("h"))
+    confidence = F.when(inline(F.col("h")), 0.92).otherwise(0.88).alias("confidence")
+    var = F.when(~inline(F.col("h")), name(F.col("h"))).alias("sql_var")
+    return rows.select("file_id", F.col("h.line_no").alias("line_number"), *_finding("SQLInjectionDetector", "SQL Injection", "CRITICAL", "CWE-89", 0.0)[:-1], confidence, var)
+
+
+def tool_lists(files: DataFrame) -> DataFrame:
+    """Lists of an agent's tools that hold dangerous operations, whatever lines they take; the list ends at its first closing
+    bracket. line_number is that of the list's name, operations are its distinct ones in order."""
+    p, breaks = pat(TOOL_LIST), lambda c: F.char_length(c) - F.char_length(F.replace(c, F.lit("\n"), F.lit("")))
+    some = files.filter(F.col("language").isin(*LANGUAGES)).filter(F.col("code").rlike(p))
+    lists = some.select("file_id", F.transform(F.split("code", p, -1), breaks).alias("between"), F.regexp_extract_all("code", F.lit(p), F.lit(0)).alias("all"), F.regexp_extract_all("code", F.lit(p), F.lit(1)).alias("held"))
+    rows = lists.select("file_id", "between", F.transform("all", breaks).alias("within"), F.posexplode("held").alias("pos", "content"))
+    total = lambda c, n: F.aggregate(F.slice(c, 1, n), F.lit(0), lambda a, x: a + x)
+    line = (1 + total("between", F.col("pos") + 1) + total("within", F.col("pos"))).alias("line_number")
+    operations = F.array_sort(F.filter(F.array(*map(F.lit, OPERATIONS)), lambda o: F.contains(F.lower("content"), o)))
+    found = rows.select("file_id", line, operations.alias("o")).filter(F.size("o") > 0)
+    return found.select("file_id", "line_number", F.size("o").alias("n_operations"), F.array_join("o", ", ").alias("operations"), *_finding("OverprivilegedToolsDetector", "Over-Privileged AI Agent", "HIGH", "CWE-269", 0.95))
+
+
 def _operational(files: DataFrame, seeds: Column, hits: Column, kind: str, severity: str, cwe: str, confidence: float) -> DataFrame:
     """`seeds` may be empty here, as requests on the line count too."""
     rows = tainted(files, F.concat(seeds, F.array(F.lit("")))).select("file_id", F.explode(hits).alias("h"))

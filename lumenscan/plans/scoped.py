@@ -8,7 +8,8 @@ from ..catalog import query
 from ..operators import scoped as S
 from ..operators.detectors import ASSIGN, SWEEPS
 from ..operators.injection import LANGUAGES
-from .flows import _HANDLERS, _LINES, all_files
+from ..operators.web import OPERATIONS
+from .flows import _ALL, _HANDLERS, _LINES, all_files
 from .scanning import _q
 from .web import _constants
 
@@ -114,3 +115,22 @@ def det_quoted_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
 def det_signed_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL, as syntax trees decide."""
     return S.signed_loads(all_files(spark, sf_dir))
+
+
+@query(f"""{_closure(_seed(S.SQL_SOURCE), _PYTHON, S.SQL_BEFORE, S.SQL_AFTER)},
+k AS (SELECT file_id, line_no, {_has(S.SQL_INLINE)} AS inlined, nullif(regexp_extract(line, {_q(S.SQL_VARIABLE)}, 1), '') AS var, region FROM l WHERE {_CODE} AND {_has(S.SQL_CALL)} AND NOT {_has(S.SQL_PARAMETERS)})
+SELECT file_id, line_no AS line_number, 'SQLInjectionDetector' AS detector_name, 'SQL Injection' AS vulnerability_type, 'CRITICAL' AS severity, 'CWE-89' AS cwe_id, CAST(CASE WHEN inlined THEN 0.92 ELSE 0.88 END AS DOUBLE) AS confidence, CASE WHEN NOT inlined THEN var END AS sql_var
+FROM k WHERE inlined OR (var IS NOT NULL AND ({_has(S.SQL_BUILT[0], "region")} OR {_has(S.SQL_BUILT[1], "region")} OR EXISTS (SELECT 1 FROM t WHERE t.file_id = k.file_id AND t.var = k.var)))""")
+def det_sql_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sql_injection(all_files(spark, sf_dir))
+
+
+_BREAKS = "list_transform({}, lambda x: len(x) - len(replace(x, chr(10), '')))"
+
+
+@query(f"""WITH f AS (SELECT file_id, {_BREAKS.format(f"string_split_regex(code, {_q(S.TOOL_LIST)})")} AS gaps, {_BREAKS.format(f"regexp_extract_all(code, {_q(S.TOOL_LIST)})")} AS own, regexp_extract_all(code, {_q(S.TOOL_LIST)}, 1) AS held FROM {_ALL} WHERE language IN {LANGUAGES} AND regexp_matches(code, {_q(S.TOOL_LIST)})),
+h AS (SELECT file_id, gaps, own, unnest(held) AS content, generate_subscripts(held, 1) AS k FROM f),
+o AS (SELECT file_id, k, 1 + list_sum(gaps[1:k]) + coalesce(list_sum(own[1:k - 1]), 0) AS line_number, list_sort(list_filter([{", ".join(map(_q, OPERATIONS))}], lambda x: contains(lower(content), x))) AS found FROM h)
+SELECT file_id, CAST(line_number AS INTEGER) AS line_number, CAST(len(found) AS INTEGER) AS n_operations, array_to_string(found, ', ') AS operations, {_constants("OverprivilegedToolsDetector", "Over-Privileged AI Agent", "HIGH", "CWE-269", 0.95)} FROM o WHERE len(found) > 0""")
+def det_tool_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.tool_lists(all_files(spark, sf_dir))

@@ -61,6 +61,8 @@ SNIPPETS: list[tuple[str, str]] = [
     ("python", 'q = shlex.quote(arg)\nsubprocess.run(["a", q])\nos.system("ls " + q)\nsubprocess.run(q, shell=True)\nr = shlex.quote(arg)\nsubprocess.call(f"ls {r}", shell=True)'),
     ("python", "if verify(sig, data):\n    x = pickle.loads(data)\nelse:\n    y = yaml.load(data)\nif flag:\n    z = pickle.loads(data)"),
     ("python", "if hmac_ok:\n    (\n  x = pickle.loads(data)"),
+    ("python", "agent = 1\ntools = [Tool(func=os.remove), Tool(func=subprocess.run)]\nTOOLS =\n[\n  run(shell=True),\n  sudo]\ntools = [safe]\nmy_tools = [os.remove, os.remove"),
+    ("python", 'sql = "SELECT " + a' + "\n" * 11 + "db.execute(q)\ndb.execute(q)\nv = input()\n\nw = v\ncur.EXECUTEMANY( w )\ncur.execute(w, (v,))\n# cur.execute(w)\ncur.execute(other)\nstmt = f'SELECT {a}'"),
 ]
 
 

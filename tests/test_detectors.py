@@ -82,4 +82,4 @@ def test_prompts_and_agents(spark):
     files = code_files(spark)
     assert {(r.file_id, r.line_number) for r in W.prompt_lines(files).collect()} == {(40, 1), (41, 2)}
     rows = {(r.file_id, r.line_number, r.operation) for r in W.agent_operations(files).collect()}
-    assert rows == {(42, 2, "os.remove"), (42, 51, "os.unlink"), (42, 54, "subprocess.popen"), (42, 54, "shell=true")}
+    assert rows == {(42, 2, "os.remove"), (42, 51, "os.unlink"), (42, 54, "subprocess.popen"), (42, 54, "shell=true")} | {(57, 2, "os.remove"), (57, 2, "subprocess.run"), (57, 5, "shell=true"), (57, 6, "sudo"), (57, 8, "os.remove")}

@@ -12,6 +12,8 @@ def at(prefix: str) -> int:
 
 
 EXPECTED = {
+    "sql_injection": {("uid = request.form", 3, "query"), ("cursor.execute(f", 1, None), ("b = a", 3, "b"), ("sql = ", 12, "q"), ("sql = ", 17, "w"), ("sql = ", 20, "other")},
+    "tool_lists": {("agent = 1", 2, 2, "os.remove, subprocess.run"), ("agent = 1", 3, 2, "shell=true, sudo")},
     "log_injection": {("def act", 2, "name"), ("def act", 3, "n"), ("def act", 5, "name"), ("who = request.args", 4, "line")},
     "cross_site_scripting": {("def do_GET", 5, "who"), ("def do_POST", 9, "a")},
     "open_redirects": {("to = request", 2)},
