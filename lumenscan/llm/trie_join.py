@@ -30,12 +30,12 @@ touched.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -103,7 +103,8 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def class_id(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+    h = xxhash.xxh3_64_intdigest(np.ascontiguousarray(tokens).view(np.uint8))
+    return h - (1 << 64) if h >> 63 else h
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
