@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, lm_score, packing, quality_rules, secret_scan, token_counts, token_files, trie_join, warc
+from . import chat_format, decontaminate, filter_audit, imatch, lm_score, packing, quality_rules, secret_scan, token_counts, token_files, trie_join, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_lm_score, op2_ngram_jaccard_join, op3_chat_format, op4_decontaminate, op5_best_fit_packing, op6_secret_scan, op7_quality_rules, op8_token_counts, op9_warc, op10_token_files, pipeline)
+    own = (op1_lm_score, op2_ngram_jaccard_join, op3_chat_format, op4_decontaminate, op5_best_fit_packing, op6_secret_scan, op7_quality_rules, op8_token_counts, op9_warc, op10_token_files, op11_filter_audit, op12_imatch, op13_whitening, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -133,6 +145,50 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND
   CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM q
 """
 
+OP11 = f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT t.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CAST(len(w) < 100 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 80 * len(w) AS INTEGER)
+  + 4 * CAST(100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) AS INTEGER) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER)
+  + 16 * CAST(coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false) AS INTEGER) AS mask FROM t LEFT JOIN l ON l.doc_id = t.doc_id),
+c AS (SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(name, bit)),
+o AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a JOIN f b ON b.bit <> a.bit JOIN f c ON c.bit NOT IN (a.bit, b.bit)
+  JOIN f d ON d.bit NOT IN (a.bit, b.bit, c.bit) JOIN f e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before FROM o, range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step, any_value(bit) AS bit, sum(CASE WHEN mask & (bit + before) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n * good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n * toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
+"""
+
+_TERMS = r"regexp_extract_all(translate({}, '" + _UPPER + "', '" + _UPPER.lower() + r"'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+x AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS after, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id FROM d WINDOW w AS (ORDER BY doc_id NULLS FIRST)),
+e AS (SELECT doc_id, next_id, n, text, left(text, n - n // 4) || left(after, n // 4) AS edited FROM x),
+b AS (SELECT doc_id, 0 AS kind, list_distinct({_TERMS.format("text")}) AS terms FROM e UNION ALL SELECT doc_id, 1, list_distinct({_TERMS.format("edited")}) FROM e),
+v AS (SELECT doc_id, kind, greatest(length(bin(len(terms))) - {imatch.SPARE + 1}, 0) AS level, terms FROM b),
+t AS (SELECT doc_id, kind, level, unnest(terms) AS term FROM v),
+lex AS (SELECT term FROM t WHERE kind = 0 GROUP BY term HAVING count(*) * {imatch.RARE} >= (SELECT count(*) FROM d) AND count(*) * {imatch.COMMON} <= (SELECT count(*) FROM d)),
+r AS (SELECT *, CAST('0x' || substr(md5(term), 1, 1) AS INTEGER) AS part, CAST('0x' || substr(md5(term), 2, 7) AS INTEGER) AS draw, term IN (SELECT term FROM lex) AS in_band FROM t),
+u AS (SELECT * FROM (SELECT *, bool_or(in_band) OVER (PARTITION BY doc_id, kind) AS held FROM r WHERE draw < {imatch.DRAW} >> level) WHERE in_band OR NOT held),
+s AS (SELECT doc_id, kind, level + k AS level, part, k, left(md5(string_agg(term, ' ' ORDER BY term)), 8) AS h FROM u, range({imatch.LEVELS}) g(k) WHERE draw < {imatch.DRAW} >> (level + k) GROUP BY ALL),
+p AS (SELECT v.doc_id, v.kind, any_value(v.level) AS level, CAST(any_value(v.level) AS VARCHAR) || ':' || string_agg(coalesce(h, ''), ',' ORDER BY g.part, k.k) AS print
+  FROM v CROSS JOIN range({imatch.PARTS}) g(part) CROSS JOIN range({imatch.LEVELS}) k(k) LEFT JOIN s ON s.doc_id = v.doc_id AND s.kind = v.kind AND s.part = g.part AND s.k = k.k GROUP BY v.doc_id, v.kind),
+w AS (SELECT doc_id, doc_id AS other, 1 AS kind FROM e UNION ALL SELECT doc_id, next_id, 0 FROM e),
+y AS (SELECT w.doc_id, w.kind, a.level AS la, z.level AS lz, a.print AS pa, z.print AS pz, w.other FROM w JOIN p a ON a.doc_id = w.doc_id AND a.kind = 0 JOIN p z ON z.doc_id = w.other AND z.kind = w.kind),
+q AS (SELECT y.doc_id, y.kind, 'a' AS side, s.level, s.part, s.h FROM y JOIN s ON s.doc_id = y.doc_id AND s.kind = 0 WHERE s.level BETWEEN lz AND lz + {imatch.LEVELS - 1}
+  UNION ALL SELECT y.doc_id, y.kind, 'z', s.level, s.part, s.h FROM y JOIN s ON s.doc_id = y.other AND s.kind = y.kind WHERE s.level BETWEEN la AND la + {imatch.LEVELS - 1}),
+j AS (SELECT doc_id, kind, CAST(count(*) FILTER (c = 2 AND same) AS DOUBLE) / count(*) AS near FROM (SELECT doc_id, kind, level, part, count(*) AS c, min(h) = max(h) AS same FROM q GROUP BY ALL) GROUP BY doc_id, kind),
+n AS (SELECT y.doc_id, y.kind, CASE WHEN pa = pz THEN 1.0 ELSE coalesce(near, 0.0) END AS near FROM y LEFT JOIN j ON j.doc_id = y.doc_id AND j.kind = y.kind)
+SELECT e.doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha256, o.print AS fingerprint, k.print AS edited_fingerprint, CAST(m.near AS DOUBLE) AS near_edited, CAST(f.near AS DOUBLE) AS near_next
+FROM e JOIN p o ON o.doc_id = e.doc_id AND o.kind = 0 JOIN p k ON k.doc_id = e.doc_id AND k.kind = 1 JOIN n m ON m.doc_id = e.doc_id AND m.kind = 1 JOIN n f ON f.doc_id = e.doc_id AND f.kind = 0
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": OP2, "op3_chat_format": OP3, "op7_quality_rules": OP7, "op9_warc": OP9}
+    return {"op11_filter_audit": OP11, "op12_imatch": OP12, "op2_ngram_jaccard_join": OP2, "op3_chat_format": OP3, "op7_quality_rules": OP7, "op9_warc": OP9}
