@@ -9,17 +9,10 @@ from ..catalog import query, table
 from ..functions.text import is_code, lines, pat
 from ..operators import scoped
 from ..operators import taint as T
-from ..sources.corpus import code_files, code_files_sql
 from .analytics import findings
-from .scanning import _documents_as_files, _q
+from .scanning import _ALL, _documents_as_files, _q, all_files
 
 
-def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files, then the snippets, whose ids are negative."""
-    return _documents_as_files(spark, sf_dir).unionByName(code_files(spark).withColumn("file_id", -F.col("file_id")))
-
-
-_ALL = f"(SELECT doc_id AS file_id, source AS path, lang AS language, text AS code FROM documents UNION ALL SELECT -file_id, path, language, code FROM ({code_files_sql()}))"
 _LINES = f"(SELECT file_id, path, language, CAST(generate_subscripts(p, 1) AS INTEGER) AS line_no, unnest(p) AS line FROM (SELECT *, string_split(code, chr(10)) AS p FROM {_ALL}))"
 
 

@@ -12,7 +12,8 @@ from ..operators import detectors as D
 from ..operators import injection as I
 from ..sources.corpus import code_files, code_files_sql
 
-_FILES = code_files_sql()
+_ALL = f"(SELECT doc_id AS file_id, source AS path, lang AS language, text AS code FROM documents UNION ALL SELECT -file_id, path, language, code FROM ({code_files_sql()}))"
+_FILES = f"SELECT * FROM {_ALL}"
 _LINES = f"SELECT file_id, CAST(generate_subscripts(p, 1) AS INTEGER) AS line_no, unnest(p) AS line FROM (SELECT file_id, string_split(code, chr(10)) AS p FROM ({_FILES}))"
 
 
@@ -20,6 +21,11 @@ def _documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("source").alias("path"), F.col("lang").alias("language"), F.col("text").alias("code"))
 
 
+def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files, then the snippets, whose ids are negative."""
+    return _documents_as_files(spark, sf_dir).unionByName(code_files(spark).withColumn("file_id", -F.col("file_id")))
+
+
 _DOCS = "SELECT doc_id AS file_id, source AS path, lang AS language, text AS code FROM documents"
 
 
@@ -41,7 +47,7 @@ _EXT = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescri
 @query(f"SELECT file_id, CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in _EXT.items())} END AS by_extension FROM ({_FILES})")
 def scan_language_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.create_map(*(F.lit(x) for pair in _EXT.items() for x in pair))
-    return code_files(spark).select("file_id", F.try_element_at(names, F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).alias("by_extension"))
+    return all_files(spark, sf_dir).select("file_id", F.try_element_at(names, F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).alias("by_extension"))
 
 
 _EXCLUDED = ("__pycache__", ".git", "node_modules", "venv", ".env")
@@ -62,7 +68,7 @@ def scan_content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_LINES)
 def lines_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(code_files(spark)).select("file_id", "line_no", "line")
+    return lines(all_files(spark, sf_dir)).select("file_id", "line_no", "line")
 
 
 @query("SELECT doc_id AS file_id, count(*) AS n_lines, count(*) FILTER (trim(line, ' ' || chr(9) || chr(13)) <> '') AS n_filled FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1")
@@ -73,12 +79,12 @@ def lines_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT file_id, line_no AS line_number, string_agg(printf('%3d| %s', line_no, line), chr(10)) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING) AS code_snippet FROM ({_LINES})")
 def line_snippet_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(code_files(spark)).select("file_id", F.col("line_no").alias("line_number"), snippet(2).alias("code_snippet"))
+    return lines(all_files(spark, sf_dir)).select("file_id", F.col("line_no").alias("line_number"), snippet(2).alias("code_snippet"))
 
 
 @query(f"SELECT file_id, line_no FROM ({_LINES}) WHERE trim(line, ' ' || chr(9) || chr(13) || chr(12)) <> '' AND NOT starts_with(trim(line), '#') AND NOT starts_with(trim(line), '//')")
 def comment_blank_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(code_files(spark)).filter(is_code(F.col("line"), slashes=True)).select("file_id", "line_no")
+    return lines(all_files(spark, sf_dir)).filter(is_code(F.col("line"), slashes=True)).select("file_id", "line_no")
 
 
 @query("SELECT page_id, regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) AS base_name, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages")
@@ -101,7 +107,7 @@ def _register_detectors() -> None:
     for name, detector in names.items():
 
         def run(spark: SparkSession, sf_dir: str, detector=detector) -> DataFrame:
-            return D.detect(code_files(spark), detector)
+            return D.detect(all_files(spark, sf_dir), detector)
 
         run.__name__ = name
         query(D.detect_sql(_FILES, detector))(run)
@@ -116,12 +122,12 @@ _KEY_SQL = "CASE lower(vulnerability_type) WHEN 'attribute injection' THEN 'mass
 
 @query(f"SELECT file_id, line_number, detector_name, vulnerability_type, severity, cwe_id, confidence, CAST(det_ord AS INTEGER) AS det_ord FROM ({_ALL_SQL})")
 def det_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.detect_all(code_files(spark))
+    return D.detect_all(all_files(spark, sf_dir))
 
 
 @query(f"SELECT file_id, line_number, detector_name, vulnerability_type, severity, cwe_id, confidence, CAST(det_ord AS INTEGER) AS det_ord FROM ({_ALL_SQL}) QUALIFY row_number() OVER (PARTITION BY file_id, line_number, {_KEY_SQL} ORDER BY coalesce({_OWNER_SQL} = detector_name, false) DESC, confidence DESC, det_ord) = 1")
 def dedup_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.dedup(D.detect_all(code_files(spark)))
+    return D.dedup(D.detect_all(all_files(spark, sf_dir)))
 
 
 @query(f"SELECT severity, count(*) AS n FROM ({D.detect_sql(_DOCS, D.SECRETS)}) GROUP BY severity")
@@ -141,7 +147,7 @@ def _q(s: str) -> str:
   UNION ALL SELECT file_id, line_no, regexp_extract(line, {_q(D.USE_CALL)}, 1), 'use' FROM ({_CODE_LINES}) WHERE regexp_matches(line, {_q(D.USE_CALL)}))
 SELECT u.file_id, u.line_no AS line_number, u.var, max(c.line_no) AS check_line FROM e u JOIN e c ON c.file_id = u.file_id AND c.var = u.var AND c.kind = 'check' AND c.line_no < u.line_no WHERE u.kind = 'use' GROUP BY 1, 2, 3""")
 def det_toctou_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.toctou(code_files(spark))
+    return D.toctou(all_files(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE l AS ({_CODE_LINES}),
@@ -150,7 +156,7 @@ s(file_id, var, pos, sweep) AS (SELECT DISTINCT file_id, regexp_extract(line, {_
   UNION SELECT e.file_id, e.target, e.line_no, s.sweep + CAST(e.line_no <= s.pos AS INTEGER) FROM s JOIN e ON e.file_id = s.file_id AND e.word = s.var WHERE s.sweep + CAST(e.line_no <= s.pos AS INTEGER) <= {D.SWEEPS})
 SELECT DISTINCT file_id, var FROM s""")
 def taint_regex_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.tainted_variables(code_files(spark))
+    return D.tainted_variables(all_files(spark, sf_dir))
 
 
 def _near_taint_sql(sink: I.Sink) -> str:
@@ -168,12 +174,12 @@ WHERE regexp_matches(l.line, {_q(sink.pattern)}) AND trim(l.line, ' ' || chr(9)
 
 @query(_near_taint_sql(I.XPATH))
 def det_xpath(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.near_taint(code_files(spark), I.XPATH)
+    return I.near_taint(all_files(spark, sf_dir), I.XPATH)
 
 
 @query(_near_taint_sql(I.LDAP))
 def det_ldap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.near_taint(code_files(spark), I.LDAP)
+    return I.near_taint(all_files(spark, sf_dir), I.LDAP)
 
 
 @query(f"""WITH l AS ({_LINES}), c AS (SELECT *, sum(d) OVER (PARTITION BY file_id ORDER BY line_no) AS depth FROM (SELECT *, length(replace(line, ')', '')) - length(replace(line, '(', '')) AS d FROM l)),
@@ -182,7 +188,7 @@ o AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k e WHERE e.file_id = k.fi
 SELECT o.file_id, o.line_no AS line_number, 'SecureCookieDetector' AS detector_name, 'Insecure Cookie' AS vulnerability_type, 'HIGH' AS severity, 'CWE-614' AS cwe_id, CAST(0.95 AS DOUBLE) AS confidence
 FROM o JOIN l ON l.file_id = o.file_id AND l.line_no BETWEEN o.line_no AND o.until GROUP BY 1, 2 HAVING regexp_matches(string_agg(l.line, chr(10) ORDER BY l.line_no), {_q(I.INSECURE)})""")
 def det_cookie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.insecure_cookies(code_files(spark))
+    return I.insecure_cookies(all_files(spark, sf_dir))
 
 
 @query(f"SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")

@@ -9,19 +9,17 @@ from .. import catalog
 from ..catalog import query, table
 from ..operators import remediate as R
 from ..operators import union as U
-from ..sources.corpus import code_files, code_files_sql
-from .flows import _ALL, all_files
+from .flows import all_files
 from .scanning import _KEY_SQL, _OWNER_SQL, _q
 from . import scoped, web  # noqa: F401  their SQL is read below
 
-_SNIPPETS = f"(SELECT file_id, path, language, code FROM ({code_files_sql()}))"
 _BY_TREE = ("det_signed_loads",)  # no SQL
 
 
 def _part_sql(name: str) -> str:
     if name == "det_races":
         return f"SELECT file_id, line_number, 'TOCTOUDetector' AS detector_name, 'TOCTOU Race Condition' AS vulnerability_type, 'HIGH' AS severity, 'CWE-367' AS cwe_id, CAST(0.85 AS DOUBLE) AS confidence FROM ({catalog._SQL['det_toctou_asof']})"
-    return f"SELECT {', '.join(U.COLUMNS)} FROM ({catalog._SQL[name].replace(_ALL, _SNIPPETS)})"
+    return f"SELECT {', '.join(U.COLUMNS)} FROM ({catalog._SQL[name]})"
 
 
 _UNION = " UNION ALL ".join(f"SELECT *, {k} AS det_ord FROM ({_part_sql(name)})" for k, (name, _) in enumerate(U.PARTS) if name not in _BY_TREE)
@@ -30,7 +28,7 @@ _UNION = " UNION ALL ".join(f"SELECT *, {k} AS det_ord FROM ({_part_sql(name)})"
 @query(f"SELECT {', '.join(U.COLUMNS)}, CAST(det_ord AS INTEGER) AS det_ord FROM ({_UNION})")
 def det_union_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every detector that needs no syntax tree, in the order of registration."""
-    return U.all_findings(code_files(spark), without=_BY_TREE)
+    return U.all_findings(all_files(spark, sf_dir), without=_BY_TREE)
 
 
 @query(f"SELECT DISTINCT file_id, line_number, lower_type, detector_name, det_ord FROM (SELECT *, {_KEY_SQL} AS lower_type FROM ({_UNION}) QUALIFY row_number() OVER (PARTITION BY file_id, line_number, {_KEY_SQL} ORDER BY coalesce({_OWNER_SQL} = detector_name, false) DESC, confidence DESC, det_ord) = 1)")
@@ -39,7 +37,7 @@ def dedup_union_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.detectors import dedup
 
     kind = F.lower("vulnerability_type")
-    best = dedup(U.all_findings(code_files(spark), without=_BY_TREE))
+    best = dedup(U.all_findings(all_files(spark, sf_dir), without=_BY_TREE))
     return best.select("file_id", "line_number", F.when(kind == "attribute injection", "mass assignment").otherwise(kind).alias("lower_type"), "detector_name", "det_ord")
 
 
@@ -52,7 +50,7 @@ def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fix_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixes of the findings in the snippets. No SQL, as back references decide; tests hold the expected lines."""
-    files = code_files(spark)
+    files = all_files(spark, sf_dir)
     return R.apply_fixes(files, U.all_findings(files))[1]
 
 

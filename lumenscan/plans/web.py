@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..catalog import query
 from ..operators import injection as I
 from ..operators import web as W
-from ..sources.corpus import code_files
-from .scanning import _FILES, _LINES, _near_taint_sql, _q
+from .scanning import _FILES, _LINES, _near_taint_sql, _q, all_files
 
 _PYTHON = f"SELECT l.*, f.code FROM ({_LINES}) l JOIN ({_FILES}) f ON f.file_id = l.file_id WHERE f.language = 'python'"
 _SCRIPTS = f"SELECT l.* FROM ({_LINES}) l JOIN ({_FILES}) f ON f.file_id = l.file_id WHERE f.language IN {I.LANGUAGES}"
@@ -29,35 +28,35 @@ def _rule_sql(r: W.LineRule) -> str:
 
 @query(_rule_sql(W.UPLOAD))
 def det_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.line_rule(code_files(spark), W.UPLOAD)
+    return W.line_rule(all_files(spark, sf_dir), W.UPLOAD)
 
 
 @query(_rule_sql(W.DISCLOSURE))
 def det_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.line_rule(code_files(spark), W.DISCLOSURE)
+    return W.line_rule(all_files(spark, sf_dir), W.DISCLOSURE)
 
 
 @query(_rule_sql(W.RATE_LIMIT))
 def det_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.line_rule(code_files(spark), W.RATE_LIMIT)
+    return W.line_rule(all_files(spark, sf_dir), W.RATE_LIMIT)
 
 
 @query(f"""SELECT file_id, CAST(coalesce(min(line_no) FILTER (contains(line, 'Flask(')), 1) AS INTEGER) AS line_number, {_constants(W.OPERATIONAL, "Missing Security Headers", "MEDIUM", "CWE-693", 0.60)}
 FROM ({_PYTHON}) GROUP BY file_id HAVING (bool_or(regexp_matches(line, {_q(W.ROUTE)})) OR bool_or(contains(line, 'Flask('))) AND NOT bool_or(regexp_matches(line, {_q(W.HEADER_HINTS)}))""")
 def det_missing_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.missing_headers(code_files(spark))
+    return W.missing_headers(all_files(spark, sf_dir))
 
 
 @query(f"""SELECT file_id, min(line_no) AS line_number, {_constants(W.OPERATIONAL, "Missing CSRF Protection", "HIGH", "CWE-352", 0.62)}
 FROM (SELECT *, string_agg(line, chr(10)) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS region FROM ({_PYTHON}))
 WHERE NOT regexp_matches(code, {_q(W.CSRF_HINTS)}) AND regexp_matches(line, {_q(W.ROUTE)}) AND regexp_matches(region, {_q(W.CHANGING)}) GROUP BY file_id""")
 def det_missing_csrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.missing_csrf(code_files(spark))
+    return W.missing_csrf(all_files(spark, sf_dir))
 
 
 @query(_near_taint_sql(W.TRUST))
 def det_trust_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.near_taint(code_files(spark), W.TRUST)
+    return I.near_taint(all_files(spark, sf_dir), W.TRUST)
 
 
 _PROMPTS = " UNION ALL ".join(f"SELECT file_id, line_no AS line_number, {k} AS pattern_no, unnest(regexp_extract_all(line, {_q('(?i)' + p)}, 0)) AS matched_text FROM m" for k, p in enumerate(W.PROMPT_PATTERNS))
@@ -66,11 +65,11 @@ _PROMPTS = " UNION ALL ".join(f"SELECT file_id, line_no AS line_number, {k} AS p
 @query(f"""WITH m AS (SELECT * FROM ({_SCRIPTS}) WHERE trim(line, ' ' || chr(9) || chr(13) || chr(12)) <> '' AND NOT starts_with(trim(line), '#') AND NOT starts_with(trim(line), '//') AND regexp_matches(lower(line), {_q(W.AI_WORDS)}))
 SELECT *, {_constants("PromptInjectionDetector", "Prompt Injection", "CRITICAL", "CWE-74", 0.95)} FROM ({_PROMPTS})""")
 def det_prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.prompt_lines(code_files(spark))
+    return W.prompt_lines(all_files(spark, sf_dir))
 
 
 @query(f"""SELECT file_id, line_no AS line_number, operation, {_constants("OverprivilegedToolsDetector", "Over-Privileged AI Tool", "HIGH", "CWE-269", 0.90)}
 FROM (SELECT *, bool_or(regexp_matches(lower(line), {_q(W.AGENT_WORDS)})) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN {W.AGENT_LINES} PRECEDING AND CURRENT ROW) AS near FROM ({_SCRIPTS}))
 JOIN (VALUES {", ".join(f"({_q(o)})" for o in W.OPERATIONS)}) v(operation) ON contains(lower(line), operation) WHERE near OR regexp_matches(line, {_q(W.TOOL_DEFINITION)})""")
 def det_agent_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.agent_operations(code_files(spark))
+    return W.agent_operations(all_files(spark, sf_dir))
