@@ -34,7 +34,7 @@ def _near(sink: I.Sink):
 
 #: Query of each part, and the part. Its place is det_ord, which breaks ties when findings are deduplicated.
 PARTS = (
-    ("det_prompt_lines", W.prompt_lines), ("det_hardcoded_secret", _table(D.SECRETS)), ("det_agent_operations", W.agent_operations), ("det_tool_lists", S.tool_lists), ("det_weak_random", _table(D.WEAK_RANDOM)),
+    ("det_prompt_lines", W.prompt_lines), ("det_prompt_flow", W.prompt_flow), ("det_hardcoded_secret", _table(D.SECRETS)), ("det_agent_operations", W.agent_operations), ("det_tool_lists", S.tool_lists), ("det_permissions", W.permission_configs), ("det_weak_random", _table(D.WEAK_RANDOM)),
     ("det_weak_hash", _table(D.WEAK_HASH)), ("det_sql_injection", S.sql_injection), ("det_xpath", _near(I.XPATH)), ("det_xxe", S.xml_entities), ("det_deserialization", _table(D.DESERIALIZATION)),
     ("det_cookie", I.insecure_cookies), ("det_trust_boundary", _near(W.TRUST)), ("det_ldap", _near(I.LDAP)), ("det_reflection", _table(D.REFLECTION)), ("det_crypto", _table(D.CRYPTO)),
     ("det_temp_file", _table(D.TEMP_FILE)), ("det_races", races), ("det_memory", _table(D.MEMORY)), ("det_type_confusion", _table(D.TYPE_CONFUSION)), ("det_log_injection", S.log_injection), ("det_xss", S.cross_site_scripting),

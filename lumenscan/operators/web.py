@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_in, frame, is_code, lines, pat
@@ -46,6 +47,18 @@ OPERATIONS = (
     "delete_file", "remove_file", "os.remove", "os.unlink", "os.rmdir", "shutil.rmtree", "rm -rf", "drop table", "drop database", "truncate table", "delete from", "exec(", "eval(",
     "os.system", "subprocess.run", "subprocess.call", "subprocess.popen", "shell=true", "sudo", "os.chmod", "os.chown", "format_disk", "mkfs", "destroy", "terminate", "kill",
 )
+# What opens a configuration, what it may not grant, and user input for prompts.
+CONFIG_OPENS = r"""def\s+config\s*\(|["']?(?:config|settings|permissions)["']?\s*[=:]\s*\{"""
+DANGERS = (
+    ("Shell Access", r"""["']shell["']\s*:\s*True"""),
+    ("Delete Permission", r"""["'](?:filesystem|permissions|tools)["']\s*:\s*\[.*?["']delete["'].*?\]"""),
+    ("Write+Delete Permissions", r"""\[.*?["']write["'].*?["']delete["'].*?\]"""),
+    ("Elevated Privileges", r"""["'](?:admin|root|sudo|elevated)["']?\s*:\s*True"""),
+    ("Execute Permission", r"""["'](?:execute|exec|run)["']?\s*:\s*True"""),
+    ("Unrestricted Access", r"""["'](?:full_access|all_permissions|unrestricted)["']?\s*:\s*True"""),
+)
+PROMPT_SOURCE = r"(\w+)\s*=\s*(?:input\(|request\.form|request\.json|params\[)"
+PROMPT_WORDS = r"(?i)\b(?:prompt|system_prompt|gpt|openai|anthropic|claude|llm|completion|chat)\b"
 
 
 def _like(pattern: str, column: str = "line") -> Column:
@@ -101,3 +114,50 @@ def agent_operations(files: DataFrame) -> DataFrame:
     held = F.filter(F.array(*map(F.lit, OPERATIONS)), lambda o: F.contains(F.lower("line"), o))
     hits = rows.select("file_id", F.col("line_no").alias("line_number"), F.explode(held).alias("operation"))
     return hits.select("file_id", "line_number", "operation", *_finding("OverprivilegedToolsDetector", "Over-Privileged AI Tool", "HIGH", "CWE-269", 0.90))
+
+
+def _dangers(text: Column, flags: str) -> Column:
+    """Names of the grants that the text holds, in order."""
+    return F.array_compact(F.array(*(F.when(text.rlike(f"(?{flags}dU)" + p), F.lit(name)) for name, p in DANGERS)))
+
+
+def permission_configs(files: DataFrame) -> DataFrame:
+    """Configuration blocks that grant too much, by the line that opens them, and single lines outside of blocks.
+
+    A block runs from its opening line to the first later line where its braces are balanced or a function begins. An
+    opening line inside a block starts anew and the block before is lost; lines of a block that never ends are swallowed.
+    So every opening line starts a segment, whatever came before: its number is a running count, its braces a running sum
+    within it, and its end the first balanced line. Lines after the end, and the end itself, count as outside."""
+    some = files.filter(F.col("language").isin(*LANGUAGES)).filter(reduce(lambda a, b: a | b, (F.col("code").rlike("(?isdU)" + p) for _, p in DANGERS)))
+    of_file, of_segment = Window.partitionBy("file_id").orderBy("line_no"), Window.partitionBy("file_id", "segment").orderBy("line_no")
+    whole = of_segment.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = lines(some).withColumn("opens", _like(CONFIG_OPENS)).withColumn("segment", F.count_if("opens").over(of_file))
+    rows = rows.withColumn("depth", F.sum(F.regexp_count("line", F.lit(r"\{")) - F.regexp_count("line", F.lit(r"\}"))).over(of_segment))
+    closes = ~F.col("opens") & (F.col("segment") > 0) & ((F.col("depth") <= 0) | _like(r"^\s*def "))
+    rows = rows.withColumn("until", F.min(F.when(closes, F.col("line_no"))).over(whole))
+    inside = rows.filter("segment > 0 and line_no <= until")
+    blocks = inside.groupBy("file_id", "segment").agg(F.min("line_no").alias("line_number"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    held = blocks.select("file_id", "line_number", F.array_join(_dangers(F.col("text"), "is"), ", ").alias("dangers")).filter("dangers <> ''")
+    outside = rows.filter((F.col("segment") == 0) | (F.col("line_no") >= F.col("until"))).select("file_id", F.col("line_no").alias("line_number"), F.get(_dangers(F.col("line"), "i"), F.lit(0)).alias("dangers")).filter("dangers is not null")
+    of = lambda kind, confidence: _finding("OverprivilegedToolsDetector", kind, "HIGH", "CWE-269", confidence)
+    return held.select("file_id", "line_number", "dangers", *of("Overly Permissive AI Config", 0.90)).unionByName(outside.select("file_id", "line_number", "dangers", *of("Dangerous Permission Setting", 0.85)))
+
+
+def prompt_flow(files: DataFrame) -> DataFrame:
+    """Lines that speak of a model and use a variable that took user input on another line above: one finding a line, for the
+    variable that took input first. Taking input again moves the line of a variable, not its place: on that line it is
+    passed over."""
+    some = files.filter(F.col("language").isin(*LANGUAGES) & F.col("code").rlike(pat(PROMPT_SOURCE)) & F.col("code").rlike(PROMPT_WORDS))
+    source = lambda x: F.regexp_extract(x, pat(PROMPT_SOURCE), 1)
+    numbered = some.withColumn("all", F.transform(F.split("code", "\n", -1), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line"))))
+    taken = F.transform(F.filter("all", lambda x: x["line"].rlike(pat(PROMPT_SOURCE))), lambda x: F.struct(x["n"].alias("n"), source(x["line"]).alias("var")))
+    first = F.aggregate("taken", F.filter("taken", lambda t: F.lit(False)), lambda held, t: F.when(F.exists(held, lambda h: h["var"] == t["var"]), held).otherwise(F.concat(held, F.array(t))))
+
+    def one(x: Column) -> Column:
+        words = F.regexp_extract_all(x["line"], F.lit(pat(r"(\w+)")), 1)
+        due = F.filter("first", lambda t: (t["n"] < x["n"]) & F.array_contains(words, t["var"]) & (t["var"] != source(x["line"])))
+        return F.struct(x["n"].alias("line_number"), F.get(due, F.lit(0))["var"].alias("user_variable"))
+
+    hits = F.filter(F.transform(F.filter("all", lambda x: x["line"].rlike(PROMPT_WORDS)), one), lambda h: h["user_variable"].isNotNull())
+    rows = numbered.withColumn("taken", taken).withColumn("first", first).select("file_id", F.inline(hits))
+    return rows.select("file_id", "line_number", "user_variable", *_finding("PromptInjectionDetector", "Prompt Injection", "CRITICAL", "CWE-74", 0.85))

@@ -63,6 +63,9 @@ SNIPPETS: list[tuple[str, str]] = [
     ("python", "if hmac_ok:\n    (\n  x = pickle.loads(data)"),
     ("python", "agent = 1\ntools = [Tool(func=os.remove), Tool(func=subprocess.run)]\nTOOLS =\n[\n  run(shell=True),\n  sudo]\ntools = [safe]\nmy_tools = [os.remove, os.remove"),
     ("python", 'sql = "SELECT " + a' + "\n" * 11 + "db.execute(q)\ndb.execute(q)\nv = input()\n\nw = v\ncur.EXECUTEMANY( w )\ncur.execute(w, (v,))\n# cur.execute(w)\ncur.execute(other)\nstmt = f'SELECT {a}'"),
+    ("python", 'config = {\n  "shell": True,\n  "other": {"n": 1}\nsettings = {\n  "filesystem": ["read",\n    "delete"]\n}\n"sudo": True\n"root": True, "run": True\npermissions = {\n  "admin": True'),
+    ("javascript", 'a = input()\nb = request.json["b"]\nchat(b, a)\na = params["x"] + prompt\nllm = b\nprompts = a'),
+    ("python", 'p = request.form.get("q")\nbar = p\nif 7 * 3 > 20:\n    bar = "ok"\nelse:\n    bar = p\n# a\n# b\n# c\n# d\n# e\nexec(bar)\nsession["u"] = bar\n\n\n\nredirect(p)'),
 ]
 
 

@@ -75,7 +75,7 @@ def test_web_handlers(spark):
     assert at(W.missing_headers(files)) == {(36, 1), (37, 1)} and at(W.missing_csrf(files)) == {(36, 2)}
     assert at(W.line_rule(files, W.UPLOAD)) == {(37, 5)} and at(W.line_rule(files, W.DISCLOSURE)) == {(36, 7)}
     assert at(W.line_rule(files, W.RATE_LIMIT)) == {(36, 2), (38, 2)}
-    assert at(I.near_taint(files, W.TRUST)) == {(12, 2), (39, 2), (39, 4)}
+    assert at(I.near_taint(files, W.TRUST)) == {(12, 2), (39, 2), (39, 4), (61, 13)}
 
 
 def test_prompts_and_agents(spark):
@@ -83,3 +83,18 @@ def test_prompts_and_agents(spark):
     assert {(r.file_id, r.line_number) for r in W.prompt_lines(files).collect()} == {(40, 1), (41, 2)}
     rows = {(r.file_id, r.line_number, r.operation) for r in W.agent_operations(files).collect()}
     assert rows == {(42, 2, "os.remove"), (42, 51, "os.unlink"), (42, 54, "subprocess.popen"), (42, 54, "shell=true")} | {(57, 2, "os.remove"), (57, 2, "subprocess.run"), (57, 5, "shell=true"), (57, 6, "sudo"), (57, 8, "os.remove")}
+
+
+def test_permission_configs(spark):
+    """A restart loses the block before, an unclosed block swallows its lines, the closing line counts as outside."""
+    got = {(r.line_number, r.vulnerability_type, r.dangers) for r in W.permission_configs(code_files(spark)).collect() if r.file_id == len(SNIPPETS) - 2}
+    assert got == {(4, "Overly Permissive AI Config", "Delete Permission"), (8, "Dangerous Permission Setting", "Elevated Privileges"), (9, "Dangerous Permission Setting", "Elevated Privileges")}
+    rows = [("config = {", '"exec": True', "def f(): # \"run\": True", "x"), ('config = {"exec": True}', "a", "}"), ('config = {"exec": True}',), ("x", '"run": True', "settings: {")]
+    files = spark.createDataFrame([(k, "a.py", "python", "\n".join(r)) for k, r in enumerate(rows)] + [(9, "a", "python", None), (10, "a", "python", "")], "file_id long, path string, language string, code string")
+    found = {(r.file_id, r.line_number, r.dangers) for r in W.permission_configs(files).collect()}
+    assert found == {(0, 1, "Execute Permission"), (0, 3, "Execute Permission"), (1, 1, "Execute Permission"), (3, 2, "Execute Permission")}
+
+
+def test_prompt_flow(spark):
+    got = {(r.line_number, r.user_variable) for r in W.prompt_flow(code_files(spark)).collect() if r.file_id == len(SNIPPETS) - 1}
+    assert got == {(3, "a"), (5, "b")}  # line 4 takes input anew, line 6 has no whole word
