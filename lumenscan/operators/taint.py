@@ -206,8 +206,9 @@ def attack_paths(found: DataFrame) -> DataFrame:
     return rows.select("*", F.coalesce(i["vulnerability_type"], F.lit("Unknown")).alias("vulnerability_type"), F.coalesce(i["severity"], F.lit("MEDIUM")).alias("severity"), F.coalesce(i["cwe_id"], F.lit("")).alias("cwe_id"))
 
 
-def reach_status(kind: Column, code: Column, source_line: Column, sink_line: Column) -> Column:
-    """struct<status, sanitizers>: the trust ladder of a path of one type between two lines of a file. Sanitisers stand in order."""
+def reach_status(kind: Column, code: Column, source_line: Column, sink_line: Column, concrete: Column | None = None) -> Column:
+    """struct<status, sanitizers>: the trust ladder of a path of one type between two lines of a file. Sanitisers stand in order.
+    concrete: whether the path's ends are a source and a sink, as those of `attack_paths` are."""
     lines = F.split(code, "\n", -1)
     low, high = F.least(source_line, sink_line), F.greatest(source_line, sink_line)
     region = F.array_join(F.slice(lines, F.greatest(low, F.lit(1)), F.greatest(high - low + 1, F.lit(0))), "\n")
@@ -217,10 +218,36 @@ def reach_status(kind: Column, code: Column, source_line: Column, sink_line: Col
     marks.append(F.when((kind == "Command Injection") & F.contains(at_sink, F.lit("shell=False")), F.lit("shell=False")))
     cleared = (kind == "XSS / Template Injection") & code.rlike(pat(ANTI))
     found = F.when(cleared, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.array_compact(F.array(*marks)))))
-    status = F.when(F.size(found) > 0, "Reachability Eliminated").when(region.rlike(pat(RUNTIME)), "Requires Manual Review").otherwise("Confirmed Reachable")
+    status = F.when(F.size(found) > 0, "Reachability Eliminated").when(region.rlike(pat(RUNTIME)), "Requires Manual Review").when(F.lit(True) if concrete is None else concrete, "Confirmed Reachable").otherwise("Unverifiable")
     return F.struct(status.alias("status"), found.alias("sanitizers"))
 
 
+# The reasons by status; {a} and {b} are source and sink, {m} and {n} their lines, {s} the sanitisers.
+REASONS = {
+    "Reachability Eliminated": "Sanitiser(s) detected between source (line {m}) and sink (line {n}): {s}. Reachability is considered eliminated, though manual confirmation of sanitiser effectiveness is recommended.",
+    "Requires Manual Review": "Path from source (line {m}) to sink (line {n}) depends on runtime configuration or environment variables. Static analysis cannot determine whether the path is exercised at runtime.",
+    "Confirmed Reachable": "Tainted data flows from {a} (line {m}) to {b} (line {n}) with no sanitiser detected. The path is considered reachable.",
+    "Unverifiable": "A potential path exists from {a} to {b}, but static analysis could not conclusively prove or disprove reachability.",
+}
+
+
+def reasoning(status: Column, sanitizers: Column, source: Column, source_line: Column, sink: Column, sink_line: Column) -> Column:
+    """Why a path has its status."""
+    out = F.try_element_at(F.create_map(*(F.lit(x) for pair in REASONS.items() for x in pair)), status)
+    for key, value in (("{m}", source_line), ("{n}", sink_line), ("{s}", F.array_join(sanitizers, ", ")), ("{a}", source), ("{b}", sink)):
+        out = F.replace(out, F.lit(key), value.cast("string"))
+    return out
+
+
+def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """file_id, graph: each file's graph as JSON, nodes and edges in the order of their lines and names. A null code has none."""
+    n = nodes.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line", "col", "uid", "kind", "name"))).alias("n"))
+    e = edges.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("how").alias("transform")))).alias("e"))
+    shown = F.transform("n", lambda x: F.struct(x["uid"].alias("uid"), x["kind"].alias("kind"), x["name"].alias("name"), x["line"].alias("line")))
+    none = F.array().cast("array<struct<source:string,target:string,transform:string>>")
+    return n.join(e, "file_id", "left").select("file_id", F.to_json(F.struct(shown.alias("nodes"), F.coalesce("e", none).alias("edges"))).alias("graph"))
+
+
 def enrich(findings: DataFrame, results: DataFrame) -> DataFrame:
     """file_id, result_id, finding_id: the finding that each result takes, null if none is left.
 
