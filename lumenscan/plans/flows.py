@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,21 +89,37 @@ ENTRY = r"""(?i)@\s*(app\.route|router\.(get|post|put|delete|patch)|api\.(get|po
 WEB_IMPORT = r"(?m)^\s*(?:import|from)\s+(?i:flask|django|fastapi|starlette)(?:[\s.,]|$)"
 
 
-def verdict(kind: Column, line: Column, code: Column, path: Column, reach: Column, has_path: Column, is_web: Column) -> Column:
-    """struct<status, reason>: the rules in order; Confirmed and Out-of-scope end it, of the others the last holds."""
+# Statuses and reasons of the rules, in order.
+VERDICTS = (
+    ("Confirmed", "Verified attack path from source to sink; entry point and HTML/JS output context."),
+    ("Out-of-scope", "No web framework in project and no routing decorators in file."),
+    ("Out-of-scope", "Risk mitigated by parameterized query."),
+    ("Out-of-scope", "Input validation or sanitization present on same line."),
+    ("Confirmed", "Verified attack path from source to sink."),
+    ("Unverified", "Static match only; no verified data flow."),
+    ("Unverified", "Finding in non-production code."),
+    ("Unverified", "No rule matched; default unverified."),
+)
+
+
+def verdict(kind: Column, line: Column, code: Column, path: Column, reach: Column, has_path: Column, is_web: Column, extra: Sequence[tuple[Column, str, str]] = ()) -> Column:
+    """struct<status, reason>: the rules in order; Confirmed and Out-of-scope end it, of the others the last holds.
+
+    extra: further rules (condition, status, reason), which stand behind the built-in ones. A condition that is null is not met."""
     k, line, reached = F.lower(F.coalesce(kind, F.lit(""))), F.coalesce(line, F.lit("")), F.coalesce(reach == "Confirmed Reachable", F.lit(False))
     xss = F.contains(k, F.lit("xss")) | F.contains(k, F.lit("template injection"))
     entry, output = code.rlike(pat(ENTRY)), line.rlike(pat(OUTPUT)) | code.rlike(pat(OUTPUT))
     web = is_web | code.rlike(WEB_IMPORT)
+    tests = F.contains(path, F.lit("/tests/")) | F.contains(path, F.lit("/examples/"))
+    ending = [xss & reached & entry & output, xss & ~web & ~entry, F.contains(k, F.lit("sql injection")) & line.rlike(pat(MARKERS)), line.rlike(pat(VALIDATION)), reached]
+    ladder = [(c, *v) for c, v in zip(ending, VERDICTS)]
+    ladder += [r for r in extra if r[1] != "Unverified"] + [r for r in reversed(extra) if r[1] == "Unverified"]
+    ladder += [(~has_path & (reach.isNull() | (reach == "Unverifiable")), *VERDICTS[5]), (tests, *VERDICTS[6])]
     said = lambda status, reason: F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
-    final = F.when(xss & reached & entry & output, said("Confirmed", "Verified attack path from source to sink; entry point and HTML/JS output context."))
-    final = final.when(xss & ~web & ~entry, said("Out-of-scope", "No web framework in project and no routing decorators in file."))
-    final = final.when(F.contains(k, F.lit("sql injection")) & line.rlike(pat(MARKERS)), said("Out-of-scope", "Risk mitigated by parameterized query."))
-    final = final.when(line.rlike(pat(VALIDATION)), said("Out-of-scope", "Input validation or sanitization present on same line."))
-    final = final.when(reached, said("Confirmed", "Verified attack path from source to sink."))
-    final = final.when(~has_path & (reach.isNull() | (reach == "Unverifiable")), said("Unverified", "Static match only; no verified data flow."))
-    final = final.when(F.contains(path, F.lit("/tests/")) | F.contains(path, F.lit("/examples/")), said("Unverified", "Finding in non-production code."))
-    return final.otherwise(said("Unverified", "No rule matched; default unverified."))
+    out = said(*VERDICTS[7])
+    for condition, status, reason in reversed(ladder):
+        out = F.when(condition, said(status, reason)).otherwise(out)
+    return out
 
 
 _VERDICT_KINDS = ("SQL Injection", "XSS", "Server-Side Template Injection", "Weak Hash")
@@ -109,28 +127,43 @@ _REACHES = ("Confirmed Reachable", "Reachability Eliminated", "Unverifiable", No
 _m = lambda c, p: f"regexp_matches({c}, {_q(p)})"
 
 
-@query(f"""WITH f AS (SELECT file_id, code, CASE WHEN abs(file_id) % 6 = 0 THEN '/tests/' || path ELSE path END AS path, [{', '.join(map(_q, _VERDICT_KINDS))}][CAST(abs(file_id) % 4 AS INTEGER) + 1] AS kind,
+def _verdict_sql(first: str = "", last: str = "", n: str = "") -> str:
+    """first: WHEN clauses behind the ending rules; last: those behind them; n: the places they give, from 9."""
+    return f"""WITH f AS (SELECT file_id, code, CASE WHEN abs(file_id) % 6 = 0 THEN '/tests/' || path ELSE path END AS path, [{', '.join(map(_q, _VERDICT_KINDS))}][CAST(abs(file_id) % 4 AS INTEGER) + 1] AS kind,
   [{', '.join(_q(r) if r else 'NULL' for r in _REACHES)}][CAST(abs(file_id) // 4 % 4 AS INTEGER) + 1] AS reach, abs(file_id) % 3 = 0 AS has_path, abs(file_id) % 5 = 0 AS is_web, string_split(code, chr(10)) AS p FROM {_ALL} WHERE code IS NOT NULL AND path IS NOT NULL),
 x AS (SELECT *, p[1 + CAST(abs(file_id) % len(p) AS INTEGER)] AS line FROM f),
 c AS (SELECT file_id, CASE WHEN kind IN ('XSS', 'Server-Side Template Injection') AND reach = 'Confirmed Reachable' AND {_m('code', ENTRY)} AND ({_m('line', OUTPUT)} OR {_m('code', OUTPUT)}) THEN 1
   WHEN kind IN ('XSS', 'Server-Side Template Injection') AND NOT is_web AND NOT {_m('code', WEB_IMPORT)} AND NOT {_m('code', ENTRY)} THEN 2
-  WHEN kind = 'SQL Injection' AND {_m('line', MARKERS)} THEN 3 WHEN {_m('line', VALIDATION)} THEN 4 WHEN reach = 'Confirmed Reachable' THEN 5
+  WHEN kind = 'SQL Injection' AND {_m('line', MARKERS)} THEN 3 WHEN {_m('line', VALIDATION)} THEN 4 WHEN reach = 'Confirmed Reachable' THEN 5 {first} {last}
   WHEN NOT has_path AND (reach IS NULL OR reach = 'Unverifiable') THEN 6 WHEN contains(path, '/tests/') THEN 7 ELSE 8 END AS n FROM x)
-SELECT file_id, ['Confirmed', 'Out-of-scope', 'Out-of-scope', 'Out-of-scope', 'Confirmed', 'Unverified', 'Unverified', 'Unverified'][n] AS status,
- ['Verified attack path from source to sink; entry point and HTML/JS output context.', 'No web framework in project and no routing decorators in file.', 'Risk mitigated by parameterized query.', 'Input validation or sanitization present on same line.',
-  'Verified attack path from source to sink.', 'Static match only; no verified data flow.', 'Finding in non-production code.', 'No rule matched; default unverified.'][n] AS reason FROM c""")
-def verdict_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict of one finding on a line of every file."""
+SELECT file_id, [{', '.join(_q(v[0]) for v in VERDICTS)}{n and ', ' + n.split('|')[0]}][n] AS status, [{', '.join(_q(v[1]) for v in VERDICTS)}{n and ', ' + n.split('|')[1]}][n] AS reason FROM c"""
+
+
+def _verdicts(spark: SparkSession, sf_dir: str, extra: Sequence[tuple[Column, str, str]] = ()) -> DataFrame:
     i = F.abs("file_id")
     pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
     files = all_files(spark, sf_dir).filter("code is not null and path is not null")
     all_lines = F.split("code", "\n", -1)
     line = F.element_at(all_lines, (i % F.size(all_lines) + 1).cast("int"))
     path = F.when(i % 6 == 0, F.concat(F.lit("/tests/"), "path")).otherwise(F.col("path"))
-    v = verdict(pick(_VERDICT_KINDS, i % 4), line, F.col("code"), path, pick(_REACHES, F.floor(i / 4) % 4), i % 3 == 0, i % 5 == 0)
+    v = verdict(pick(_VERDICT_KINDS, i % 4), line, F.col("code"), path, pick(_REACHES, F.floor(i / 4) % 4), i % 3 == 0, i % 5 == 0, extra)
     return files.select("file_id", v.alias("v")).select("file_id", "v.*")
 
 
+@query(_verdict_sql())
+def verdict_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of one finding on a line of every file."""
+    return _verdicts(spark, sf_dir)
+
+
+@query(_verdict_sql("WHEN length(code) < 60 THEN 10", "WHEN abs(file_id) % 11 = 0 THEN 11 WHEN abs(file_id) % 2 = 0 THEN 9", "'Unverified', 'Out-of-scope', 'Unverified' | 'Even.', 'Short.', 'Eleventh.'"))
+def verdict_with_own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with three rules of a user's behind the built-in ones."""
+    i = F.abs("file_id")
+    own = ((i % 2 == 0, "Unverified", "Even."), (F.char_length("code") < 60, "Out-of-scope", "Short."), (i % 11 == 0, "Unverified", "Eleventh."))
+    return _verdicts(spark, sf_dir, own)
+
+
 @query(f"SELECT indent, count(*) AS n FROM (SELECT length(line) - length(ltrim(line, ' ' || chr(9))) AS indent FROM {_LINES}) GROUP BY 1")
 def indent_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by the width of what stands before their first other character."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query, table
 from ..sources import warehouse as W
 from ..streaming import events as E
+from ..streaming import progress as P
 from .analytics import _F, findings
 
 
@@ -32,3 +33,15 @@ def event_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = E.read_events(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
     E.keep_up(E.windows(stream), f"{path}/table", f"{path}/state")
     return spark.read.parquet(f"{path}/table")
+
+
+@query("""WITH e AS (SELECT user_id AS job_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'complete' ELSE event_type END AS kind FROM events),
+l AS (SELECT *, min(CASE WHEN kind IN ('complete', 'error') THEN seq END) OVER (PARTITION BY job_id) AS until FROM e)
+SELECT job_id, seq, 'data: {"type": "' || kind || '"}' || chr(10) || chr(10) AS message FROM l WHERE until IS NULL OR seq <= until""")
+def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of jobs (users), from the events read as a stream, up to each job's end."""
+    path = W.scratch(spark, "progress")
+    stream = E.read_events(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
+    kind = F.when(F.col("event_type") == "purchase", "complete").otherwise(F.col("event_type"))
+    P.write(P.messages(stream.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), kind.alias("kind"))), f"{path}/table", f"{path}/state")
+    return spark.read.schema(P.OUT).parquet(f"{path}/table").filter("seq is not null")

@@ -88,7 +88,7 @@ def _permissions_sql(lines: str) -> str:
     return f"""WITH l AS (SELECT *, regexp_matches(line, {_q(W.CONFIG_OPENS)}) AS opens FROM {lines} WHERE {_IS_SCRIPT}),
 g AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY file_id ORDER BY line_no) AS segment FROM l),
 d AS (SELECT *, sum({_COUNT.format("line", "{")} - ({_COUNT.format("line", "}")})) OVER (PARTITION BY file_id, segment ORDER BY line_no) AS depth FROM g),
-u AS (SELECT *, min(CASE WHEN NOT opens AND segment > 0 AND (depth <= 0 OR regexp_matches(line, '^\s*def ')) THEN line_no END) OVER (PARTITION BY file_id, segment) AS until FROM d),
+u AS (SELECT *, min(CASE WHEN NOT opens AND segment > 0 AND (depth <= 0 OR regexp_matches(line, '^\\s*def ')) THEN line_no END) OVER (PARTITION BY file_id, segment) AS until FROM d),
 b AS (SELECT file_id, min(line_no) AS line_number, string_agg(line, chr(10) ORDER BY line_no) AS text FROM u WHERE segment > 0 AND line_no <= until GROUP BY file_id, segment),
 h AS (SELECT file_id, line_number, array_to_string(list_filter({_grants("text", "is")}, lambda x: x IS NOT NULL), ', ') AS dangers FROM b),
 o AS (SELECT file_id, line_no AS line_number, list_filter({_grants("line", "i")}, lambda x: x IS NOT NULL)[1] AS dangers FROM u WHERE segment = 0 OR line_no >= until)
@@ -99,7 +99,7 @@ UNION ALL SELECT file_id, line_number, dangers, {_constants("OverprivilegedTools
 def _prompt_flow_sql(lines: str) -> str:
     return f"""WITH l AS (SELECT *, nullif(regexp_extract(line, {_q(W.PROMPT_SOURCE)}, 1), '') AS taken FROM {lines} WHERE {_IS_SCRIPT}),
 f AS (SELECT file_id, taken AS var, min(line_no) AS first FROM l WHERE taken IS NOT NULL GROUP BY 1, 2),
-w AS (SELECT DISTINCT file_id, line_no, coalesce(taken, '') AS taken, unnest(regexp_extract_all(line, '(\w+)', 1)) AS var FROM l WHERE regexp_matches(line, {_q(W.PROMPT_WORDS)}))
+w AS (SELECT DISTINCT file_id, line_no, coalesce(taken, '') AS taken, unnest(regexp_extract_all(line, '(\\w+)', 1)) AS var FROM l WHERE regexp_matches(line, {_q(W.PROMPT_WORDS)}))
 SELECT w.file_id, w.line_no AS line_number, arg_min(w.var, f.first) AS user_variable, {_constants("PromptInjectionDetector", "Prompt Injection", "CRITICAL", "CWE-74", 0.85)}
 FROM w JOIN f ON f.file_id = w.file_id AND f.var = w.var AND f.first < w.line_no AND w.var <> w.taken GROUP BY 1, 2"""
 
