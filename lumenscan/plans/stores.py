@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query, table
+from ..sources import knowledge as K
 from ..sources import warehouse as W
 from ..streaming import events as E
 from ..streaming import progress as P
@@ -45,3 +46,24 @@ def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "purchase", "complete").otherwise(F.col("event_type"))
     P.write(P.messages(stream.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), kind.alias("kind"))), f"{path}/table", f"{path}/state")
     return spark.read.schema(P.OUT).parquet(f"{path}/table").filter("seq is not null")
+
+
+@query("""WITH first AS (SELECT source, 1 AS version, count(*) AS n_docs FROM documents WHERE source IS NOT NULL AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY source),
+again AS (SELECT source, 2 AS version, count(*) FILTER (doc_id % 3 = 0) AS n_docs FROM documents WHERE source IS NOT NULL AND doc_id % 3 = 0 GROUP BY source HAVING md5(source) < '8'),
+every AS (SELECT * FROM again UNION ALL SELECT * FROM first WHERE source NOT IN (SELECT source FROM again))
+SELECT source, CAST(version AS INTEGER) AS version, n_docs FROM every WHERE source <> (SELECT min(source) FROM documents)""")
+def kb_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of a knowledge base after all documents came in, half of the sources came in anew, and one was removed."""
+    docs, path = table(spark, sf_dir, "documents"), W.scratch(spark, "kb")
+    K.put(docs, path)
+    K.put(docs.filter((F.col("doc_id") % 3 == 0) & (F.md5("source") < "8")), path)
+    K.remove(spark, path, docs.agg(F.min("source")).first()[0])
+    return K.sources(spark, path)
+
+
+@query()
+def kb_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four nearest chunks of the documents for each benchmark item. No SQL, as vectors come from hashes; tests compare with brute force."""
+    docs, path = table(spark, sf_dir, "documents"), W.scratch(spark, "kb")
+    K.put(docs, path)
+    return K.retrieve(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), "text"), path)
