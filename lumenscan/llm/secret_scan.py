@@ -5,7 +5,9 @@
 2. Labelled credentials are the values of the base spans. Per kind, at most FIT_VALUES distinct values (those with the
    smallest hashes) fill, whole, a prefix tree over character classes; states whose continuations and ends cannot be told
    apart (Hoeffding bound, ALPHA) are merged, which leaves a small automaton with probabilities of transitions and of
-   ending. Ordinary long words (all of them outside base spans, bounded alike by hash) give the background automaton.
+   ending. The other runs of the same alphabet, whole and with their dots, give the background: an automaton of all of them, and
+   one of each shape (which classes and marks a run holds) with its frequency, counted over all documents, so that addresses,
+   versions or paths have a rival that knows them. Each is learnt from at most FIT_VALUES distinct runs.
 3. Every candidate of every document gets its likelihood, its end included, under each format and the background. One whose
    best format leads by MIN_BITS, and by MIN_BITS_PER_CHAR for each character, is a secret. If the whole run is one, what
    lies outside base spans is of kind `format`; else each part outside them is scored, and then the pieces between its
@@ -26,10 +28,11 @@ import hashlib
 import heapq
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import materialize
@@ -41,20 +44,23 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 _WORDS = ("passw", "secret", "token", "api")
 MIN_CHARS = 12
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{12,40}")
 
 FIT_VALUES = 1000
+#: A shape has an automaton of its own from so many distinct ordinary runs on; one of fewer would only know what is to be judged.
+LEAST_OF_SHAPE = 20
 ALPHA = 0.05
-#: Odds of about 2^18 over ordinary words; a value of 16 digits, the shortest labelled one, leads by 20 bits.
-MIN_BITS = 18.0
-MIN_BITS_PER_CHAR = 1.2
+#: Odds of about 1000 to 1 over ordinary runs, whose likelihood already holds how frequent their shape is.
+MIN_BITS = 10.0
+MIN_BITS_PER_CHAR = 0.6
 MASK = "[SECRET]"
 
 _SPAN = "struct<kind:string, start:int, end:int, value:string>"
 _SCORED = "struct<kind:string, start:int, end:int, value:string, confirmed:boolean>"
-FOUND = f"doc_id long, spans array<{_SPAN}>, candidates array<struct<start:int, end:int, value:string>>, ordinary array<string>"
+FOUND = f"doc_id long, spans array<{_SPAN}>, candidates array<struct<start:int, end:int, value:string>>, ordinary array<struct<shape:string, value:string>>, shapes array<struct<shape:string, n:bigint>>"
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
 _SCORED_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("confirmed", pa.bool_())]))
+_ORDINARY_TYPE = pa.list_(pa.struct([("shape", pa.string()), ("value", pa.string())]))
+_SHAPE_TYPE = pa.list_(pa.struct([("shape", pa.string()), ("n", pa.int64())]))
 _CANDIDATE_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
 
 
@@ -115,6 +121,11 @@ def classes(value: str) -> str:
     return "".join(_CLASS.get(c, c) for c in value)
 
 
+def shape(value: str) -> str:
+    """Which classes and marks a value holds; there are at most 2^10 of them."""
+    return "".join(sorted(set(classes(value))))
+
+
 class Automaton:
     """A deterministic automaton with probabilities, merged from the prefix tree of its examples."""
 
@@ -202,16 +213,29 @@ def _half(value: str) -> int:
 
 
 class Formats:
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
+    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], counts: dict[str, int] | None = None):
+        """ordinary: examples of unlabelled runs. counts: how often runs of a shape occur, else as often as in the examples."""
         learn = lambda half: [Automaton(some) for v in labelled.values() if (some := [x for x in v if half is None or _half(x) != half])]
         self.formats = learn(None)
         self.held_out = learn(0), learn(1)
-        self.background = Automaton(ordinary)
+        pools: dict[str, tuple[list[str], int]] = {}
+        by_shape: dict[str, list[str]] = {}
+        for value in ordinary:
+            by_shape.setdefault(shape(value), []).append(value)
+        frequency = {k: (counts or {}).get(k, len(v)) for k, v in by_shape.items()}
+        total = sum(frequency.values())
+        self.ordinary = [(0.0, Automaton(heapq.nsmallest(FIT_VALUES, ordinary, key=_order)))]
+        self.ordinary += [(math.log2(frequency[k] / total), Automaton(v)) for k, v in by_shape.items() if len(v) >= LEAST_OF_SHAPE]
+
+    def background(self, value: str) -> float:
+        """log2 of the likelihood of the value among ordinary runs: under the automaton of all of them, or under that of one shape and the
+        shape's frequency, whichever knows it better."""
+        return max(share + a.bits(value) for share, a in self.ordinary)
 
     def _leads(self, formats: list[Automaton], value: str) -> bool:
         if not formats:
             return False
-        lead = max(a.bits(value) for a in formats) - self.background.bits(value)
+        lead = max(a.bits(value) for a in formats) - self.background(value)
         return lead >= MIN_BITS and lead >= MIN_BITS_PER_CHAR * len(value)
 
     def secret(self, value: str) -> bool:
@@ -228,16 +252,25 @@ def _order(value: str) -> tuple[str, str]:
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans, others, ordinary = [], [], set()
+        spans, others, ordinary, counts = [], [], {}, Counter()
         for text in batch.column(1).to_pylist():
             text = text or ""
             found = base_spans(text)
             spans.append([{"kind": kind, "start": a, "end": b, "value": v} for a, kind, b, v in found])
-            others.append([{"start": a, "end": b, "value": v} for a, b, v in candidates(text)])
-            ordinary.update(m[0] for m in ORDINARY.finditer(text) if not any(a <= m.start() < b for a, _, b, _ in found))
+            runs = candidates(text)
+            others.append([{"start": a, "end": b, "value": v} for a, b, v in runs])
+            for a, b, v in runs:  # what is ordinary is learnt from the same runs that are scored, but for those with a base span
+                if not any(x < b and a < y for x, _, y, _ in found):
+                    name = shape(v)
+                    counts[name] += 1
+                    ordinary.setdefault(name, set()).add(v)
         # the least of all batches are among the least of each
-        least = [heapq.nsmallest(FIT_VALUES, ordinary, key=_order), *[[]] * (len(batch) - 1)][: len(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPAN_TYPE), pa.array(others, _CANDIDATE_TYPE), pa.array(least, pa.list_(pa.string()))], names=["doc_id", "spans", "candidates", "ordinary"])
+        least = [{"shape": k, "value": v} for k, vs in ordinary.items() for v in heapq.nsmallest(FIT_VALUES, vs, key=_order)]
+        first = lambda rows, kind: pa.array([rows, *[[]] * (len(batch) - 1)][: len(batch)], kind)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(spans, _SPAN_TYPE), pa.array(others, _CANDIDATE_TYPE), first(least, _ORDINARY_TYPE), first([{"shape": k, "n": n} for k, n in counts.items()], _SHAPE_TYPE)],
+            names=["doc_id", "spans", "candidates", "ordinary", "shapes"],
+        )
 
 
 def find(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -249,10 +282,22 @@ def _least(values: DataFrame) -> list[str]:
     return [r[0] for r in values.distinct().orderBy(F.xxhash64("value"), "value").limit(FIT_VALUES).collect()]
 
 
+def _ordinary(found: DataFrame) -> list[str]:
+    """FIT_VALUES distinct ordinary runs of each shape at most, those with the smallest hashes: first of each of 256 parts of a shape,
+    then of the shape, so that no task holds all runs of a frequent one."""
+    runs = found.select(F.explode("ordinary").alias("o")).select("o.shape", "o.value").distinct().withColumn("md5", F.md5("value"))
+    part = F.pmod(F.xxhash64("value"), F.lit(256))
+    for keys in (["shape", part], ["shape"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("md5", "value"))
+        runs = runs.withColumn("place", place).filter(F.col("place") <= FIT_VALUES).drop("place")
+    return [r["value"] for r in runs.orderBy("shape", "md5", "value").collect()]  # at most 2^10 shapes
+
+
 def fit(found: DataFrame) -> Formats:
-    """Formats from the labelled values among the found spans."""
+    """Formats from the labelled values among the found spans, and what is ordinary from the other runs."""
     labelled = found.select(F.explode("spans").alias("s")).select("s.kind", "s.value")
-    return Formats({k: _least(labelled.filter(F.col("kind") == k).select("value")) for k in KINDS[:3]}, [r[0] for r in found.select(F.explode("ordinary").alias("value")).distinct().orderBy(F.md5("value"), "value").limit(FIT_VALUES).collect()])
+    counts = found.select(F.explode("shapes").alias("s")).groupBy("s.shape").agg(F.sum("s.n").alias("n")).collect()
+    return Formats({k: _least(labelled.filter(F.col("kind") == k).select("value")) for k in KINDS[:3]}, _ordinary(found), {r["shape"]: r["n"] for r in counts})
 
 
 def _remembered(test: Callable[[str], bool]) -> Callable[[str], bool]:
