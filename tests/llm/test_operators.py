@@ -473,7 +473,7 @@ def test_addresses_are_ordinary(spark):
     word = lambda: "".join(r.choice(["tion", "ment", "ing", "able", "hand", "werk"]) for _ in range(5))
     address = lambda: ".".join(str(r.randrange(100, 256)) for _ in range(4))
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    rows = [(k, f"token = {digits(16)}{'.' * (k % 2)}{digits(4)} {word()} {address() if k % 5 == 0 else word()} {word()}", "s") for k in range(400)]
+    rows = [(k, f"token = {digits(16)}{'.' * (k % 2)}{digits(4)} {' '.join(word() for _ in range(30))} {address() if k % 5 == 0 else word()} {word()}", "s") for k in range(400)]
     docs = docs_of(spark, [*rows, *((1000 + k, f"{word()} {''.join(r.choice('ABCDEF0123456789') for _ in range(30))} {word()}", "s") for k in range(10))])
     keys = docs_of(spark, [(2000 + k, f"secret: {''.join(r.choice('ABCDEF0123456789') for _ in range(30))}", "s") for k in range(200)])
     got = {x.doc_id: x.n_added for x in secret_scan.digest(secret_scan.scan(docs.union(keys))).collect()}
