@@ -240,7 +240,7 @@ _JS = """'{"severity":"' || severity || '","line":' || CAST(line_number AS VARCH
 
 @query(f"""SELECT scan_id, '{{"scan_id":' || CAST(scan_id AS VARCHAR) || ',"total_findings":' || CAST(count(*) AS VARCHAR) || ',"findings":[' || {_agg_sql(_JS, "','")} || '],"attack_paths":[],"reachability":[]}}' AS report FROM {_F} GROUP BY 1""")
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON report per scan; paths and reachability are empty lists, as in the reports to match."""
+    """A JSON report per scan; paths and reachability are left empty here."""
     f = findings(spark, sf_dir)
     row = F.struct("ordinal", "severity", "line_number", "vulnerability_type")
     rows = F.transform(F.array_sort(F.collect_list(row)), lambda x: F.struct(x["severity"].alias("severity"), x["line_number"].alias("line"), x["vulnerability_type"].alias("type")))

@@ -1,8 +1,8 @@
 """Scans and findings kept as Parquet tables: inserts, updates and deletes by version.
 
 A table is a folder of versions. An insert adds files to the newest one; an update or a delete writes the next, as Parquet files
-do not change in place. Readers take the newest version, which the partition column prunes to; a job that fails leaves the
-version before it in force."""
+do not change in place. Readers take the newest version, which the partition column prunes to. A job that fails before it
+commits leaves the version before it in force; one that dies while it moves its files into place may leave a part of the next."""
 
 from __future__ import annotations
 
