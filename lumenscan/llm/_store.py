@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -45,12 +44,6 @@ def discard(table: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Drops what finished steps still hold on the driver: plans, broadcast copies and, through Spark's cleaner, shuffle files."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that the table doesn't have, whatever its own are called."""
     taken, out = {c.lower() for c in df.columns}, []

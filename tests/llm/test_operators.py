@@ -268,6 +268,47 @@ def test_decontamination_finds_every_exact_copy(spark):
     assert all((i, i - 1000) in found for i, _, _ in rows if i >= 1000)
 
 
+def test_decontamination_finds_paraphrases_in_a_space_of_low_rank(spark, monkeypatch):
+    """200 items of shared wording, paraphrased by other and added words: at least 0.9 of what every window against every item finds."""
+    r = random.Random(12)
+    common, word = [f"c{k}" for k in range(40)], lambda: r.choice(common) if r.random() < 0.4 else f"v{r.randrange(1500)}"
+    items = [(k, " ".join(word() for _ in range(r.randrange(15, 60)))) for k in range(200)]
+    rows = []
+    for k, text in items:
+        changed = [x for w in text.split() for x in r.choice([[w]] * 7 + [[w, word()], [word()], [word()]])]
+        rows.append((k, " ".join([*(word() for _ in range(r.randrange(80))), *changed, *(word() for _ in range(r.randrange(80)))]), "s"))
+    rows += [(1000 + k, " ".join(word() for _ in range(150)), "s") for k in range(40)]
+    want = set()
+    for d, text, _ in rows:
+        have = text.split()
+        for k, item in items:
+            own = item.split()
+            n, answer = len(own), set(own[-max(2, len(own) // 3) :])
+            if len(set(own) & set(have)) < 0.3 * n:
+                continue
+            masks = {w: sum(1 << j for j, x in enumerate(own) if x == w) for w in own}
+            for start in range(0, len(have), 16):
+                region = have[max(0, start - n) : start + 32 + n]
+                if len(answer & set(region)) >= 0.6 * len(answer) and decontaminate.lcs_length(masks, n, region) >= 0.6 * n:
+                    want.add((d, k))
+                    break
+    docs, bench = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    found = {(x.doc_id, x.item_id) for x in decontaminate.matches(docs, bench).collect()}
+    assert len(want) > 150 and found <= want and len(found) >= 0.9 * len(want), (len(want), len(found), len(found - want))
+    monkeypatch.setattr(decontaminate, "randomised_svd", lambda items, idf, rank, *_: np.zeros((1 << decontaminate.FEATURE_BITS, 0), np.float32))
+    assert len(decontaminate.matches(docs, bench).collect()) < 0.1 * len(want)
+
+
+def test_decontamination_of_items_without_common_directions(spark, monkeypatch):
+    """Orthogonal items beyond the greatest rank get further indexes, so that each is held by one."""
+    monkeypatch.setattr(decontaminate, "RANK", 4)
+    monkeypatch.setattr(decontaminate, "MAX_RANK", 8)
+    items = [(k, " ".join(f"q{k}x{j}" for j in range(20))) for k in range(24)]
+    rows = [(k, " ".join(w for j, w in enumerate(t.split()) if j % 5), "s") for k, t in items] + [(900 + k, f"z{k} y{k}", "s") for k in range(24)]
+    found = {(x.doc_id, x.item_id) for x in decontaminate.matches(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(k, k) for k in range(24)}
+
+
 def test_packing(spark, awkward):
     docs = docs_of(spark, awkward)
     placed = packing.pack(docs, capacity=700, shard_docs=20).toPandas()
