@@ -288,7 +288,7 @@ def _indexes(items: DataFrame, idf: np.ndarray) -> Iterator[Index]:
                 continue
             basis = latent_basis(some, passages, idf)
             yield Index(passages, idf, basis)
-            lost = {passages.ids[x] for x in passages.lost(basis)}
+            lost = {passages.ids[x] for x in passages.lost(basis)} if basis.shape[1] else set()
             rest, part = [x for x in own if x[0] in lost], min(2 * MAX_RANK, len(own) // 2)  # ever fewer, so it ends
             waiting += [(items.sparkSession.createDataFrame(x, items.schema), x) for x in (rest[j : j + part] for j in range(0, len(rest), max(part, 1)))]
 
