@@ -6,9 +6,10 @@ white space, and such a run cannot begin before that space. What comes before th
 after it. So these positions are proven boundaries: pieces between them can be encoded alone, by the library, and a
 piece met before is not encoded again.
 
-Texts over `chunk_chars` are encoded in chunks that overlap. Each chunk reports its boundaries as offsets in the
-text; neighbours are spliced at the first boundary that both have. If they have none in common (a span without spaces),
-the overlap is doubled until they do or the text ends.
+Texts over `chunk_chars` are encoded by the library in chunks that overlap, with the offsets of their tokens. Two neighbours are
+spliced at a proven boundary of the overlap at which both have a token's border and from which on, to the next such boundary, both
+give the same ids: what stands before it comes from the left chunk, what stands behind it from the right one. Where the overlap holds
+no such place (a span without spaces), it is doubled and encoded again until it does or the text ends.
 
 Vocabularies of another kind are given whole texts; nothing is proven about them.
 
@@ -43,6 +44,22 @@ _PLAIN = re.compile(f"( ?)([A-Za-z]+)({_MARKS})").fullmatch
 _INSIDE = re.compile(r"(?:\s|\A) ").search
 
 
+class Encoded:
+    """The ids of a span of a text and where, in the text, their tokens begin and end."""
+
+    def __init__(self, tokenizer, text: str, begin: int, end: int):
+        e = tokenizer.encode(text[begin:end], add_special_tokens=False)
+        self.ids = e.ids
+        offsets = np.array(e.offsets, np.int64).reshape(-1, 2) + begin
+        # a post-processor may take white space off the offsets, never more
+        self.start, self.end = offsets[:, 0], np.maximum.accumulate(offsets[:, 1])
+
+    def token_at(self, place: int) -> int | None:
+        """The first token behind a place, if no token reaches over it."""
+        k = int(np.searchsorted(self.end, place, "right"))
+        return k if k == len(self.ids) or self.start[k] >= place else None
+
+
 class PieceEncoder:
     """Encodes texts to a list of values, one per piece; `value` maps the ids of a piece to what is kept."""
 
@@ -62,6 +79,8 @@ class PieceEncoder:
         self.words: dict[str, object] = {}
         self.after_space: dict[str, object] = {}
         self.at_start: dict[str, object] = {}
+        #: How often an overlap was doubled.
+        self.widened = 0
 
     @staticmethod
     def _proven(spec: dict) -> bool:
@@ -160,28 +179,38 @@ class PieceEncoder:
         return out
 
     def long(self, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Iterator[list[object]]:
-        """The values of a huge text, a chunk at a time, spliced at boundaries that both neighbours have."""
-        begin, n = 0, len(text)
-        while begin < n or n == 0:
-            wide = overlap
+        """The values of a huge text, a chunk at a time, spliced where both neighbours agree."""
+        n, overlap = len(text), max(1, min(overlap, chunk - 1))
+        begin, end, used = 0, min(n, chunk + overlap), 0
+        left = Encoded(self.tokenizer, text, begin, end)
+        while end < n:
+            middle, wide = end - overlap, overlap
             while True:
-                end = min(n, begin + chunk + wide)
-                own = self._boundaries(text, begin, end)
-                if end == n and n - begin <= chunk + wide:
-                    splice = n
-                    break
-                other = set(self._boundaries(text, begin + chunk, min(n, begin + 2 * chunk + wide)))
-                common = [b for b in own if b > begin + chunk and b in other]
-                if common:
-                    splice = common[0]
+                stop = min(n, middle + chunk + wide)
+                right = Encoded(self.tokenizer, text, middle, stop)
+                splice = self._splice(left, right, self._boundaries(text, middle, end))
+                if splice:
                     break
+                self.widened += 1
                 wide *= 2
-            part = text[begin:splice]
-            # a later chunk begins with the space that its first piece stands after: its first part is empty
-            yield self.batch([part])[0] if begin == 0 else self.batch(["." + part])[0][1:]
-            begin = splice
-            if n == 0:
-                return
+                end = min(n, middle + wide)
+                left = Encoded(self.tokenizer, text, begin, end)
+                if end == n:
+                    break
+            if not splice:
+                break
+            yield [self.value(left.ids[used : splice[0]])]
+            left, begin, end, used = right, middle, stop, splice[1]
+        yield [self.value(left.ids[used:])]
+
+    @staticmethod
+    def _splice(left: Encoded, right: Encoded, boundaries: list[int]) -> tuple[int, int] | None:
+        """The tokens of both at the first boundary from which they agree up to the next one."""
+        places = [(left.token_at(b), right.token_at(b)) for b in boundaries]
+        for (i, j), (i2, j2) in zip(places, places[1:]):
+            if None not in (i, j, i2, j2) and left.ids[i:i2] == right.ids[j:j2]:
+                return i, j
+        return None
 
     @staticmethod
     def _boundaries(text: str, begin: int, end: int) -> list[int]:

@@ -519,3 +519,19 @@ def test_addresses_are_ordinary(spark):
     keys = docs_of(spark, [(2000 + k, f"secret: {''.join(r.choice('ABCDEF0123456789') for _ in range(30))}", "s") for k in range(200)])
     got = {x.doc_id: x.n_added for x in secret_scan.digest(secret_scan.scan(docs.union(keys))).collect()}
     assert all(got[k] == 0 for k in range(400)) and sum(got[1000 + k] for k in range(10)) >= 9
+
+
+def test_widened_overlap_mends_a_failed_alignment(tokenizer):
+    """A span without spaces over the border of two chunks: no common boundary in the overlap until it is wide enough."""
+    r = random.Random(13)
+    e = token_counts.PieceEncoder(tokenizer[0], list)
+    words = lambda n: " ".join("".join(r.choice("abcdeé") for _ in range(r.randrange(1, 9))) for _ in range(n))
+    for text, widens in [(words(400), False), (words(20) + " " + "".join(r.choice("abcdefgh") for _ in range(700)) + " " + words(60), True), ("x" * 900, True)]:
+        before = e.widened
+        assert [i for part in e.long(text, 200, 60) for v in part for i in v] == e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert (e.widened > before) == widens
+    left, right = (token_counts.Encoded(e.tokenizer, text, *span) for text in ["one two three four five"] for span in [(0, 18), (5, 23)])
+    i, j = e._splice(left, right, [7, 13])
+    assert left.ids[:i] + right.ids[j:] == e.tokenizer.encode("one two three four five", add_special_tokens=False).ids
+    right.ids = [x + 1 for x in right.ids]
+    assert e._splice(left, right, [7, 13]) is None
