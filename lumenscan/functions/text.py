@@ -10,9 +10,10 @@ def pat(pattern: str, ignore_case: bool = False) -> str:
     return ("(?idU)" if ignore_case else "(?dU)") + pattern
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """file_id, path, language, line_no (from 1), line. File filters stand below the explode."""
-    return files.select("file_id", "path", "language", F.posexplode(F.split("code", "\n", -1)).alias("pos", "line")).select("file_id", "path", "language", (F.col("pos") + 1).alias("line_no"), "line")
+def lines(files: DataFrame, *keep: str) -> DataFrame:
+    """file_id, path, language, line_no (from 1), line, and the file's columns that are to be kept. File filters stand below the explode."""
+    own = ("file_id", "path", "language", *keep)
+    return files.select(*own, F.posexplode(F.split("code", "\n", -1)).alias("pos", "line")).select(*own, (F.col("pos") + 1).alias("line_no"), "line")
 
 
 def is_code(line: Column, slashes: bool = False) -> Column:

@@ -60,14 +60,17 @@ TYPE_CONFUSION = Detector("TypeConfusionDetector", 0.88, (
     Rule(r"__dict__\s*\.update\s*\(\s*(?![\{'\"])\w+", "Mass Assignment", "HIGH", "CWE-915", sql=r"__dict__\s*\.update\s*\(\s*\w+"),
     Rule(r"def\s+\w*merge\w*\s*\(", "Prototype Pollution", "HIGH", "CWE-1321", context=(r"for\s+\w+\s*,\s*\w+\s+in\s+\w+\.items\(\)", 2, 12)),
     Rule(r"def\s+__reduce__\s*\(\s*self\s*\)", "Pickle Exploitation Enabler", "MEDIUM", "CWE-502"),
+    Rule(r"if\s+hasattr\s*\(\s*\w+\s*,\s*\w+\s*\)\s*:", "Weak Attribute Guard", "MEDIUM", "CWE-915", context=(r"setattr\s*\(", 2, 12)),
 ))
 REFLECTION = Detector("UnsafeReflectionDetector", 0.90, (
     Rule(r"eval\s*\(\s*\w+\s*,\s*\{[^}]*__builtins__", "Server-Side Template Injection", "CRITICAL", "CWE-1336"),
+    Rule(r"(?:blocked|blacklist|blocklist|deny)\s*=\s*\[.*?\]", "Incomplete Blocklist", "HIGH", "CWE-184", file="__import__|importlib|getattr"),
     Rule(r"__import__\s*\(\s*(?!['\"])\w+", "Unsafe Dynamic Import", "CRITICAL", "CWE-470", sql=r"__import__\s*\(\s*\w+"),
     Rule(r"importlib\.import_module\s*\(\s*(?!['\"])\w+", "Unsafe Dynamic Import", "HIGH", "CWE-470", sql=r"importlib\.import_module\s*\(\s*\w+"),
     Rule(r"getattr\s*\(\s*\w+\s*,\s*(?!['\"])\w+", "Unsafe Reflection", "HIGH", "CWE-470", sql=r"getattr\s*\(\s*\w+\s*,\s*\w+"),
     Rule(r"setattr\s*\(\s*\w+\s*,\s*(?!['\"])\w+", "Attribute Injection", "HIGH", "CWE-915", sql=r"setattr\s*\(\s*\w+\s*,\s*\w+", skip=(_ITEMS, 3, 2)),
-    Rule(r"(?:globals|locals)\(\)\s*\[\s*\w+\s*\]", "Unsafe Reflection", "CRITICAL", "CWE-470"),
+    Rule(r"(?:globals|locals)\s*\(\s*\)\s*\[\s*\w+", "Unsafe Reflection", "CRITICAL", "CWE-470"),
+    Rule(r"(?:builtins|__builtins__)\s*(?:\.__dict__\s*\[|\.)\s*\w+", "Unsafe Reflection", "CRITICAL", "CWE-470"),
 ))
 WEAK_HASH = Detector("WeakHashDetector", 0.93, (
     Rule(r"hashlib\.new\s*\(\s*['\"](?:md5|sha1|sha|md4|md2|ripemd160)['\"]|hashlib\.(?:md5|sha1|sha|md4|md2|ripemd160)\s*\(", "Weak Hash", "HIGH", "CWE-328", skip=(r"(?i)checksum|dedup|file_id|etag|non-crypto|non-security|cache_key|content_hash|blob_id", 5, 2)),
@@ -92,10 +95,13 @@ def detect(files: DataFrame, detector: Detector) -> DataFrame:
     some = files.filter(F.col("code").rlike(pat(detector.file))) if detector.file else files
     # A line that matches makes its file match, so files without any leave before their lines are made.
     some = some.filter(reduce(lambda a, b: a | b, (F.col("code").rlike("(?m)" + pat(r.pattern)) for r in detector.rules)))
-    rows = lines(some)
+    gates = {f"_file{k}": F.col("code").rlike(pat(r.file)) for k, r in enumerate(detector.rules) if r.file}
+    rows = lines(some.withColumns(gates) if gates else some, *gates)
     tests: list[Column] = []
     for k, r in enumerate(detector.rules):
         test = F.col("line").rlike(pat(r.pattern))
+        if r.file:
+            test &= F.col(f"_file{k}")
         if r.context:
             rows = rows.withColumn(f"_context{k}", any_in(F.col("line").rlike(pat(r.context[0])), *r.context[1:]))
             test &= F.col(f"_context{k}")
@@ -126,16 +132,20 @@ def detect_sql(files: str, detector: Detector) -> str:
                 despite = f" AND NOT bool_or({like('line', r.despite)}) {w(*spec[1:])}" if name == "skip" and r.despite else ""
                 extra.append(f"(bool_or({like('line', spec[0])}) {w(*spec[1:])}{despite}) AS {name}{k}")
                 test += f" AND {sign}{name}{k}"
+        if r.file:
+            test += f" AND file{k}"
         cases.append(f"WHEN {test} THEN {k}")
     pick = lambda f: "CASE rule " + " ".join(f"WHEN {k} THEN {q(getattr(r, f))}" for k, r in enumerate(detector.rules)) + " END"
     where = f"WHERE {like('code', detector.file)}" if detector.file else ""
+    kept = "".join(f", file{k}" for k, r in enumerate(detector.rules) if r.file)
+    gates = "".join(f", {like('code', r.file)} AS file{k}" for k, r in enumerate(detector.rules) if r.file)
     safe = f"AND NOT {like('line', detector.safe)}" if detector.safe else ""
     if detector.slashes:
         safe += " AND NOT starts_with(trim(line, ' ' || chr(9) || chr(13) || chr(12)), '//')"
     return f"""SELECT file_id, CAST(line_no AS INTEGER) AS line_number, {q(detector.name)} AS detector_name, {pick("vulnerability_type")} AS vulnerability_type,
     {pick("severity")} AS severity, {pick("cwe_id")} AS cwe_id, CAST({detector.confidence} AS DOUBLE) AS confidence FROM (
     SELECT *, CASE {" ".join(cases)} END AS rule FROM (SELECT *{"".join(", " + e for e in extra)} FROM (
-      SELECT file_id, generate_subscripts(p, 1) AS line_no, unnest(p) AS line FROM (SELECT file_id, string_split(code, chr(10)) AS p FROM ({files}) {where})))
+      SELECT file_id{kept}, generate_subscripts(p, 1) AS line_no, unnest(p) AS line FROM (SELECT file_id, string_split(code, chr(10)) AS p{gates} FROM ({files}) {where})))
     WHERE trim(line, ' ' || chr(9) || chr(13) || chr(12)) <> '' AND NOT starts_with(trim(line, ' ' || chr(9) || chr(13) || chr(12)), '#') {safe}) WHERE rule IS NOT NULL"""
 
 

@@ -22,6 +22,15 @@ def test_rules(spark):
     assert not any(f[:2] == (24, 2) for f in found(spark, D.SECRETS))
 
 
+def test_reflection_and_guards(spark):
+    """Blocklists count only in files that also reflect; spaces and following words in globals(); builtins; guards before setattr."""
+    codes = ["blocked = ['os']\nm = __import__(name)", "blocked = ['os']\nx = 1", "f = globals ( ) [name + '_x']\ng = locals()['y']", "b = __builtins__.__dict__[n]\n# builtins.eval", "if hasattr(o, k):\n    setattr(o, 'a', v)", "if hasattr(o, k):\n    pass"]
+    files = spark.createDataFrame([(k, f"f{k}.py", "python", c) for k, c in enumerate(codes)], "file_id long, path string, language string, code string")
+    got = lambda d: {(r.file_id, r.line_number, r.vulnerability_type) for r in D.detect(files, d).collect()}
+    assert got(D.REFLECTION) == {(0, 1, "Incomplete Blocklist"), (0, 2, "Unsafe Dynamic Import"), (2, 1, "Unsafe Reflection"), (3, 1, "Unsafe Reflection")}
+    assert got(D.TYPE_CONFUSION) == {(4, 1, "Weak Attribute Guard")}
+
+
 def test_toctou_is_strict(spark):
     rows = {(r.file_id, r.line_number, r.check_line) for r in D.toctou(code_files(spark)).collect()}
     assert (10, 2, 1) in rows and not any(r[0] == 11 for r in rows)
