@@ -36,9 +36,12 @@ class Detector:
 
 # The patterns, types, severities and CWE numbers that results must agree on.
 _ITEMS = r"for\s+\w+(?:\s*,\s*\w+)?\s+in\s+\w+\.items\(\)"
+_IV = r"(?:iv|nonce|IV|NONCE)\s*=\s*(?:b?['\"][^'\"]{8,}['\"])"
+_BASE64 = "(?i)base64|b64encode|b64decode|urlsafe_b64|encodebytes"
 DESERIALIZATION = Detector("DeserializationDetector", 0.92, tuple(Rule(rf"\b{p}\s*\(", "Unsafe Deserialization", "CRITICAL", "CWE-502") for p in (r"pickle\.loads?", r"cPickle\.loads?", r"marshal\.loads?", r"shelve\.open", r"yaml\.load", r"yaml\.unsafe_load", r"jsonpickle\.decode", r"dill\.loads?")), safe=r"(?i)yaml\.safe_load|yaml\.CSafeLoader|SafeLoader|defusedxml|ast\.literal_eval")
 CRYPTO = Detector("CryptoMisuseDetector", 0.92, (
-    Rule(r"(?:iv|nonce|IV|NONCE)\s*=\s*(?:b?['\"][^'\"]{8,}['\"])", "Static IV/Nonce", "HIGH", "CWE-329", context=(r"AES|DES|Cipher|MODE_|encrypt", 3, 4)),
+    Rule(_IV, "Static IV/Nonce", "HIGH", "CWE-329", context=("(?i)aes|cipher|encrypt|decrypt|mode_|gcm|cbc|ctr|chacha", 3, 4), skip=(_BASE64, 3, 4), despite=r"(?i)aes\.new|cipher\.new|cipher\.encrypt|fernet|mode_cbc|mode_gcm|mode_ctr|chacha20"),
+    Rule(_IV, "Static IV/Nonce", "HIGH", "CWE-329", context=("(?i)fernet", 3, 4), skip=("", 3, 4), despite=_BASE64),  # counts beside base64 only
     Rule(r"MODE_ECB|modes\.ECB|(?<!\w)ECB\s*\(", "ECB Mode Usage", "HIGH", "CWE-327", sql=r"MODE_ECB|modes\.ECB|(?:^|[^\w])ECB\s*\("),
     Rule(r"(?:Cipher|algorithms)\s*\.\s*(?:DES|DES3|TripleDES|Blowfish|ARC2|ARC4|RC4|XOR|IDEA|CAST5|SEED)\s*[\.(]", "Weak Cipher Algorithm", "HIGH", "CWE-327"),
     Rule(r"(?:AES|DES|Cipher)\.new\s*\(\s*b?['\"][^'\"]{8,}['\"]", "Hardcoded Encryption Key", "CRITICAL", "CWE-321"),

@@ -31,6 +31,13 @@ def test_reflection_and_guards(spark):
     assert got(D.TYPE_CONFUSION) == {(4, 1, "Weak Attribute Guard")}
 
 
+def test_static_ivs_by_their_surroundings(spark):
+    iv = "iv = b'0123456789abcdef'"
+    codes = [iv, iv + "\nc = algorithms.aes(k)", iv + "\n" * 5 + "aes", iv + "\nbase64.b64encode(x)\nencrypt(x)", iv + "\nbase64.b64encode(x)\nc = AES.new(k)", iv + "\nFernet(k)", iv + "\nb64decode(k)\nFernet(k)"]
+    files = spark.createDataFrame([(k, f"f{k}.py", "python", c) for k, c in enumerate(codes)], "file_id long, path string, language string, code string")
+    assert {r.file_id for r in D.detect(files, D.CRYPTO).collect() if r.vulnerability_type == "Static IV/Nonce"} == {1, 4, 6}
+
+
 def test_toctou_is_strict(spark):
     rows = {(r.file_id, r.line_number, r.check_line) for r in D.toctou(code_files(spark)).collect()}
     assert (10, 2, 1) in rows and not any(r[0] == 11 for r in rows)
