@@ -22,6 +22,7 @@ class Rule:
     skip: tuple[str, int, int] | None = None  # must not match there
     despite: str | None = None  # matching in the frame of `skip`, it overrules that
     file: str | None = None  # must match in the file
+    unless: str | None = None  # must not match in the file
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ CRYPTO = Detector("CryptoMisuseDetector", 0.92, (
     Rule(r"(?:generate_private_key|RSA\.generate|DSA\.generate)\s*\(\s*(?:key_size\s*=\s*)?(?:\d{1,3}|1\d{3}|20[0-3]\d|204[0-7])\D", "Weak Key Size", "HIGH", "CWE-326"),
     Rule(r"(?:Crypto|Cryptodome)\.Hash\.(?:MD2|MD4|MD5|SHA)\b", "Weak Hash Algorithm", "HIGH", "CWE-327"),
     Rule(r"hashes\.(?:MD5|SHA1)\s*\(", "Weak Hash Algorithm", "HIGH", "CWE-327"),
-    Rule(r"from\s+Crypto\s+import|import\s+Crypto\.", "Deprecated Crypto Library", "MEDIUM", "CWE-327"),
+    Rule(r"from\s+Crypto\s+import|import\s+Crypto\.", "Deprecated Crypto Library", "MEDIUM", "CWE-327", unless=r"from\s+Cryptodome|import\s+Cryptodome"),
 ))
 MEMORY = Detector("MemorySafetyDetector", 0.88, (
     Rule(r"ctypes\.CDLL\s*\(\s*None\s*\)", "Unsafe C Library Access", "HIGH", "CWE-119"),
@@ -99,12 +100,15 @@ def detect(files: DataFrame, detector: Detector) -> DataFrame:
     # A line that matches makes its file match, so files without any leave before their lines are made.
     some = some.filter(reduce(lambda a, b: a | b, (F.col("code").rlike("(?m)" + pat(r.pattern)) for r in detector.rules)))
     gates = {f"_file{k}": F.col("code").rlike(pat(r.file)) for k, r in enumerate(detector.rules) if r.file}
+    gates |= {f"_unless{k}": F.col("code").rlike(pat(r.unless)) for k, r in enumerate(detector.rules) if r.unless}
     rows = lines(some.withColumns(gates) if gates else some, *gates)
     tests: list[Column] = []
     for k, r in enumerate(detector.rules):
         test = F.col("line").rlike(pat(r.pattern))
         if r.file:
             test &= F.col(f"_file{k}")
+        if r.unless:
+            test &= ~F.col(f"_unless{k}")
         if r.context:
             rows = rows.withColumn(f"_context{k}", any_in(F.col("line").rlike(pat(r.context[0])), *r.context[1:]))
             test &= F.col(f"_context{k}")
@@ -137,11 +141,14 @@ def detect_sql(files: str, detector: Detector) -> str:
                 test += f" AND {sign}{name}{k}"
         if r.file:
             test += f" AND file{k}"
+        if r.unless:
+            test += f" AND NOT unless{k}"
         cases.append(f"WHEN {test} THEN {k}")
     pick = lambda f: "CASE rule " + " ".join(f"WHEN {k} THEN {q(getattr(r, f))}" for k, r in enumerate(detector.rules)) + " END"
     where = f"WHERE {like('code', detector.file)}" if detector.file else ""
-    kept = "".join(f", file{k}" for k, r in enumerate(detector.rules) if r.file)
-    gates = "".join(f", {like('code', r.file)} AS file{k}" for k, r in enumerate(detector.rules) if r.file)
+    tested = [(f"{name}{k}", p) for k, r in enumerate(detector.rules) for name, p in (("file", r.file), ("unless", r.unless)) if p]
+    kept = "".join(f", {name}" for name, _ in tested)
+    gates = "".join(f", {like('code', p)} AS {name}" for name, p in tested)
     safe = f"AND NOT {like('line', detector.safe)}" if detector.safe else ""
     if detector.slashes:
         safe += " AND NOT starts_with(trim(line, ' ' || chr(9) || chr(13) || chr(12)), '//')"

@@ -36,6 +36,8 @@ def test_static_ivs_by_their_surroundings(spark):
     codes = [iv, iv + "\nc = algorithms.aes(k)", iv + "\n" * 5 + "aes", iv + "\nbase64.b64encode(x)\nencrypt(x)", iv + "\nbase64.b64encode(x)\nc = AES.new(k)", iv + "\nFernet(k)", iv + "\nb64decode(k)\nFernet(k)"]
     files = spark.createDataFrame([(k, f"f{k}.py", "python", c) for k, c in enumerate(codes)], "file_id long, path string, language string, code string")
     assert {r.file_id for r in D.detect(files, D.CRYPTO).collect() if r.vulnerability_type == "Static IV/Nonce"} == {1, 4, 6}
+    imports = spark.createDataFrame([(0, "a.py", "python", "import Crypto.Cipher"), (1, "b.py", "python", "import Crypto.Cipher\nfrom Cryptodome import Random")], files.schema)
+    assert {r.file_id for r in D.detect(imports, D.CRYPTO).collect()} == {0}
 
 
 def test_toctou_is_strict(spark):
