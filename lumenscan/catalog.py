@@ -35,7 +35,7 @@ def scan_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _load() -> None:
     """Modules that register queries."""
-    from .plans import analytics, extension, flows, general, reports, sandbox, scanning, scoped, stores, union, web  # noqa: F401
+    from .plans import analytics, extension, flows, general, pulls, reports, sandbox, scanning, scoped, stores, union, web  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
