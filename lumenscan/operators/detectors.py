@@ -33,10 +33,13 @@ class Detector:
     file: str | None = None
     safe: str | None = None  # a line with it is never reported
     slashes: bool = False  # lines that begin with // are comments too
+    seeds: tuple[str, str, float] | None = None  # calls that seed, what makes a seed predictable, and its confidence
 
 
 # The patterns, types, severities and CWE numbers that results must agree on.
 _ITEMS = r"for\s+\w+(?:\s*,\s*\w+)?\s+in\s+\w+\.items\(\)"
+_SEEDS = (r"\brandom\.seed\s*\(", r"time\.|datetime|os\.getpid|int\s*\(|str\s*\(", 0.93)
+SEED_REACH = 3  # a finding so many lines below a predictable seed is reported at the seed
 _IV = r"(?:iv|nonce|IV|NONCE)\s*=\s*(?:b?['\"][^'\"]{8,}['\"])"
 _BASE64 = "(?i)base64|b64encode|b64decode|urlsafe_b64|encodebytes"
 DESERIALIZATION = Detector("DeserializationDetector", 0.92, tuple(Rule(rf"\b{p}\s*\(", "Unsafe Deserialization", "CRITICAL", "CWE-502") for p in (r"pickle\.loads?", r"cPickle\.loads?", r"marshal\.loads?", r"shelve\.open", r"yaml\.load", r"yaml\.unsafe_load", r"jsonpickle\.decode", r"dill\.loads?")), safe=r"(?i)yaml\.safe_load|yaml\.CSafeLoader|SafeLoader|defusedxml|ast\.literal_eval")
@@ -81,7 +84,7 @@ WEAK_HASH = Detector("WeakHashDetector", 0.93, (
 ), slashes=True)
 WEAK_RANDOM = Detector("WeakRandomDetector", 0.92, (
     Rule(r"\brandom\.(?:random|randint|randrange|uniform|choice|choices|sample|shuffle|gauss|normalvariate|lognormvariate|expovariate|vonmisesvariate|gammavariate|betavariate|paretovariate|weibullvariate|triangular|getrandbits|randbytes)\s*\(", "Weak Random", "HIGH", "CWE-330", skip=(r"(?i)shuffle|sample|demo|game|random_order|pick_random", 7, 3), despite=r"(?i)token|password|secret|key|session|auth|nonce|otp|csrf"),
-), safe=r"(?i)secrets\.|SystemRandom\(\)|os\.urandom|random\.SystemRandom", slashes=True)
+), safe=r"(?i)secrets\.|SystemRandom\(\)|os\.urandom|random\.SystemRandom", slashes=True, seeds=_SEEDS)
 SQL_FSTRING = Detector("SQLInjectionDetector", 0.92, (Rule(r"\.(?:execute|executemany)\s*\(\s*f['\"]", "SQL Injection", "CRITICAL", "CWE-89"),), safe=r"\.(?:execute|executemany)\s*\([^,]+,\s*[\(\[]")
 # Own specification: a credential's name with a quoted literal, else a literal with a known prefix.
 SECRETS = Detector("HardcodedSecretsDetector", 0.95, (
@@ -95,14 +98,22 @@ ALL = (SECRETS, WEAK_RANDOM, WEAK_HASH, SQL_FSTRING, DESERIALIZATION, REFLECTION
 
 
 def detect(files: DataFrame, detector: Detector) -> DataFrame:
-    """Findings of one detector: file_id, line_number, detector_name, vulnerability_type, severity, cwe_id, confidence."""
+    """Findings of one detector: file_id, line_number, detector_name, vulnerability_type, severity, cwe_id, confidence.
+
+    With seeds, a line that seeds is judged by its seed alone; below the last predictable one, the first rule's findings stand on the
+    seed's line and are suppressed by its surroundings."""
     some = files.filter(F.col("code").rlike(pat(detector.file))) if detector.file else files
     # A line that matches makes its file match, so files without any leave before their lines are made.
-    some = some.filter(reduce(lambda a, b: a | b, (F.col("code").rlike("(?m)" + pat(r.pattern)) for r in detector.rules)))
+    patterns = [r.pattern for r in detector.rules] + ([detector.seeds[0]] if detector.seeds else [])
+    some = some.filter(reduce(lambda a, b: a | b, (F.col("code").rlike("(?m)" + pat(p)) for p in patterns)))
     gates = {f"_file{k}": F.col("code").rlike(pat(r.file)) for k, r in enumerate(detector.rules) if r.file}
     gates |= {f"_unless{k}": F.col("code").rlike(pat(r.unless)) for k, r in enumerate(detector.rules) if r.unless}
     rows = lines(some.withColumns(gates) if gates else some, *gates)
+    clean = is_code(F.col("line"), detector.slashes)
+    if detector.safe:
+        clean &= ~F.col("line").rlike(pat(detector.safe))
     tests: list[Column] = []
+    seeded = predictable = None
     for k, r in enumerate(detector.rules):
         test = F.col("line").rlike(pat(r.pattern))
         if r.file:
@@ -117,13 +128,22 @@ def detect(files: DataFrame, detector: Detector) -> DataFrame:
             if r.despite:
                 skip &= ~any_in(F.col("line").rlike(pat(r.despite)), *r.skip[1:])
             rows = rows.withColumn(f"_skip{k}", skip)
-            test &= ~F.col(f"_skip{k}")
+            if detector.seeds and not k:
+                seeded = F.col("line").rlike(pat(detector.seeds[0]))
+                predictable = seeded & F.col("line").rlike(pat(detector.seeds[1]))
+                above = F.last(F.when(clean & predictable, F.struct("line_no", F.col("_skip0").alias("skip"))), True).over(Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+                rows = rows.withColumn("_seed", above).withColumn("_seed", F.when(F.col("line_no") - F.col("_seed.line_no") <= SEED_REACH, F.col("_seed")))
+                test &= ~F.coalesce(F.col("_seed.skip"), F.col("_skip0"))
+            else:
+                test &= ~F.col(f"_skip{k}")
         tests.append(test)
-    clean = is_code(F.col("line"), detector.slashes)
-    if detector.safe:
-        clean &= ~F.col("line").rlike(pat(detector.safe))
-    first = F.coalesce(*(F.when(t, F.struct(F.lit(r.vulnerability_type).alias("vulnerability_type"), F.lit(r.severity).alias("severity"), F.lit(r.cwe_id).alias("cwe_id"))) for t, r in zip(tests, detector.rules)))
-    return rows.filter(clean).withColumn("hit", first).filter("hit is not null").select("file_id", F.col("line_no").alias("line_number"), F.lit(detector.name).alias("detector_name"), "hit.*", F.lit(detector.confidence).alias("confidence"))
+    kind = lambda r: F.struct(F.lit(r.vulnerability_type).alias("vulnerability_type"), F.lit(r.severity).alias("severity"), F.lit(r.cwe_id).alias("cwe_id"))
+    hit = F.coalesce(*(F.when(t, kind(r)) for t, r in zip(tests, detector.rules)))
+    at, sure = F.col("line_no"), F.lit(detector.confidence)
+    if detector.seeds:
+        hit = F.when(seeded, F.when(predictable, kind(detector.rules[0]))).otherwise(hit)
+        at, sure = F.coalesce(F.col("_seed.line_no"), at), F.when(seeded, detector.seeds[2]).otherwise(sure)
+    return rows.filter(clean).withColumn("hit", hit).filter("hit is not null").select("file_id", at.alias("line_number"), F.lit(detector.name).alias("detector_name"), "hit.*", sure.alias("confidence"))
 
 
 def detect_sql(files: str, detector: Detector) -> str:
@@ -138,7 +158,8 @@ def detect_sql(files: str, detector: Detector) -> str:
             if spec:
                 despite = f" AND NOT bool_or({like('line', r.despite)}) {w(*spec[1:])}" if name == "skip" and r.despite else ""
                 extra.append(f"(bool_or({like('line', spec[0])}) {w(*spec[1:])}{despite}) AS {name}{k}")
-                test += f" AND {sign}{name}{k}"
+                here = f"(CASE WHEN line_no - seed // 2 <= {SEED_REACH} THEN seed % 2 = 1 ELSE skip0 END)" if detector.seeds and f"{name}{k}" == "skip0" else f"{name}{k}"
+                test += f" AND {sign}{here}"
         if r.file:
             test += f" AND file{k}"
         if r.unless:
@@ -152,11 +173,21 @@ def detect_sql(files: str, detector: Detector) -> str:
     safe = f"AND NOT {like('line', detector.safe)}" if detector.safe else ""
     if detector.slashes:
         safe += " AND NOT starts_with(trim(line, ' ' || chr(9) || chr(13) || chr(12)), '//')"
-    return f"""SELECT file_id, CAST(line_no AS INTEGER) AS line_number, {q(detector.name)} AS detector_name, {pick("vulnerability_type")} AS vulnerability_type,
-    {pick("severity")} AS severity, {pick("cwe_id")} AS cwe_id, CAST({detector.confidence} AS DOUBLE) AS confidence FROM (
-    SELECT *, CASE {" ".join(cases)} END AS rule FROM (SELECT *{"".join(", " + e for e in extra)} FROM (
-      SELECT file_id{kept}, generate_subscripts(p, 1) AS line_no, unnest(p) AS line FROM (SELECT file_id, string_split(code, chr(10)) AS p{gates} FROM ({files}) {where})))
-    WHERE trim(line, ' ' || chr(9) || chr(13) || chr(12)) <> '' AND NOT starts_with(trim(line, ' ' || chr(9) || chr(13) || chr(12)), '#') {safe}) WHERE rule IS NOT NULL"""
+    trimmed = "trim(line, ' ' || chr(9) || chr(13) || chr(12))"
+    clean = f"{trimmed} <> '' AND NOT starts_with({trimmed}, '#') {safe}"
+    framed = f"""SELECT *{"".join(", " + e for e in extra)} FROM (
+      SELECT file_id{kept}, generate_subscripts(p, 1) AS line_no, unnest(p) AS line FROM (SELECT file_id, string_split(code, chr(10)) AS p{gates} FROM ({files}) {where}))"""
+    at, sure = "line_no", str(detector.confidence)
+    if detector.seeds:
+        # the last predictable seed above and, in the lowest bit, whether its surroundings suppress
+        call, derived = (like("line", p) for p in detector.seeds[:2])
+        framed = f"SELECT *, max(CASE WHEN {clean} AND {call} AND {derived} THEN line_no * 2 + CAST(skip0 AS INTEGER) END) {w('UNBOUNDED', 0)} AS seed FROM ({framed})"
+        cases.insert(0, f"WHEN {call} THEN CASE WHEN {derived} THEN 0 END")
+        at, sure = f"CASE WHEN line_no - seed // 2 <= {SEED_REACH} THEN seed // 2 ELSE line_no END", f"CASE WHEN {call} THEN {detector.seeds[2]} ELSE {sure} END"
+    return f"""SELECT file_id, CAST({at} AS INTEGER) AS line_number, {q(detector.name)} AS detector_name, {pick("vulnerability_type")} AS vulnerability_type,
+    {pick("severity")} AS severity, {pick("cwe_id")} AS cwe_id, CAST({sure} AS DOUBLE) AS confidence FROM (
+    SELECT *, CASE {" ".join(cases)} END AS rule FROM ({framed})
+    WHERE {clean}) WHERE rule IS NOT NULL"""
 
 
 def detect_all(files: DataFrame) -> DataFrame:

@@ -115,6 +115,20 @@ def _register_detectors() -> None:
 
 _register_detectors()
 
+_SEED_LINES = ("random.seed(time.time())", "a = random.choice(rows)", "x = 1", "", "random.seed(7); random.random()", "# random.seed(os.getpid())", "random.shuffle(deck)", "random.seed(int(t))", "game = 1", "b = random.randint(1, 6)", "y = 2", "  // random.random()", "session = 1", "c = secrets.choice(random.random())", "z = 3", "w = 4", "random.random(random.seed(str(now)))")
+_SEED_FILES = f"""SELECT l_suppkey AS file_id, string_agg(line, chr(10) ORDER BY l_orderkey, l_linenumber, l_partkey, line) AS code
+FROM (SELECT *, list_extract({list(_SEED_LINES)}, CAST((l_partkey + l_orderkey) % {len(_SEED_LINES)} AS INTEGER) + 1) AS line FROM lineitem) GROUP BY 1"""
+
+
+@query(D.detect_sql(_SEED_FILES, D.WEAK_RANDOM))
+def weak_random_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds, calls below them and words around them, over a file per supplier with a line for each of its line items."""
+    line = F.element_at(F.array(*map(F.lit, _SEED_LINES)), ((F.col("l_partkey") + F.col("l_orderkey")) % len(_SEED_LINES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("file_id")).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", line.alias("line")))).alias("rows"))
+    files = rows.select("file_id", F.lit("a.py").alias("path"), F.lit("python").alias("language"), F.array_join("rows.line", "\n").alias("code"))
+    return D.detect(files, D.WEAK_RANDOM)
+
+
 _ALL_SQL = " UNION ALL ".join(f"SELECT *, {k} AS det_ord FROM ({D.detect_sql(_FILES, d)})" for k, d in enumerate(D.ALL))
 _OWNER_SQL = "CASE lower(vulnerability_type) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in D._OWNERS.items()) + " END"
 _KEY_SQL = "CASE lower(vulnerability_type) WHEN 'attribute injection' THEN 'mass assignment' ELSE lower(vulnerability_type) END"

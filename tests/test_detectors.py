@@ -1,5 +1,6 @@
 """Detectors on the inline corpus, the taint closure against plain sweeps, deduplication against a tournament."""
 
+import random
 import re
 
 from lumenscan.operators import detectors as D
@@ -40,6 +41,31 @@ def test_static_ivs_by_their_surroundings(spark):
     assert {r.file_id for r in D.detect(imports, D.CRYPTO).collect()} == {0}
 
 
+def test_seeds_equal_a_walk(spark):
+    """Random programs: seeds of every kind, calls near and far below, words that suppress or overrule."""
+    rng = random.Random(5)
+    pool = ["random.seed(time.time())", "random.seed(int(x))", "random.seed(7)", "random.seed(str(k)); random.random()", "# random.seed(time.time())", "a = random.random()", "a = random.choice(b)", "x = 1", "", "demo = 1", "token = 1", "secrets.choice(random.random())", "// random.random()"]
+    codes = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 30))) for _ in range(150)]
+    want = []
+    for k, code in enumerate(codes):
+        text, last = code.split("\n"), None
+        for n, line in enumerate(text, 1):
+            if not line.strip() or line.startswith(("#", "//")) or "secrets." in line:
+                continue
+            if "random.seed(" in line:
+                if "time." in line or "int(" in line or "str(" in line:
+                    last = n
+                    want.append((k, n, 0.93))
+            elif "random.random(" in line or "random.choice(" in line:
+                at = last if last is not None and n - last <= 3 else n
+                around = " ".join(text[max(0, at - 8) : at + 3]).lower()
+                if "demo" not in around or "token" in around or "secret" in around:
+                    want.append((k, at, 0.92))
+    files = spark.createDataFrame([(k, f"f{k}.py", "python", c) for k, c in enumerate(codes)], "file_id long, path string, language string, code string")
+    got = sorted((r.file_id, r.line_number, r.confidence) for r in D.detect(files, D.WEAK_RANDOM).collect())
+    assert got == sorted(want) and any(n != m for (_, n, c), (_, m, _) in zip(want, want[1:]) if c == 0.92)
+
+
 def test_toctou_is_strict(spark):
     rows = {(r.file_id, r.line_number, r.check_line) for r in D.toctou(code_files(spark)).collect()}
     assert (10, 2, 1) in rows and not any(r[0] == 11 for r in rows)
