@@ -3,9 +3,13 @@
 A target model (documents chosen by labels) and a background model (all documents) are interpolated bigram models over
 one vocabulary: words hashed to 2^WORD_BITS slots, bigrams to 2^PAIR_BITS slots. Every task counts its words and
 bigrams and sends the slots it has met; these partial counts, which grow with the corpus, are summed by range of slots. The
-finished tables have a fixed size (2 * 2^PAIR_BITS + 4 * 2^WORD_BITS numbers), which is why they may be broadcast; both
+finished tables have a fixed size (2 * 2^PAIR_BITS + 4 * 2^WORD_BITS numbers a fold), which is why they may be broadcast; both
 sizes are parameters of `fit`.
 
+With `folds` of 2 or more, texts are dealt to folds by their hash and each is scored by models that counted the other folds
+only, so no text, nor any copy of it, is scored by a model that has seen it; target documents would else look nearer to the
+target than they are. Every text is still counted. The tables are held once a fold. One fold: scores by counts of all texts.
+
 A token's probability after a word that the model knows is LAMBDAS of its bigram, word and uniform probability; at a
 document's start and after an unknown word (one that no bigram of the model begins with) the bigram's share goes to the
 word's probability, so both models spread the same mass whatever they have seen. A document's score is the mean over its
@@ -16,7 +20,8 @@ each and scores blur; both sizes are parameters, and the README states where the
 
 Defined cases: null and empty texts have no tokens and a null score; texts of any length are read whole; null doc_ids are
 scored; repeated rows are counted as often as they occur and get equal scores; without target documents the target model
-is uniform; an empty table gives no rows; other columns are not touched.
+is uniform; an empty table gives no rows; other columns are not touched. Equal texts are of one fold and get equal scores; where all texts are
+of one fold, the models of the others have seen nothing and are uniform.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bloom
@@ -55,16 +60,20 @@ def _load(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
+    """Tables with a row for each fold: the counts that its texts are scored by."""
+
     def __init__(self, tables: dict[str, np.ndarray], word_bits: int, pair_bits: int):
         self.word_bits, self.pair_bits = word_bits, pair_bits
         self.tables = tables
-        self.sums = {k: float(tables[f"word_{k}"].sum()) for k in ("target", "background")}
+        self.folds = len(tables["word_target"])
+        self.sums = {k: tables[f"word_{k}"].sum(axis=1, dtype=np.float64) for k in ("target", "background")}
 
-    def losses(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def losses(self, column: pa.Array, folds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(tokens, target bits, background bits) per row, for a slice of rows at a time."""
         a, b, c = LAMBDAS
-        for _, data, offsets in slices(column):
+        for start, data, offsets in slices(column):
             w = Words(data, offsets, lower=True)
+            fold = folds[start + w.doc()]
             slot = (w.hash >> np.uint64(64 - self.word_bits)).astype(np.int64)
             pair = (grams(w.hash, 2) >> np.uint64(64 - self.pair_bits)).astype(np.int64)
             inner = np.zeros(len(slot), bool)
@@ -75,39 +84,43 @@ class Model:
             for kind in ("target", "background"):
                 words, pairs, firsts = (self.tables[f"{unit}_{kind}"] for unit in ("word", "pair", "first"))
                 uniform = 1 / (1 << self.word_bits)
-                unit = words[slot] / self.sums[kind] if self.sums[kind] else np.full(len(slot), uniform)
+                sums = self.sums[kind][fold]
+                unit = np.where(sums > 0, words[fold, slot] / np.maximum(sums, 1), uniform)
                 p = (a + b) * unit + c * uniform
-                before = firsts[slot[at - 1]]
+                before = firsts[fold[at], slot[at - 1]]
                 known = before > 0
                 own = at[known]
-                p[own] += a * (np.minimum(1.0, pairs[pair[own - 1]] / before[known]) - unit[own])
+                p[own] += a * (np.minimum(1.0, pairs[fold[own], pair[own - 1]] / before[known]) - unit[own])
                 bits = np.zeros(len(slot) + 1)
                 np.cumsum(-np.log2(p), out=bits[1:])
                 out.append(bits[w.first[1:]] - bits[w.first[:-1]])
             yield tuple(out)
 
 
-def _count(kind: str, word_bits: int, pair_bits: int):
-    """Counts words and bigrams of a task's texts and sends the slots that it has met, in ranges of slots."""
+def _count(kind: str, word_bits: int, pair_bits: int, folds: int):
+    """Counts words and bigrams of a task's texts (fold, text) and sends the slots that it has met, by fold and in ranges of slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {"word": np.zeros(1 << word_bits, np.int64), "pair": np.zeros(1 << pair_bits, np.int64), "first": np.zeros(1 << word_bits, np.int64)}
+        total = {(unit, f): np.zeros(1 << bits, np.int64) for unit, bits in (("word", word_bits), ("pair", pair_bits), ("first", word_bits)) for f in range(folds)}
         for batch in batches:
-            for _, data, offsets in slices(batch.column(0)):
+            of_row = batch.column(0).to_numpy()
+            for start, data, offsets in slices(batch.column(1)):
                 w = Words(data, offsets, lower=True)
                 doc = w.doc()
+                fold = of_row[start + doc]
                 slot = (w.hash >> np.uint64(64 - word_bits)).astype(np.int64)
                 pair = (grams(w.hash, 2) >> np.uint64(64 - pair_bits)).astype(np.int64)
                 inner = doc[1:] == doc[:-1]
-                for unit, some in (("word", slot), ("pair", pair[inner] if len(doc) else pair), ("first", slot[:-1][inner])):
-                    at, n = np.unique(some, return_counts=True)
-                    total[unit][at] += n
+                for unit, some, of in (("word", slot, fold), ("pair", pair[inner] if len(doc) else pair, fold[1:][inner]), ("first", slot[:-1][inner], fold[1:][inner])):
+                    for f in range(folds):
+                        at, n = np.unique(some[of == f] if folds > 1 else some, return_counts=True)
+                        total[unit, f][at] += n
         names, ranges, blobs = [], [], []
-        for unit, counts in total.items():
+        for (unit, f), counts in total.items():
             for k, part in enumerate(np.split(counts, SLICES)):
                 at = np.flatnonzero(part)
                 if len(at):
-                    names.append(f"{unit}_{kind}")
+                    names.append(f"{unit}_{kind}_{f}")
                     ranges.append(k)
                     blobs.append(_dump(at, part[at]))
         part = [TaskContext.get().partitionId()] * len(names)
@@ -116,6 +129,10 @@ def _count(kind: str, word_bits: int, pair_bits: int):
     return run
 
 
+def _fold(folds: int) -> Column:
+    return F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("fold")
+
+
 def target_texts(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """The texts of the target. A Bloom filter of fixed size lets its rows and few others through before the exact join;
     the join is by shuffle whatever the sizes, so that the plan does not change where the ids outgrow a broadcast. From
@@ -133,8 +150,10 @@ def target_texts(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     return some.join(chosen.hint("merge"), some.doc_id == chosen._id, "left_semi").select("text")
 
 
-def fit(docs: DataFrame, target_ids: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS) -> Model:
+def fit(docs: DataFrame, target_ids: DataFrame, word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS, folds: int = 1) -> Model:
     """Counts over all documents; target_ids has the doc_id of each document of the target."""
+    if folds < 1:
+        raise ValueError("folds must be 1 or more")
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         name = frame["name"].iloc[0]
@@ -145,16 +164,19 @@ def fit(docs: DataFrame, target_ids: DataFrame, word_bits: int = WORD_BITS, pair
         at = np.flatnonzero(total)
         return pd.DataFrame({"name": [name], "slice": frame["slice"].iloc[:1].tolist(), "part": [0], "counts": [_dump(at, total[at])]})
 
-    background = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count("background", word_bits, pair_bits), _PART)
-    target = target_texts(docs, target_ids).mapInArrow(_count("target", word_bits, pair_bits), _PART)
+    background = docs.select(F.col("text").cast("string").alias("text")).select(_fold(folds), "text").mapInArrow(_count("background", word_bits, pair_bits, folds), _PART)
+    target = target_texts(docs, target_ids).select(_fold(folds), "text").mapInArrow(_count("target", word_bits, pair_bits, folds), _PART)
     parts = materialize(background.union(target), "lm-parts")
     some = parts.groupBy("name", "slice", F.expr("part div 256")).applyInPandas(lambda key, f: add(f), _PART)
     whole = materialize(some.groupBy("name", "slice").applyInPandas(add, _PART), "lm-model")
-    tables = {n: np.zeros((SLICES, (1 << (pair_bits if n.startswith("pair") else word_bits)) // SLICES), np.float32) for n in _TABLES}
-    for r in whole.collect():  # tables of fixed size
+    tables = {n: np.zeros((folds, SLICES, (1 << (pair_bits if n.startswith("pair") else word_bits)) // SLICES), np.float32) for n in _TABLES}
+    for r in whole.toLocalIterator():  # tables of fixed size, a part at a time
         at, n = _load(bytes(r["counts"]))
-        tables[r["name"]][r["slice"]][at] = n
-    return Model({k: v.reshape(-1) for k, v in tables.items()}, word_bits, pair_bits)
+        name, fold = r["name"].rsplit("_", 1)
+        for f in range(folds):
+            if f != int(fold) or folds == 1:
+                tables[name][f, r["slice"]][at] += n
+    return Model({k: v.reshape(folds, -1) for k, v in tables.items()}, word_bits, pair_bits)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -163,7 +185,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = list(sent.value.losses(batch.column(1)))
+            parts = list(sent.value.losses(batch.column(1), batch.column(2).to_numpy()))
             n, t, b = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(3))
             none = n == 0
             safe = np.maximum(n, 1)
@@ -171,8 +193,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), *columns], names=["doc_id", "n_tokens", "target_bits", "background_bits", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, target_bits double, background_bits double, score double")
+    return rows.select("*", _fold(model.folds)).mapInArrow(run, "doc_id long, n_tokens long, target_bits double, background_bits double, score double")
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    return score(docs, fit(docs, target_ids))
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, folds: int = 1) -> DataFrame:
+    return score(docs, fit(docs, target_ids, folds=folds))

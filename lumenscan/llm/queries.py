@@ -20,9 +20,9 @@ def _tokenizer() -> str:
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: documents labelled of good quality and not toxic."""
+    """Target: documents labelled of good quality and not toxic. Two folds, so that no text is scored by counts of its own."""
     labels = _table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0")
-    return lm_score.cross_entropy_difference(_table(spark, sf_dir, "documents"), labels)
+    return lm_score.cross_entropy_difference(_table(spark, sf_dir, "documents"), labels, folds=2)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,6 +221,49 @@ def test_lm_scores_equal_an_exact_model(spark):
         assert abs(got[i].score - want) < 1e-4, i
 
 
+@pytest.mark.parametrize("folds", [2, 3])
+def test_lm_scores_by_other_folds(spark, folds):
+    """Each text by exact counts of the texts of other folds; copies, null and empty texts, a word of a single text."""
+    r = random.Random(folds)
+    words = [f"w{k}" for k in range(40)]
+    docs = [(k, " ".join(r.choice(words[: 20 if k % 2 else 40]) for _ in range(r.randrange(0, 30))), "s") for k in range(50)] + [(50, None, "s"), (51, "only here", "s"), (None, "w1 w2", "s")]
+    docs += [(60 + k, docs[k][1], "s") for k in range(5)]
+    frame = docs_of(spark, docs)
+    fold = {x.text: x.f for x in frame.selectExpr("text", f"pmod(xxhash64(text), {folds}) f").collect()}
+    assert len(set(fold.values())) == folds
+    target = [i for i, _, _ in docs if i is not None and i % 2]
+    a, b, c = lm_score.LAMBDAS
+    v = 1 << lm_score.WORD_BITS
+
+    def bits(text, ids):
+        uni, pair, first = collections.Counter(), collections.Counter(), collections.Counter()
+        for i, t, _ in docs:
+            if t and fold[t] != fold[text] and (ids is None or i in ids):
+                w = t.split()
+                uni.update(w)
+                pair.update(zip(w, w[1:]))
+                first.update(w[:-1])
+        n, out, w = sum(uni.values()), 0.0, text.split()
+        for x, y in zip([None, *w], w):
+            own = uni[y] / n
+            out -= np.log2(a * (pair[x, y] / first[x] if first[x] else own) + b * own + c / v)
+        return out / len(w)
+
+    got = lm_score.cross_entropy_difference(frame, spark.createDataFrame([(i,) for i in target], "doc_id long"), folds=folds).collect()
+    assert len(got) == len(docs)
+    text_of = {i: t for i, t, _ in docs}
+    for x in got:
+        t = text_of[x.doc_id]
+        if not (t or "").split():
+            assert x.score is None and x.n_tokens == 0
+            continue
+        assert abs(x.target_bits - bits(t, target)) < 1e-4 and abs(x.background_bits - bits(t, None)) < 1e-4, x.doc_id
+    alone = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    row = lm_score.cross_entropy_difference(alone, alone.select("doc_id"), folds=folds).first()
+    assert abs(row.target_bits - lm_score.WORD_BITS) < 1e-6 and row.score == 0
+    assert lm_score.cross_entropy_difference(alone.limit(0), alone.select("doc_id"), folds=folds).count() == 0
+
+
 def test_secrets_without_label(spark):
     """Short, dotted, all-letter and long unlabelled values, and what a base span leaves of a key."""
     r = random.Random(9)
