@@ -7,7 +7,10 @@ lost task leaves nothing behind; the writer's line feed after the last member is
 
 Reading: whole files come through `binaryFile`. A record is checked (version line, headers, length, end mark, digest). After a
 failed check the reader searches for the next version line, or in a compressed file for the next gzip member that
-inflates, goes on there, and logs the skipped bytes as a gap.
+inflates, goes on there, and logs the skipped bytes as a gap. A gap is located in the file; one that lies within inflated members
+names the file's bytes of these members, and where in the first it begins and in the last it ends (inner_start, inner_end).
+Members are inflated one after the other and records handed on at once, so a task holds the file as stored and the records that
+are not yet complete; what a member leaves unfinished is given up when the next one begins with a version line.
 
 Defined cases: null html is empty; null urls are an empty target; null page_ids are kept and never revisit; rows that
 repeat the smallest page_id are responses; line breaks in urls are percent-encoded; empty tables give empty archives.
@@ -16,9 +19,11 @@ repeat the smallest page_id are responses; line breaks in urls are percent-encod
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +39,9 @@ _URN = "urn:page:"
 FILE_BYTES = 32 << 20
 #: Bytes inflated at once: what stands behind a member's end is copied.
 _STEP = 1 << 14
+#: Failures that more bytes could mend.
+_NO_END, _CUT = "headers not ended", "record cut short"
+_MAGIC = re.compile(rb"\x1f\x8b\x08")
 
 
 @dataclass
@@ -47,10 +55,20 @@ class Record:
         return self.block.partition(b"\r\n\r\n")[2] if self.block.startswith(b"HTTP/") else self.block
 
 
+class Gap(NamedTuple):
+    """Bytes of the file that gave no record; the inner places are offsets in the first and last inflated member."""
+
+    start: int
+    end: int
+    reason: str
+    inner_start: int | None = None
+    inner_end: int | None = None
+
+
 @dataclass
 class Salvage:
     records: list[Record] = field(default_factory=list)
-    gaps: list[tuple[int, int, str]] = field(default_factory=list)  # start, end, reason; bytes of the inflated stream, or of the file for members
+    gaps: list[Gap] = field(default_factory=list)
 
 
 def _next_version(data: bytes, at: int) -> int:
@@ -64,7 +82,7 @@ def _record(data: bytes, at: int) -> tuple[Record | None, int, str]:
         return None, at, "no version line"
     head = data.find(b"\r\n\r\n", at)
     if head < 0:
-        return None, at, "headers not ended"
+        return None, at, _NO_END
     headers = {}
     for line in data[at + 10 : head].split(b"\r\n"):
         name, colon, value = line.partition(b":")
@@ -75,6 +93,8 @@ def _record(data: bytes, at: int) -> tuple[Record | None, int, str]:
     if not (length.isascii() and length.isdigit()):
         return None, at, "no length"
     end = head + 4 + int(length)
+    if end + 4 > len(data):
+        return None, at, _CUT
     if data[end : end + 4] != b"\r\n\r\n":
         return None, at, "no end mark"
     record = Record(headers, data[head + 4 : end], at)
@@ -84,60 +104,94 @@ def _record(data: bytes, at: int) -> tuple[Record | None, int, str]:
     return record, end + 4, ""
 
 
-def read_plain(data: bytes) -> Salvage:
-    out, at = Salvage(), 0
+def _parse(data: bytes, whole: bool) -> Iterator[tuple[Record | None, int, int, str]]:
+    """(record, start, end, why not) from the start of data on. If more may follow, it stops at what that could complete."""
+    at = 0
     while at < len(data):
         record, end, why = _record(data, at)
         if record:
-            out.records.append(record)
+            yield record, at, end, ""
             at = end
             continue
         nxt = _next_version(data, at + 1)
+        if not whole and (nxt < 0 or why in (_NO_END, _CUT)):
+            return
         nxt = len(data) if nxt < 0 else nxt
-        if data[at:nxt].strip(b"\r\n"):
-            out.gaps.append((at, nxt, why))
+        yield None, at, nxt, why if data[at:nxt].strip(b"\r\n") else ""
         at = nxt
-    return out
 
 
-def read_archive(raw: bytes) -> Salvage:
-    """Plain or gzip, the latter with any number of members, each holding one record or many."""
-    if not raw.startswith(b"\x1f\x8b"):
-        if _next_version(raw, 0) >= 0 or b"\x1f\x8b\x08" not in raw:
-            return read_plain(raw)
-    out, at, parts = Salvage(), 0, []
-    while at < len(raw):
-        if raw[at] in b"\r\n":
+class _Members:
+    """Records of inflated members that come one after the other."""
+
+    def __init__(self):
+        self.data = b""
+        self.base = 0  # place of data in all that was inflated
+        self.members: list[tuple[int, int, int]] = []  # place in all that was inflated, and the file's bytes
+
+    def add(self, got: bytes, start: int, end: int) -> Iterator[Record | Gap]:
+        if got[:10] in _ANY_VERSION:
+            yield from self.settle(True)
+        self.members.append((self.base + len(self.data), start, end))
+        self.data += got
+        yield from self.settle(False)
+
+    def settle(self, whole: bool) -> Iterator[Record | Gap]:
+        done = 0
+        for record, start, end, why in _parse(self.data, whole):
+            done = end
+            if record:
+                record.start += self.base
+                yield record
+            elif why:
+                first = max(m for m in self.members if m[0] <= self.base + start)
+                last = max(m for m in self.members if m[0] < self.base + end)
+                yield Gap(first[1], last[2], why, self.base + start - first[0], self.base + end - last[0])
+        self.data, self.base = self.data[done:], self.base + done
+        self.members = [m for k, m in enumerate(self.members) if k + 1 == len(self.members) or self.members[k + 1][0] > self.base] if self.data else []
+
+
+def salvage(raw: bytes | memoryview) -> Iterator[Record | Gap]:
+    """Records and gaps of an archive, plain or gzip, the latter with any number of members, each holding one record or many."""
+    view = memoryview(raw)
+    if view[:2] != b"\x1f\x8b" and (not _MAGIC.search(view) or _next_version(bytes(view), 0) >= 0):
+        for record, start, end, why in _parse(bytes(view), True):
+            if record or why:
+                yield record or Gap(start, end, why)
+        return
+    at, members = 0, _Members()
+    while at < len(view):
+        if view[at] in b"\r\n":
             at += 1
             continue
         z = zlib.decompressobj(31)
         got = bytearray()
         try:
-            view = memoryview(raw)[at:]
-            for k in range(0, len(view), _STEP):
+            for k in range(at, len(view), _STEP):
                 got += z.decompress(view[k : k + _STEP])
                 if z.eof:
                     break
             why = "" if z.eof else "member cut short"
-            used = at + min(len(view), k + _STEP) - len(z.unused_data) if z.eof else len(raw)
+            used = min(len(view), k + _STEP) - len(z.unused_data) if z.eof else len(view)
         except zlib.error as e:
-            why, used = f"bad member: {e}", -1
+            why = f"bad member: {e}"
         if why:
             # keep what came out before the damage, then look for the next member that begins well
-            nxt = raw.find(b"\x1f\x8b\x08", at + 1)
-            while nxt >= 0 and not _inflates(raw, nxt):
-                nxt = raw.find(b"\x1f\x8b\x08", nxt + 1)
-            used = len(raw) if nxt < 0 else nxt
-            out.gaps.append((at, used, why))
-        parts.append(bytes(got))
+            used = next((m.start() for m in _MAGIC.finditer(view, at + 1) if _inflates(view, m.start())), len(view))
+            yield Gap(at, used, why)
+        yield from members.add(bytes(got), at, used)
         at = used
-    inner = read_plain(b"".join(parts))
-    out.records = inner.records
-    out.gaps += inner.gaps
+    yield from members.settle(True)
+
+
+def read_archive(raw: bytes) -> Salvage:
+    out = Salvage()
+    for found in salvage(raw):
+        (out.records if isinstance(found, Record) else out.gaps).append(found)
     return out
 
 
-def _inflates(raw: bytes, at: int) -> bool:
+def _inflates(raw: memoryview, at: int) -> bool:
     try:
         return zlib.decompressobj(31).decompress(raw[at : at + 4096], 16)[:5] == b"WARC/"
     except zlib.error:
@@ -192,30 +246,36 @@ def _page(urn: str | None) -> int | None:
     return int(name) if name.lstrip("-").isdigit() else None
 
 
+_FOUND = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, gap_start long, gap_end long, reason string, inner_start long, inner_end long"
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+_NAMES = [x.split()[0] for x in _FOUND.split(", ")]
+
+
+def _row(found: Record | Gap, name: str) -> tuple:
+    if isinstance(found, Gap):
+        return (None, None, None, None, None, name, *found)
+    of, kind, said = found.headers.get, found.headers.get("warc-type"), found.headers.get("warc-payload-digest", "")
+    if kind == "revisit":
+        return (_page(of("warc-record-id")), int(of("x-payload-length", 0)), said.removeprefix("sha256:"), kind, _page(of("warc-refers-to"))) + (None,) * 6
+    return (_page(of("warc-record-id")), len(found.payload), hashlib.sha256(found.payload).hexdigest(), kind) + (None,) * 7
+
+
 def read_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, gaps) of all archives of a folder; records by page, gaps as file, start, end, reason."""
+    """(records, gaps) of all archives of a folder; records by page, gaps as file, start, end, reason, inner_start, inner_end."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                name, found = batch.column(0)[k].as_py(), read_archive(batch.column(1)[k].as_py())
-                rows = []
-                for r in found.records:
-                    kind, said = r.headers.get("warc-type"), r.headers.get("warc-payload-digest", "")
-                    if kind == "revisit":
-                        rows.append((_page(r.headers.get("warc-record-id")), int(r.headers.get("x-payload-length", 0)), said.removeprefix("sha256:"), kind, _page(r.headers.get("warc-refers-to")), None, None, None, None))
-                    else:
-                        rows.append((_page(r.headers.get("warc-record-id")), len(r.payload), hashlib.sha256(r.payload).hexdigest(), kind, None, None, None, None, None))
-                rows += [(None, None, None, None, None, name, a, b, why) for a, b, why in found.gaps]
-                columns = list(zip(*rows)) if rows else [()] * 9
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "gap_start", "gap_end", "reason"])
-
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, gap_start long, gap_end long, reason string"
-    rows = materialize(files.mapInArrow(run, schema), "archive-rows")
+                name = batch.column(0)[k].as_py()
+                # a record's text goes when its row is made
+                rows = [_row(found, name) for found in salvage(memoryview(batch.column(1)[k].as_buffer()))]
+                columns = list(zip(*rows)) if rows else [()] * len(_KINDS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS)], names=_NAMES)
+
+    rows = materialize(files.mapInArrow(run, _FOUND), "archive-rows")
     records = rows.filter("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    return records, rows.filter("reason is not null").select("file", "gap_start", "gap_end", "reason")
+    return records, rows.filter("reason is not null").select("file", "gap_start", "gap_end", "reason", "inner_start", "inner_end")
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:

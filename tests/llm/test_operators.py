@@ -221,6 +221,43 @@ def test_lm_scores_equal_an_exact_model(spark):
         assert abs(got[i].score - want) < 1e-4, i
 
 
+def test_gaps_are_located():
+    """Damage in plain files, in members and within members is found where it is; records over several members are read."""
+    import gzip
+
+    def record(k, text):
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}>\r\nContent-Length: {len(text)}\r\n\r\n{text}\r\n\r\n".encode()
+
+    whole = [record(k, "text " * (k + 1)) for k in range(6)]
+    names = lambda got: [r.headers["warc-record-id"][10:-1] for r in got.records]
+    bad = whole[2].replace(b"Content-Length: 15", b"Content-Length: 99")
+    at = len(whole[0]) + len(whole[1])
+    got = warc.read_archive(b"".join([*whole[:2], bad, *whole[3:]]))
+    assert names(got) == list("01345") and [tuple(g[:2]) for g in got.gaps] == [(at, at + len(bad))] and got.gaps[0].inner_start is None
+    # two records a member, the second of the middle one is damaged
+    members = [gzip.compress(b"".join(x)) for x in (whole[:2], [whole[3], bad], whole[4:])]
+    got = warc.read_archive(b"".join(members))
+    assert names(got) == list("01345")
+    (gap,) = got.gaps
+    assert (gap.start, gap.end, gap.inner_start, gap.inner_end) == (len(members[0]), len(members[0]) + len(members[1]), len(whole[3]), len(whole[3]) + len(bad))
+    # a record over three members, between others
+    long = record(9, "x" * 90000)
+    parts = [gzip.compress(x) for x in (whole[0], long[:30], long[30:50000], long[50000:] + whole[1])]
+    assert names(warc.read_archive(b"".join(parts))) == list("091") and not warc.read_archive(b"".join(parts)).gaps
+    # its last part is lost: what is left of it is one gap over the members that held it, beside that of the member
+    lost = bytearray(b"".join([*parts[:3], gzip.compress(whole[5])]))
+    got = warc.read_archive(bytes(lost))
+    assert names(got) == list("05")
+    (gap,) = got.gaps
+    assert (gap.start, gap.end) == (len(parts[0]), sum(map(len, parts[:3]))) and (gap.inner_start, gap.inner_end) == (0, 49970)
+    # a member damaged at its head
+    hurt = bytearray(b"".join(members))
+    hurt[len(members[0]) + 12 : len(members[0]) + 30] = b"\xff" * 18
+    got = warc.read_archive(bytes(hurt))
+    assert names(got)[:2] == list("01") and names(got)[-2:] == list("45") and (got.gaps[0].start, got.gaps[0].end) == (len(members[0]), len(members[0]) + len(members[1]))
+    assert warc.read_archive(b"") == warc.Salvage() and warc.read_archive(b"\n\r\n") == warc.Salvage()
+
+
 @pytest.mark.parametrize("folds", [2, 3])
 def test_lm_scores_by_other_folds(spark, folds):
     """Each text by exact counts of the texts of other folds; copies, null and empty texts, a word of a single text."""
