@@ -92,7 +92,7 @@ def _pack_shard(capacity: int):
 def _packed(rows: DataFrame, n_docs: int, capacity: int, shard_docs: int) -> DataFrame:
     """Packs rows of doc_id, source, cluster and size."""
     shards = max(1, -(-n_docs // shard_docs))
-    # a hot doc_id is spread by its sizes and clusters
+    # null doc_ids are spread by their sizes and clusters; rows that repeat a doc_id stay in one shard
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.hash("cluster", "size"))), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(_pack_shard(capacity), RESULT)
 
