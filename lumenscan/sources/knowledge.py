@@ -8,9 +8,10 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..operators.vectors import nearest
 from .warehouse import scratch
 
 SIZE, OVERLAP, DIMENSIONS, TOP = 1000, 200, 768, 4
+SLICE = 512
 SEPARATORS = ("\n\n", "\n", " ", "")
 CHUNKS = "source string, doc_id long, chunk_no int, chunk string, embedding array<float>"
 
@@ -70,16 +72,27 @@ def embed(text: str) -> np.ndarray:
     return np.bincount(at or [0], minlength=DIMENSIONS).astype(np.float32)
 
 
-def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks with their vectors of docs with doc_id, source and text; null and empty texts have none. A narrow pass."""
+def _vectors(texts: list[str]) -> pa.Array:
+    """Their vectors, in one flat array."""
+    flat = np.concatenate([embed(t) for t in texts])
+    return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * DIMENSIONS, flat)
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(s, i, k, c, embed(c)) for s, i, t in zip(frame["source"], frame["doc_id"], frame["text"]) for k, c in enumerate(split(t or "", size, overlap))]
-            out = pd.DataFrame(rows, columns=["source", "doc_id", "chunk_no", "chunk", "embedding"])
-            yield out.astype({"doc_id": "Int64", "chunk_no": "Int32"})
+def sliced(batches: Iterator[pa.RecordBatch], size: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of source, doc_id and text, SLICE at a time, as vectors take more room than their texts."""
+    names = [c.split()[0] for c in CHUNKS.split(", ")]
+    for batch in batches:
+        source, doc_id, texts = (batch.column(k) for k in range(3))
+        cut = ((row, k, c) for row in range(batch.num_rows) for k, c in enumerate(split(texts[row].as_py() or "", size, overlap)))
+        while some := list(islice(cut, SLICE)):
+            rows, places, held = zip(*some)
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([source.take(at), doc_id.take(at), pa.array(places, pa.int32()), pa.array(held, pa.string()), _vectors(held)], names=names)
 
-    return docs.select("source", "doc_id", "text").mapInPandas(run, CHUNKS)
+
+def chunks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Chunks with their vectors of docs with doc_id, source and text; null and empty texts have none. A narrow pass."""
+    return docs.select("source", F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: sliced(batches, size, overlap), CHUNKS)
 
 
 def _newest(spark: SparkSession, path: str) -> int:
@@ -124,11 +137,13 @@ def retrieve(questions: DataFrame, path: str, top: int = TOP) -> DataFrame:
     held.withColumn("vec_id", F.monotonically_increasing_id()).write.parquet(folder)
     stored = spark.read.parquet(folder)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"vec_id": frame["vec_id"], "embedding": [embed(t or "") for t in frame["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
+                yield pa.RecordBatch.from_arrays([part.column(0), _vectors([t or "" for t in part.column(1).to_pylist()])], names=["vec_id", "embedding"])
 
-    asked = questions.select((-F.col("q_id") - 1).alias("vec_id"), "text").mapInPandas(run, "vec_id long, embedding array<float>")
+    asked = questions.select((-F.col("q_id") - 1).cast("long").alias("vec_id"), "text").mapInArrow(run, "vec_id long, embedding array<float>")
     found = nearest(stored.select("vec_id", "embedding"), asked, top).join(stored.select("vec_id", "source", "chunk"), "vec_id")
     best = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "vec_id", "source", "chunk")))
     rows = found.groupBy((-F.col("q_id") - 1).alias("q_id")).agg(best.alias("b"))

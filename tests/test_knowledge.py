@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from lumenscan.sources import knowledge as K
 from lumenscan.sources import warehouse as W
@@ -70,3 +71,14 @@ def test_store_and_answers(spark):
         assert len(told) == 4 and got[q].sources == sorted({x.removeprefix("Source: ").split("\n")[0] for x in told})
         found = [-round(float(unit(K.embed(t or "").astype(float)) @ unit(K.embed(x.split("\nContent: ")[1]).astype(float))), 6) for x in told]
         assert np.allclose(found, likeness, atol=2e-6)
+
+
+def test_chunks_leave_in_slices():
+    """A batch of texts makes more vectors than fit at once."""
+    texts = ["word " * 90000, None, "a b", ""] * 2
+    batch = pa.RecordBatch.from_pydict({"source": ["s", "s", None, "t"] * 2, "doc_id": [*range(8)], "text": texts})
+    parts = list(K.sliced(iter([batch]), K.SIZE, K.OVERLAP))
+    assert [p.num_rows for p in parts] == [K.SLICE] * (len(parts) - 1) + [parts[-1].num_rows] and len(parts) > 1
+    rows = [r for p in parts for r in p.to_pylist()]
+    want = [(batch.column("source")[i].as_py(), i, k, c, K.embed(c).tolist()) for i, t in enumerate(texts) for k, c in enumerate(K.split(t or ""))]
+    assert [tuple(r.values()) for r in rows] == want
