@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import grown
+
 # The rewrites that results must agree on. That of NAMED_HASH closes a call which the line closes again.
 SECRET = r"^(\s*)([\w.]+)\s*=\s*[\"'](.+?)[\"'](.*)$"
 SECRET_ENTRY = r"^(\s*)[\"'](\w+)[\"']\s*:\s*[\"'](.+?)[\"'](.*)$"
@@ -133,13 +135,13 @@ def apply_fixes(files: DataFrame, findings: DataFrame) -> tuple[DataFrame, DataF
     fix that applies. fixed: file_id, code. Files stay one row: fixes are joined by file and laid over its lines, so a fix of
     several lines moves no other. Files without fixes keep their code; null code stays null."""
     lined = files.select("file_id", F.split("code", "\n", -1).alias("all"))
-    at = findings.select("file_id", "line_number", "vulnerability_type", "det_ord").join(lined, "file_id")
+    at = findings.select("file_id", "line_number", "vulnerability_type", "det_ord").join(grown(lined), "file_id")
     line = F.try_element_at("all", F.col("line_number"))
     tried = at.select("file_id", "line_number", "vulnerability_type", "det_ord", line.alias("original_line")).withColumn("fixed_line", fix(F.col("vulnerability_type"), F.col("original_line"))).filter("fixed_line is not null")
     first = Window.partitionBy("file_id", "line_number").orderBy("det_ord", "vulnerability_type", "fixed_line")
     diffs = tried.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank", "det_ord")
     laid = diffs.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("line_number", "fixed_line"))).alias("fixes"))
-    rows = lined.join(laid, "file_id", "left")
+    rows = lined.join(grown(laid), "file_id", "left")
     code = F.array_join(F.transform("all", lambda x, i: F.coalesce(F.try_element_at("fixes", i + 1), x)), "\n")
     return rows.select("file_id", code.alias("code")), diffs
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import grown
 from ..sources.warehouse import scratch
 from . import remediate as R
 from . import taint as T
@@ -34,7 +35,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 
 def path_results(files: DataFrame) -> DataFrame:
     """Attack paths with their status and its reason; result_id is their order in the file: by source, then sink, then path."""
-    paths = T.attack_paths(T.facts(files)).join(files.select("file_id", "code"), "file_id")
+    paths = T.attack_paths(T.facts(files)).join(grown(files.select("file_id", "code")), "file_id")
     reach = T.reach_status(F.col("vulnerability_type"), F.col("code"), F.col("source_line"), F.col("sink_line"))
     order = Window.partitionBy("file_id").orderBy("source_line", "source_name", "sink_line", "sink_name", "path_id")
     rows = paths.withColumn("r", reach).drop("code").withColumn("result_id", F.row_number().over(order).cast("long"))
@@ -59,7 +60,7 @@ def _over(findings: DataFrame, by_id: DataFrame) -> DataFrame:
     """Findings with what by_id (file_id, finding_id, REACHED, kind: struct of the types to set or null) has for them."""
     new = by_id.select("file_id", "finding_id", *(F.col(c).alias(f"new_{c}") for c in _LAID), "kind")
     typed = ("vulnerability_type", "severity", "cwe_id")
-    joined = findings.join(new, ["file_id", "finding_id"], "left")
+    joined = findings.join(grown(new), ["file_id", "finding_id"], "left")
     return joined.select(*(F.coalesce(f"new_{c}", c).alias(c) if c in _LAID else F.coalesce(F.col("kind")[c], F.col(c)).alias(c) if c in typed else F.col(c) for c in findings.columns))
 
 
@@ -81,7 +82,7 @@ def lay_exclusive(findings: DataFrame, results: DataFrame) -> DataFrame:
     lines = F.transform("transforms", lambda t: t["line"])
     asked = results.select("file_id", "result_id", "sink_line", F.col("vulnerability_type").alias("type"), lines.alias("lines"), "source_line")
     taken = T.enrich(findings.select("file_id", "finding_id", F.col("line_number").alias("line"), F.col("vulnerability_type").alias("type")), asked)
-    chosen = results.join(taken, ["file_id", "result_id"])
+    chosen = results.join(grown(taken), ["file_id", "result_id"])
     plain = _plain(findings)
     laid = _over(plain, chosen.filter("finding_id is not null").withColumn("kind", _kind()))
     return laid.unionByName(_alone(chosen.filter("finding_id is null").drop("finding_id"), plain))
@@ -102,8 +103,8 @@ def lay_last(findings: DataFrame, results: DataFrame) -> DataFrame:
     makes one, and later results of that line are laid over it."""
     plain, lines = _plain(findings), _by_line(results)
     first = findings.groupBy("file_id", "line_number").agg(F.min("finding_id").alias("finding_id"))
-    laid = _over(plain, _last_on(lines.join(first, ["file_id", "line_number"])))
-    made = lines.join(first, ["file_id", "line_number"], "left_anti")
+    laid = _over(plain, _last_on(lines.join(grown(first), ["file_id", "line_number"])))
+    made = lines.join(grown(first), ["file_id", "line_number"], "left_anti")
     rows = _alone(made.select("first.*"), plain)
     return laid.unionByName(_over(rows, _last_on(made.select("file_id", (F.col("first.result_id") + F.lit(1 << 40)).alias("finding_id"), "last", "kind"))))
 
@@ -111,7 +112,7 @@ def lay_last(findings: DataFrame, results: DataFrame) -> DataFrame:
 def lay_missing(findings: DataFrame, results: DataFrame) -> DataFrame:
     """Findings, with one of a path for each line that has none: the first result, which bars later ones."""
     plain = _plain(findings)
-    made = _by_line(results).join(findings.select("file_id", "line_number").distinct(), ["file_id", "line_number"], "left_anti")
+    made = _by_line(results).join(grown(findings.select("file_id", "line_number").distinct()), ["file_id", "line_number"], "left_anti")
     return plain.unionByName(_alone(made.select("first.*"), plain))
 
 
@@ -163,23 +164,23 @@ def fixes(files: DataFrame, results: DataFrame, findings: DataFrame) -> tuple[Da
     the code as it was: a fix of several lines moves no other."""
     lined = files.select("file_id", F.split("code", "\n", -1).alias("all"))
     line = F.try_element_at("all", F.col("line_number"))
-    tried = targets(results).join(lined, "file_id").withColumn("original_line", line).filter("original_line is not null")
+    tried = targets(results).join(grown(lined), "file_id").withColumn("original_line", line).filter("original_line is not null")
     tried = tried.withColumn("fixed_line", fix_from_path(F.col("vulnerability_type"), F.col("original_line"), F.col("source_name"), F.col("line_number") == F.col("sink_line")))
     first = F.min(F.when(F.col("fixed_line").isNotNull(), F.col("place"))).over(Window.partitionBy("file_id", "line_number"))
     kept = tried.withColumn("chosen", first).filter("chosen is null or place <= chosen")
     one = ["file_id", "line_number", "vulnerability_type", "original_line"]
     of_paths = kept.select(*one, F.coalesce("fixed_line", "original_line").alias("fixed_line"), F.col("fixed_line").isNotNull().alias("is_functional"), F.when(F.col("fixed_line").isNull(), R.by_hand(F.col("vulnerability_type"), F.col("original_line"))).alias("advice"))
     done = of_paths.filter("is_functional").select("file_id", "line_number")
-    asked = findings.select("file_id", "line_number", "vulnerability_type", "finding_id").join(lined, "file_id").withColumn("own", line).filter("own is not null").join(done, ["file_id", "line_number"], "left_anti")
+    asked = findings.select("file_id", "line_number", "vulnerability_type", "finding_id").join(grown(lined), "file_id").withColumn("own", line).filter("own is not null").join(grown(done), ["file_id", "line_number"], "left_anti")
     below = (F.col("vulnerability_type") == "Weak Random") & F.contains("own", F.lit("random.seed("))
     asked = asked.withColumn("asked_line", F.col("line_number")).withColumn("line_number", F.when(below, F.col("line_number") + 1).otherwise(F.col("line_number"))).withColumn("original_line", line)
-    asked = asked.join(done, ["file_id", "line_number"], "left_anti").withColumn("fixed_line", R.fix(F.col("vulnerability_type"), F.col("original_line"))).filter("fixed_line is not null")
+    asked = asked.join(grown(done), ["file_id", "line_number"], "left_anti").withColumn("fixed_line", R.fix(F.col("vulnerability_type"), F.col("original_line"))).filter("fixed_line is not null")
     best = Window.partitionBy("file_id", "line_number").orderBy(F.desc("asked_line"), "finding_id")
     of_findings = asked.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(*one, "fixed_line", F.lit(True).alias("is_functional"), F.lit(None).cast("string").alias("advice"))
     diffs = of_paths.unionByName(of_findings)
     laid = diffs.filter("is_functional").groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("line_number", "fixed_line"))).alias("fixes"))
     code = F.array_join(F.transform("all", lambda x, i: F.coalesce(F.try_element_at("fixes", i + 1), x)), "\n")
-    return lined.join(laid, "file_id").select("file_id", code.alias("code")), diffs
+    return lined.join(grown(laid), "file_id").select("file_id", code.alias("code")), diffs
 
 
 def detected(files: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
@@ -199,8 +200,8 @@ def run(files: DataFrame, without: tuple[str, ...] = ()) -> tuple[DataFrame, Dat
     before = _written(of(lay_last(of(_plain(found)).drop(*_LAID), results)), "sandbox-before")
     code, diffs = fixes(files, results, before)
     diffs, fixed = _written(diffs, "sandbox-diffs"), _written(code, "sandbox-fixed")
-    changed = files.drop("code").join(fixed, "file_id")
-    again = found.join(fixed.select("file_id"), "file_id", "left_anti").unionByName(detected(changed, without))
-    reached = results.join(fixed.select("file_id"), "file_id", "left_anti").unionByName(path_results(changed))
+    changed = files.drop("code").join(grown(fixed), "file_id")
+    again = found.join(grown(fixed.select("file_id")), "file_id", "left_anti").unionByName(detected(changed, without))
+    reached = results.join(grown(fixed.select("file_id")), "file_id", "left_anti").unionByName(path_results(changed))
     after = of(lay_missing(of(_plain(again)).drop(*_LAID), reached))
     return before, diffs, after

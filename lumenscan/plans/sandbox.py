@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query, table
+from ..functions.text import grown
 from ..operators import sandbox as B
 from ..operators import taint as T
 from .flows import all_files
@@ -120,7 +121,7 @@ def sandbox_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = B._written(rows.select(F.col("o_orderkey").alias("file_id"), F.lit("f.py").alias("path"), F.lit("python").alias("language"), F.col("made").alias("code")), "sandbox-files")
     before, diffs, after = B.run(files)
     counts = diffs.groupBy("file_id").agg(F.count_if("is_functional").alias("n_fixed"), F.count_if(~F.col("is_functional")).alias("n_rejected"))
-    out = files.select("file_id").join(_told(before, "before"), "file_id", "left").join(counts, "file_id", "left").join(_told(after, "after"), "file_id", "left")
+    out = files.select("file_id").join(grown(_told(before, "before")), "file_id", "left").join(grown(counts), "file_id", "left").join(grown(_told(after, "after")), "file_id", "left")
     return out.select("file_id", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("n_fixed", F.lit(0)).alias("n_fixed"), F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"), F.coalesce("after", F.lit("")).alias("after"))
 
 
@@ -130,7 +131,7 @@ def sandbox_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     syntax trees decide; `sandbox_of_orders` has it."""
     before, _, after = B.run(all_files(spark, sf_dir))
     side = lambda rows, name: rows.select("file_id", "line_number", "vulnerability_type", "severity", F.coalesce("sink_api", F.lit("")).alias("sink_api")).distinct().withColumn(name, F.lit(True))
-    both = side(before, "was").join(side(after, "stays"), ["file_id", "line_number", "vulnerability_type", "severity", "sink_api"], "full")
+    both = side(before, "was").join(grown(side(after, "stays")), ["file_id", "line_number", "vulnerability_type", "severity", "sink_api"], "full")
     return both.select("file_id", "line_number", "vulnerability_type", "severity", "sink_api", F.when(F.col("stays").isNull(), "eliminated").when(F.col("was").isNull(), "introduced").otherwise("remaining").alias("status"))
 
 

@@ -65,3 +65,13 @@ def test_dedup_by_owner_and_status(spark):
     df = spark.createDataFrame(rows, schema)
     assert {(r.file_id, r.finding_id) for r in sandbox.dedup(df).collect()} == {(1, 2), (1, 3), (2, 3)}
     assert {(r.file_id, r.finding_id) for r in sandbox.dedup(df, owners=False).collect()} == {(1, 1), (1, 3), (2, 3)}
+
+
+def test_growing_sides_are_not_broadcast(spark):
+    """Scratch files of repeated texts are small on disk, whatever their rows."""
+    files = spark.createDataFrame([(1, "a.py", "python", "u = input()\nos.system(u)")], FILES)
+    found = spark.createDataFrame([(1, 1, 2, "Command Injection", "HIGH", "", "D", 0.5, 1)], FOUND + ", severity string, cwe_id string, detector_name string, confidence double, det_ord int")
+    results = sandbox.path_results(files)
+    for rows in (results, *sandbox.fixes(files, results, found), sandbox.lay_last(found, results), sandbox.lay_missing(found, results), sandbox.lay_exclusive(found, results)):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() > 0
