@@ -271,6 +271,14 @@ def _step(st: Column, o: Column, taken: Column) -> Column:
     return F.when((o["n"] == st["skip"]) & (kind != "begin"), st).otherwise(after)
 
 
+def _swept(facts: Column, state: Column, taken: Column) -> Column:
+    """The state after SWEEPS folds. A fold that changes nothing would change nothing again, so it is the last."""
+    same = lambda a, b: reduce(lambda x, y: x & y, (a[c] == b[c] for c in ("vars", "put", "tracked", "skip", "depth"))) & (F.map_entries(a["lists"]) == F.map_entries(b["lists"]))
+    once = lambda st: F.aggregate(facts, st, lambda s, o: _step(s, o, taken))
+    sweep = lambda a, _: F.when(a["done"], a).otherwise(let(once(a["state"]), lambda s: F.struct(s.alias("state"), same(s, a["state"]).alias("done"))))
+    return F.aggregate(F.array_repeat(F.lit(0), SWEEPS), F.struct(state.alias("state"), F.lit(False).alias("done")), sweep)["state"]
+
+
 def tainted(files: DataFrame) -> DataFrame:
     """Adds `lines` and `vars`, what is tainted at the end. No filter stands on these columns: Spark would push it below
     them, and with it all they are made of."""
@@ -280,8 +288,7 @@ def tainted(files: DataFrame) -> DataFrame:
     out = out.withColumn("program", program(F.col("lines"), F.col("taken"), F.col("active"), F.col("known"), F.col("empty")))
     empty = F.from_json(F.lit('{"vars": [], "put": [], "tracked": [], "lists": {}, "skip": 0, "depth": 0}'), _START)
     out = out.withColumn("state", F.struct(F.col("taken").alias("vars"), *(empty[c].alias(c) for c in ("put", "tracked", "lists", "skip", "depth"))))
-    sweeps = F.flatten(F.array_repeat(F.col("program"), SWEEPS))
-    out = out.withColumn("state", F.aggregate(sweeps, F.col("state"), lambda st, o: _step(st, o, F.col("taken"))))
+    out = out.withColumn("state", _swept(F.col("program"), F.col("state"), F.col("taken")))
     return out.withColumn("vars", F.col("state.vars")).drop("taken", "known", "empty", "heads", "active", "program", "state")
 
 

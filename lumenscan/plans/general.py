@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query, table
 from ..functions.conditions import static_truth
+from ..functions.text import dealt
 from ..operators.general_flow import general_flow
 from .flows import all_files
 from .scanning import _q
@@ -79,7 +80,7 @@ def _due(column: int) -> str:
 @query(f"""SELECT o_orderkey AS file_id, CAST({_due(2)} AS INTEGER) AS line_number, {_due(3)} AS category FROM (SELECT o_orderkey, {_FIELDS} FROM orders) WHERE {_due(1)}""")
 def flow_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """General flow over a file made from each order."""
-    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", *(x.strip() for x in _FIELDS.split(", ")))
+    rows = dealt(table(spark, sf_dir, "orders").selectExpr("o_orderkey", *(x.strip() for x in _FIELDS.split(", "))), "o_orderkey")
     made = _made(rows, F.col("o_orderkey") % len(FILES), [f[0] for f in FILES], "a", "b", "e")
     files = made.select(F.col("o_orderkey").alias("file_id"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.col("made").alias("code"))
     return general_flow(files).select("file_id", "line_number", "category")

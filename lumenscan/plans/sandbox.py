@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query, table
-from ..functions.text import grown
+from ..functions.text import dealt, grown
 from ..operators import sandbox as B
 from ..operators import taint as T
 from .flows import all_files
@@ -117,7 +117,7 @@ def _told(rows: DataFrame, name: str) -> DataFrame:
 @query(f"SELECT o_orderkey AS file_id, {_of(1)} AS before, CAST({_of(2)} AS BIGINT) AS n_fixed, CAST({_of(3)} AS BIGINT) AS n_rejected, {_of(4)} AS after FROM orders")
 def sandbox_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five phases over a file made from each order: findings before, fixes, findings after."""
-    rows = _made(table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey % 90 AS a"), F.col("o_orderkey") % len(FILES), [f[0] for f in FILES], "a")
+    rows = _made(dealt(table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey % 90 AS a"), "o_orderkey"), F.col("o_orderkey") % len(FILES), [f[0] for f in FILES], "a")
     files = B._written(rows.select(F.col("o_orderkey").alias("file_id"), F.lit("f.py").alias("path"), F.lit("python").alias("language"), F.col("made").alias("code")), "sandbox-files")
     before, diffs, after = B.run(files)
     counts = diffs.groupBy("file_id").agg(F.count_if("is_functional").alias("n_fixed"), F.count_if(~F.col("is_functional")).alias("n_rejected"))

@@ -177,3 +177,12 @@ def test_random_files(spark):
         got.setdefault(x.file_id, set()).add((x.line_number, x.category))
     want = {k: w for k, _, language, code in files if language == "python" and (w := Walk(code or "").findings())}
     assert got == want
+
+
+def test_rows_are_dealt_by_number(spark):
+    """A table of few bytes is one partition; its files take long all the same."""
+    from lumenscan.functions import text
+
+    rows = spark.range(30).coalesce(1).withColumnRenamed("id", "o_orderkey")
+    got = text.dealt(rows, "o_orderkey")
+    assert got.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and sorted(r.o_orderkey for r in got.collect()) == [*range(30)]
