@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.vectors import nearest
-from .warehouse import scratch
+from .warehouse import scratch, written
 
 SIZE, OVERLAP, DIMENSIONS, TOP = 1000, 200, 768, 4
 SLICE = 512
@@ -118,9 +118,11 @@ def remove(spark: SparkSession, path: str, *sources: str) -> None:
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of each source's newest version; a source without chunks has one row with a null chunk."""
+    """The rows of each source's newest version; a source without chunks has one row with a null chunk.
+
+    The versions are written, so that their size is known before the join: where sources are few, vectors are not dealt by source."""
     rows = spark.read.parquet(path)
-    newest = rows.groupBy("source").agg(F.max("version").alias("version"))
+    newest = written(rows.groupBy("source").agg(F.max("version").alias("version")), "kb-newest")
     return rows.join(newest, ["source", "version"], "left_semi").filter("not removed")
 
 
@@ -144,7 +146,9 @@ def retrieve(questions: DataFrame, path: str, top: int = TOP) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), _vectors([t or "" for t in part.column(1).to_pylist()])], names=["vec_id", "embedding"])
 
     asked = questions.select((-F.col("q_id") - 1).cast("long").alias("vec_id"), "text").mapInArrow(run, "vec_id long, embedding array<float>")
-    found = nearest(stored.select("vec_id", "embedding"), asked, top).join(stored.select("vec_id", "source", "chunk"), "vec_id")
+    # written for its size, as above: the texts of all chunks are dealt only to answers that are many
+    near = written(nearest(stored.select("vec_id", "embedding"), asked, top), "kb-near")
+    found = stored.select("vec_id", "source", "chunk").join(near, "vec_id")
     best = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "vec_id", "source", "chunk")))
     rows = found.groupBy((-F.col("q_id") - 1).alias("q_id")).agg(best.alias("b"))
     told = F.transform("b", lambda x: F.concat(F.lit("Source: "), x["source"], F.lit("\nContent: "), x["chunk"]))

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lumenscan.sources import knowledge as K
 from lumenscan.sources import warehouse as W
@@ -82,3 +83,19 @@ def test_chunks_leave_in_slices():
     rows = [r for p in parts for r in p.to_pylist()]
     want = [(batch.column("source")[i].as_py(), i, k, c, K.embed(c).tolist()) for i, t in enumerate(texts) for k, c in enumerate(K.split(t or ""))]
     assert [tuple(r.values()) for r in rows] == want
+
+
+def test_vectors_and_texts_are_not_dealt_where_sources_and_answers_are_few(spark):
+    """All chunks of a source would land in one task."""
+    docs = spark.createDataFrame([(k, f"s{k % 2}", " ".join(f"w{k * j}" for j in range(300))) for k in range(200)], "doc_id long, source string, text string")
+    path, asked = W.scratch(spark, "kb"), docs.filter("doc_id < 3").select(F.col("doc_id").alias("q_id"), "text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        K.put(docs, path)
+        K.put(docs.filter("source = 's1'"), path)
+        for rows, n in ((K.current(spark, path).filter("chunk is not null").select("doc_id", "embedding"), 200), (K.retrieve(asked, path), 3)):
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+            assert len({r[0] for r in rows.collect()}) == n
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
