@@ -24,8 +24,9 @@ _SEVERITY = "CASE sink_api " + " ".join(f"WHEN {_q(c)} THEN {_q(_INFO[c][2])}" f
 
 
 def _findings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dealt by order once, which serves the distinct rows, their numbers and what gathers them by file."""
     order = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)"
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber % 2 = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber % 2 = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition("l_orderkey").distinct()
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("l_partkey") % 4 + 1).cast("int"))
     return rows.select(
         F.col("l_orderkey").alias("file_id"), F.expr(order).cast("long").alias("finding_id"), (F.col("l_suppkey") % 6).cast("int").alias("line_number"), kind.alias("vulnerability_type"),
@@ -35,7 +36,7 @@ def _findings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _results_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)"
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber % 2 = 0 or l_partkey % 3 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber % 2 = 0 or l_partkey % 3 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition("l_orderkey").distinct()
     part = F.col("l_partkey")
     made = rows.select(
         F.col("l_orderkey").alias("file_id"), F.expr(order).cast("long").alias("result_id"), (F.col("l_suppkey") % 6).cast("int").alias("sink_line"), (part % 7).cast("int").alias("source_line"),

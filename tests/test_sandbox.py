@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lumenscan import catalog
 from lumenscan.operators import sandbox, taint
 
 FILES = "file_id long, path string, language string, code string"
@@ -75,3 +76,28 @@ def test_growing_sides_are_not_broadcast(spark):
     for rows in (results, *sandbox.fixes(files, results, found), sandbox.lay_last(found, results), sandbox.lay_missing(found, results), sandbox.lay_exclusive(found, results)):
         assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
         assert rows.count() > 0
+
+
+def test_findings_and_results_are_dealt_once(spark):
+    """Each was dealt anew for distinct rows, numbers, candidates, choices and what they change."""
+    plan = catalog.queries()["lay_exclusive_results"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2
+
+
+def test_exclusive_results_of_odd_files(spark):
+    """Files on one side only, without a number, with results that find nothing left, and with nulls."""
+    found = [(1, 1, 5, "A"), (1, 2, 5, "b"), (1, 3, None, None), (2, 1, 7, "A"), (None, 9, 5, "A")]
+    asked = [(1, 1, 5, [], 0, "B", True, "x"), (1, 2, 5, [None, 3], 0, "B", False, "y"), (1, 3, 5, [5], 5, "B", True, "z"), (1, 4, None, None, None, None, None, "n"), (3, 1, 8, [1], 2, "C", True, "w"), (None, 1, 5, [], 5, "A", True, "v")]
+    extra = [F.lit(s).cast(k).alias(c) for c, k, s in (("severity", "string", "LOW"), ("cwe_id", "string", ""), ("detector_name", "string", "D"), ("confidence", "double", 0.5), ("det_ord", "int", 0))]
+    f = spark.createDataFrame(found, FOUND).select("*", *extra)
+    r = spark.createDataFrame(asked, "file_id long, result_id long, sink_line int, at array<int>, source_line int, vulnerability_type string, known boolean, sink_api string")
+    r = r.select("*", F.transform("at", lambda x: F.struct(x.alias("line"))).alias("transforms"), F.lit("HIGH").alias("severity"), F.lit("C").alias("cwe_id"), *(F.lit(c).alias(c) for c in ("reachability_status", "reachability_reasoning", "attack_path"))).drop("at")
+    rows = sandbox.lay_exclusive(f, r)
+    assert rows.columns == [*f.columns, "reachability_status", "reachability_reasoning", "attack_path", "sink_api"]
+    got = {(x.file_id, x.finding_id % (1 << 40), x.line_number, x.vulnerability_type, x.severity, x.cwe_id, x.detector_name, x.sink_api) for x in rows.collect()}
+    alone = "StaticAnalysisPipeline"
+    assert got == {
+        (1, 2, 5, "B", "HIGH", "C", "D", "x"), (1, 1, 5, "A", "LOW", "", "D", "y"), (1, 3, None, None, "LOW", "", "D", None), (2, 1, 7, "A", "LOW", "", "D", None), (None, 9, 5, "A", "LOW", "", "D", None),
+        (1, 3, 5, "B", "HIGH", "C", alone, "z"), (1, 4, None, None, "HIGH", "C", alone, "n"), (3, 1, 8, "C", "HIGH", "C", alone, "w"),
+    }
+    assert rows.count() == 8
