@@ -2,8 +2,8 @@
 
 A file is one row. Its lines become a short program of gen and kill facts (structs, from patterns alone); branches whose
 condition can be told from the text take part with their active side only. The program is folded four times over a state
-of tainted names, tainted keys and lists, and what is tainted at the end is looked up around each sink. Files without a
-source or a sink leave before they are split into lines, and nothing is shuffled.
+of tainted names, tainted keys and lists, and what is tainted at the end is looked up around each sink. Equal texts are
+followed once; those without a source or a sink leave before they are split into lines, and no line is shuffled.
 
 Quirks that results depend on are kept: names that take user input directly are never cleared outside of `match`; a
 literal clears a name only at the depth of the last `if` or above; the fold carries its state into the next sweep."""
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.conditions import EMPTY_CONSTANT, constants, let, resolve, static_truth
 from ..functions.text import pat
+from .copies import digest, for_all, once
 from .injection import LANGUAGES
 from .scoped import words
 
@@ -321,7 +322,8 @@ def _reached(flow: Flow, x: Column) -> Column:
 
 def general_flow(files: DataFrame) -> DataFrame:
     """One finding per category and line."""
-    some = files.filter(F.col("language").isin(*LANGUAGES) & F.col("code").rlike(pat(INPUT)))
+    own = files.filter(F.col("language").isin(*LANGUAGES) & F.col("code").isNotNull()).select("file_id", "code", digest("code").alias("text_id"))
+    some = once(own, "code").filter(F.col("code").rlike(pat(INPUT)))
     some = some.filter(reduce(lambda a, b: a | b, (F.col("code").rlike(pat(p)) for f in FLOWS for p in f.patterns)))
 
     def hits(flow: Flow) -> Column:
@@ -330,4 +332,5 @@ def general_flow(files: DataFrame) -> DataFrame:
         names = ("category", "vulnerability_type", "severity", "cwe_id")
         return F.transform(F.filter("lines", lambda x: _is_code(x) & sink(x) & ~safe(x) & _reached(flow, x)), lambda x: F.struct(x["n"].alias("line_number"), *(F.lit(getattr(flow, c)).alias(c) for c in names)))
 
-    return tainted(some).select("file_id", F.array_join(F.array_sort("vars"), ",").alias("tainted_vars"), F.inline(F.concat(*map(hits, FLOWS)))).select("file_id", "line_number", "category", F.lit("GeneralFlowDetector").alias("detector_name"), "vulnerability_type", "severity", "cwe_id", F.lit(0.9).alias("confidence"), "tainted_vars")
+    found = tainted(some).select("text_id", F.array_join(F.array_sort("vars"), ",").alias("tainted_vars"), F.inline(F.concat(*map(hits, FLOWS))))
+    return for_all(own, found).select("file_id", "line_number", "category", F.lit("GeneralFlowDetector").alias("detector_name"), "vulnerability_type", "severity", "cwe_id", F.lit(0.9).alias("confidence"), "tainted_vars")

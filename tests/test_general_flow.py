@@ -186,3 +186,23 @@ def test_rows_are_dealt_by_number(spark):
     rows = spark.range(30).coalesce(1).withColumnRenamed("id", "o_orderkey")
     got = text.dealt(rows, "o_orderkey")
     assert got.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism and sorted(r.o_orderkey for r in got.collect()) == [*range(30)]
+
+
+def test_equal_texts_are_followed_once(spark):
+    """Each file has its findings, null and repeated numbers too; of equal texts one is followed."""
+    codes = ["p = input()\neval(p)", "p = input()\n\neval(p)", "p = 1\neval(p)"]
+    files = [(k, f"f{k}.py", "python", codes[k % 3]) for k in range(60)] + [(None, "a.py", "python", codes[0]), (0, "b.py", "javascript", codes[0]), (99, "c.py", "python", None), (98, "c.md", "text", codes[0])]
+    found = general_flow(spark.createDataFrame(files, "file_id long, path string, language string, code string"))
+    want = [(k, 2 + k % 3, "codeinj", "p") for k in range(60) if k % 3 < 2] + [(None, 2, "codeinj", "p"), (0, 2, "codeinj", "p")]
+    assert sorted(map(repr, map(tuple, found.select("file_id", "line_number", "category", "tainted_vars").collect()))) == sorted(map(repr, want))
+    texts = [f for f in found.inputFiles() if "texts" in f]
+    assert sorted(r.code for r in spark.read.parquet(*texts).collect()) == sorted(codes)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_digests_tell_columns_apart(spark):
+    from lumenscan.operators.copies import digest
+
+    rows = [("a", "b"), ("ab", ""), ("", "ab"), (None, "ab"), ("ab", None), (None, None), ("1:a", "b"), ("-", "-"), ("é", "b")]
+    got = spark.createDataFrame(rows, "a string, b string").select(digest("a", "b").alias("d")).distinct()
+    assert got.count() == len(rows)
