@@ -9,6 +9,7 @@ from ..catalog import query, table
 from ..functions.text import dealt, grown
 from ..operators import sandbox as B
 from ..operators import taint as T
+from ..operators.copies import digest, for_all, once
 from .flows import all_files
 from .general import _made
 from .scanning import _q
@@ -119,11 +120,17 @@ def _told(rows: DataFrame, name: str) -> DataFrame:
 def sandbox_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five phases over a file made from each order: findings before, fixes, findings after."""
     rows = _made(dealt(table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey % 90 AS a"), "o_orderkey"), F.col("o_orderkey") % len(FILES), [f[0] for f in FILES], "a")
-    files = B._written(rows.select(F.col("o_orderkey").alias("file_id"), F.lit("f.py").alias("path"), F.lit("python").alias("language"), F.col("made").alias("code")), "sandbox-files")
+    files = rows.select(F.col("o_orderkey").alias("file_id"), F.lit("f.py").alias("path"), F.lit("python").alias("language"), F.col("made").alias("code"))
+    files = files.withColumn("text_id", digest("path", "language", "code"))
+    return for_all(files, _phases(once(files, "path", "language", "code")), "left")
+
+
+def _phases(files: DataFrame) -> DataFrame:
+    """text_id, and what came of the five phases over the text: findings before, numbers of fixes, findings after."""
     before, diffs, after = B.run(files)
     counts = diffs.groupBy("file_id").agg(F.count_if("is_functional").alias("n_fixed"), F.count_if(~F.col("is_functional")).alias("n_rejected"))
-    out = files.select("file_id").join(grown(_told(before, "before")), "file_id", "left").join(grown(counts), "file_id", "left").join(grown(_told(after, "after")), "file_id", "left")
-    return out.select("file_id", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("n_fixed", F.lit(0)).alias("n_fixed"), F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"), F.coalesce("after", F.lit("")).alias("after"))
+    out = files.select("file_id", "text_id").join(grown(_told(before, "before")), "file_id", "left").join(grown(counts), "file_id", "left").join(grown(_told(after, "after")), "file_id", "left")
+    return out.select("text_id", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("n_fixed", F.lit(0)).alias("n_fixed"), F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"), F.coalesce("after", F.lit("")).alias("after"))
 
 
 @query()

@@ -101,3 +101,13 @@ def test_exclusive_results_of_odd_files(spark):
         (1, 3, 5, "B", "HIGH", "C", alone, "z"), (1, 4, None, None, "HIGH", "C", alone, "n"), (3, 1, 8, "C", "HIGH", "C", alone, "w"),
     }
     assert rows.count() == 8
+
+
+def test_equal_texts_run_once(spark, monkeypatch):
+    """Many orders make one text; the phases see it once, and all orders have what came of it."""
+    seen, run = [], sandbox.run
+    monkeypatch.setattr(sandbox, "run", lambda files: (seen.append(files), run(files))[1])
+    out = catalog.queries()["sandbox_of_orders"](spark, "/root/testdata/sf0.001")
+    codes = [r.code for r in seen[0].select("code").collect()]
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert len(codes) == len(set(codes)) < orders and out.select("file_id").distinct().count() == orders
