@@ -13,9 +13,10 @@ from ..sources.warehouse import written
 
 
 def digest(*columns: str) -> Column:
-    """Digest of the columns, each with its length before it; a null differs from every text."""
+    """Digest of the columns, each with its length before it; a null differs from every text. It is never null and says so: else
+    joins by it test it first, for which Spark works out anew all it is made of."""
     part = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
-    return F.unhex(F.sha2(F.concat(*map(part, columns)), 256))
+    return F.coalesce(F.unhex(F.sha2(F.concat(*map(part, columns)), 256)), F.lit(b""))
 
 
 def once(files: DataFrame, *columns: str) -> DataFrame:

@@ -322,7 +322,7 @@ def _reached(flow: Flow, x: Column) -> Column:
 
 def general_flow(files: DataFrame) -> DataFrame:
     """One finding per category and line."""
-    own = files.filter(F.col("language").isin(*LANGUAGES) & F.col("code").isNotNull()).select("file_id", "code", digest("code").alias("text_id"))
+    own = files.filter(F.col("language").isin(*LANGUAGES)).select("file_id", "code", digest("code").alias("text_id"))
     some = once(own, "code").filter(F.col("code").rlike(pat(INPUT)))
     some = some.filter(reduce(lambda a, b: a | b, (F.col("code").rlike(pat(p)) for f in FLOWS for p in f.patterns)))
 
